@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitgrid.llm import quality, secrets, tokencount
+from pitgrid.llm import jaccard, quality, secrets, tokencount, topk
 from pitgrid.llm.staging import table
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -22,7 +30,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_topk_search": op1_topk_search,
         "op2_secret_scan": op2_secret_scan,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_token_counts": op6_token_counts,
         "op10_quality_rules": op10_quality_rules,
     }
@@ -30,5 +40,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_topk_search": topk.ORACLE_SQL,
         "op10_quality_rules": quality.oracle_sql(),
     }
