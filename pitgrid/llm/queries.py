@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitgrid.llm import jaccard, quality, secrets, tokencount, topk
+from pitgrid.llm import htmltext, jaccard, langid, mixing, quality, secrets, tokencount, topk
 from pitgrid.llm.staging import table
 
 
@@ -16,6 +16,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,6 +32,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -32,8 +44,11 @@ def queries() -> dict:
     return {
         "op1_topk_search": op1_topk_search,
         "op2_secret_scan": op2_secret_scan,
+        "op3_source_mixing": op3_source_mixing,
+        "op4_language_id": op4_language_id,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_token_counts": op6_token_counts,
+        "op7_html_text": op7_html_text,
         "op10_quality_rules": op10_quality_rules,
     }
 
@@ -41,5 +56,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk_search": topk.ORACLE_SQL,
+        "op3_source_mixing": mixing.oracle_sql(),
         "op10_quality_rules": quality.oracle_sql(),
     }
