@@ -9,9 +9,10 @@
    the point of its group counts, tree nodes carry the largest counts below them, and the
    sum over groups of the smaller of two counts bounds the overlap.  Pairs that survive the
    bounds are verified on the sets, unless links already found make the answer known.
-   First every class meets the smallest class of each of its shingles, by blocks of that
-   class; this finds most links.  Then the shingles whose classes are still in different
-   components are joined as whole blocks, tiled where large, so that no link is lost.
+   First every class meets one other, the smallest class of most of its shingles, in blocks
+   of that class; this finds most links.  Then the shingles whose classes are still in
+   different components are joined as whole blocks, tiled where large, so that no link is
+   lost: on the points alone first, and on sets for what then still has a partner.
 
 The order puts shingles of frequent hash groups last.  The group counts are a table of fixed
 size, and any order gives the same links; it only keeps passages that many texts share from
@@ -35,8 +36,8 @@ from pitgrid.llm.staging import stage
 WIDTH = 5
 #: The similarity as a fraction.
 TOP, BOTTOM = 4, 5
-ORDER_GROUPS = 1 << 16
-COORDINATES = 64
+ORDER_GROUPS = 1 << 19
+COORDINATES = 256
 FANOUT = 16
 #: Classes in one block or tile, besides the class that all tiles share.
 TILE = 512
@@ -73,24 +74,25 @@ class CountTree:
         return self.order[at]
 
 
-def group_counts(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(sets), COORDINATES), np.int32)
-    for i, s in enumerate(sets):
-        out[i] = np.bincount((s >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=COORDINATES)
-    return out
+def group_counts(shingles: np.ndarray) -> np.ndarray:
+    return np.bincount((shingles >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=COORDINATES).astype(np.uint32)
+
+
+def bounded_pairs(counts: np.ndarray, sizes: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each point the later ones of another part whose bound on the overlap is enough."""
+    tree = CountTree(counts, sizes)
+    for i in range(len(sizes)):
+        rivals = tree.near(counts[i], int(sizes[i]))
+        yield i, rivals[(rivals > i) & (part[rivals] != part[i])]
 
 
 def block_links(keys: np.ndarray, sets: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int]]:
     """Links that join all similar classes of a block; ``labels`` are components known before."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    counts = group_counts(sets)
-    tree = CountTree(counts, sizes)
     known = {label: i for i, label in enumerate(dict.fromkeys(labels.tolist()))}
     part = np.array([known[x] for x in labels.tolist()], np.int64)
     links = []
-    for i in range(len(keys)):
-        rivals = tree.near(counts[i], int(sizes[i]))
-        rivals = rivals[(rivals > i) & (part[rivals] != part[i])]
+    for i, rivals in bounded_pairs(np.stack([group_counts(s) for s in sets]), sizes, part):
         for j in rivals:
             if part[j] == part[i]:
                 continue
@@ -147,15 +149,18 @@ def group_frequencies(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """``key`` of each class of ``wanted`` with its set as bytes."""
+    """``key`` of each class of ``wanted`` with its set and its point as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x, WIDTH).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "set"])
+            sets = [shingle_set(x, WIDTH) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([group_counts(s).tobytes() for s in sets], pa.binary())],
+                names=["key", "set", "point"],
+            )
 
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return texts.join(wanted, "key", "left_semi").mapInArrow(run, "key long, set binary")
+    return texts.join(wanted, "key", "left_semi").mapInArrow(run, "key long, set binary, point binary")
 
 
 def joined_blocks(members: DataFrame) -> DataFrame:
@@ -170,6 +175,22 @@ def joined_blocks(members: DataFrame) -> DataFrame:
     return members.groupBy("block").applyInPandas(run, "a long, b long")
 
 
+def still_open(members: DataFrame) -> DataFrame:
+    """Rows of ``members`` (block, key, label, point) whose bounds leave them a partner of another label."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates(["key", "point"]).sort_values("key")
+        counts = np.stack([np.frombuffer(x, np.uint32) for x in group["point"]])
+        part = np.unique(group["label"].to_numpy(), return_inverse=True)[1]
+        keep = np.zeros(len(group), bool)
+        for i, rivals in bounded_pairs(counts, counts.sum(axis=1, dtype=np.int64), part):
+            keep[rivals] = True
+            keep[i] |= len(rivals) > 0
+        return group.loc[keep, ["block", "key", "label"]].drop_duplicates()
+
+    return members.groupBy("block").applyInPandas(run, "block long, key long, label long")
+
+
 def tiles(pairs: DataFrame) -> DataFrame:
     """``pairs`` (token, key) with blocks: a token's classes, or pairs of tiles where they are many."""
     many = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
@@ -194,15 +215,17 @@ def classes_and_links(docs: DataFrame, key: str = "doc_id", text: str = "text")
     shared = postings.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
     held = stage(postings.join(shared, "token").select("token", "key", "low").distinct(), "postings")
 
-    pairs = held.where("key != low").select("low", "key").distinct()
+    # one partner for each class: the smallest class of most of its shingles
+    counted = held.where("key != low").groupBy("key", "low").agg(F.count(F.lit(1)).alias("n"))
+    pairs = stage(counted.groupBy("key").agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("low")), "pairs")
     size = pairs.groupBy("low").agg(F.count(F.lit(1)).alias("n"))
     part = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / TILE))
     dealt = pairs.join(size, "low").select("low", "key", part.alias("t"))
     block = F.xxhash64("low", "t").alias("block")
     members = stage(dealt.select(block, "key").union(dealt.select(block, F.col("low")).distinct()), "blocks")
 
-    sets = stage(with_sets(docs, members.select("key").distinct(), key, text), "candidates")
-    links = stage(joined_blocks(members.join(sets, "key").withColumn("label", F.col("key"))), "links")
+    sets = stage(with_sets(docs, held.select("key").distinct(), key, text), "candidates")
+    links = stage(joined_blocks(members.join(sets.drop("point"), "key").withColumn("label", F.col("key"))), "links")
 
     labels = components(links)
     labelled = held.join(labels.withColumnRenamed("id", "key"), "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
@@ -212,8 +235,9 @@ def classes_and_links(docs: DataFrame, key: str = "doc_id", text: str = "text")
     # tokens with the same classes make the same block, so one stands for all of them
     one = open_.groupBy("n", "who").agg(F.min("token").alias("token")).select("token")
     rest = stage(labelled.join(one, "token"), "open")
-    known = rest.select("key", "label").distinct()
-    more = stage(joined_blocks(tiles(rest.select("token", "key")).join(known, "key").join(sets, "key")), "links")
+    known = rest.select("key", "label").distinct().join(sets.drop("set"), "key")
+    left = stage(still_open(tiles(rest.select("token", "key")).join(known, "key")), "left")
+    more = stage(joined_blocks(left.join(sets.drop("point"), "key")), "links")
     return rows.join(classes, digests, "left").drop("prefix"), labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more)
 
 
