@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitgrid.llm import htmltext, jaccard, langid, mixing, quality, secrets, tokencount, topk
+from pitgrid.llm import htmltext, jaccard, katz, langid, mixing, quality, secrets, spm, tokencount, topk
 from pitgrid.llm.staging import table
 
 
@@ -36,10 +36,24 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_topk_search": op1_topk_search,
@@ -49,7 +63,10 @@ def queries() -> dict:
         "op5_jaccard_join": op5_jaccard_join,
         "op6_token_counts": op6_token_counts,
         "op7_html_text": op7_html_text,
+        "op8_sentencepiece": op8_sentencepiece,
+        "op9_lm_scores": op9_lm_scores,
         "op10_quality_rules": op10_quality_rules,
+        "pipeline": pipeline,
     }
 
 
