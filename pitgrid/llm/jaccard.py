@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +38,8 @@ TOP, BOTTOM = 4, 5
 ORDER_GROUPS = 1 << 19
 COORDINATES = 256
 FANOUT = 16
+#: Bits of the filter that finds the texts of candidates: 4 MB.
+FILTER_BITS = 1 << 25
 #: Classes in one block or tile, besides the class that all tiles share.
 TILE = 512
 
@@ -104,29 +105,29 @@ def block_links(keys: np.ndarray, sets: list[np.ndarray], labels: np.ndarray) ->
 
 
 def described(docs: DataFrame, order: np.ndarray | None, key: str, text: str) -> DataFrame:
-    """For every row: n_shingles, the digest, and the rarest fifth of the set."""
+    """For every row: n_shingles, the digest, the rarest fifth of the set, and the point."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(order) if order is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = held.value if held is not None else np.zeros(ORDER_GROUPS, np.int64)
         for batch in batches:
-            n, a, b, prefix = [], [], [], []
+            n, a, b, prefix, points = [], [], [], [], []
             for value in batch.column(1).to_pylist():
                 s = shingle_set(value, WIDTH)
                 one, two = digest(s)
-                n.append(len(s)), a.append(one), b.append(two)
+                n.append(len(s)), a.append(one), b.append(two), points.append(group_counts(s).tobytes())
                 if len(s):
                     s = s[np.lexsort((s, rank[(s % np.uint64(ORDER_GROUPS)).astype(np.int64)]))]
                     s = s[: len(s) - (-(-TOP * len(s) // BOTTOM)) + 1]
                 prefix.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "a", "b", "prefix"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(points, pa.binary())],
+                names=["doc_id", "n_shingles", "a", "b", "prefix", "point"],
             )
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, a long, b long, prefix array<long>"
+        run, "doc_id long, n_shingles long, a long, b long, prefix array<long>, point binary"
     )
 
 
@@ -148,47 +149,124 @@ def group_frequencies(docs: DataFrame, text: str) -> np.ndarray:
     return out
 
 
+def key_bits(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def key_filter(wanted: DataFrame) -> np.ndarray | None:
+    """A Bloom filter of fixed size of the keys, or None where they are too many for it to help."""
+    if wanted.count() > FILTER_BITS // 8:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(key_bits(batch.column(0).to_numpy()), pa.int64())], names=["bit"])
+
+    words = wanted.mapInArrow(run, "bit long").groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(bit, 64) as int)))").alias("bits"))
+    found = words.toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
 def with_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """``key`` of each class of ``wanted`` with its set and its point as bytes."""
+    """``key`` and set, as bytes, of the classes of ``wanted`` and of some others.
+
+    A filter of fixed size lets texts go on at once; where it can't hold the keys, the texts
+    are joined to them.
+    """
+    filled = key_filter(wanted)
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
+    if filled is None:
+        texts = texts.join(wanted, "key", "left_semi")
+    held = docs.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
         for batch in batches:
-            sets = [shingle_set(x, WIDTH) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([group_counts(s).tobytes() for s in sets], pa.binary())],
-                names=["key", "set", "point"],
-            )
+            if bits is not None and batch.num_rows:
+                at = key_bits(batch.column(0).to_numpy())
+                batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            sets = [shingle_set(x, WIDTH).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "set"])
+
+    return texts.mapInArrow(run, "key long, set binary")
 
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return texts.join(wanted, "key", "left_semi").mapInArrow(run, "key long, set binary, point binary")
+
+def by_block(members: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` (columns by name -> rows) over each block of ``members``.
+
+    Blocks are short and many, so a task sorts its rows by block and walks through them; it
+    holds one Arrow batch and the block that goes on in the next.
+    """
+    columns = ["block", *[c for c in members.columns if c != "block"]]
+    kinds = pa.schema([pa.field(*(x.split(" ")[0], pa.int64())) for x in schema.split(", ")])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def rows_of(table: pa.Table, whole: bool):
+            nonlocal rest
+            block = table["block"].to_numpy()
+            cuts = np.append(np.flatnonzero(np.diff(block)) + 1, len(block)) if len(block) else np.empty(0, np.int64)
+            last = len(cuts) if whole else len(cuts) - 1
+            start, out = 0, []
+            cols = {c: table[c].to_pylist() if pa.types.is_binary(table[c].type) else table[c].to_numpy() for c in columns}
+            for end in cuts[:last].tolist():
+                if end - start > 1:
+                    out += run({c: v[start:end] for c, v in cols.items()})
+                start = end
+            rest = table.slice(start)
+            made = list(zip(*out)) or [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], schema=kinds)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            yield rows_of(pa.concat_tables([rest, table]) if rest is not None else table, False)
+        if rest is not None:
+            yield rows_of(rest, True)
+
+    return members.select(*columns).repartition("block").sortWithinPartitions("block").mapInArrow(walk, schema)
 
 
 def joined_blocks(members: DataFrame) -> DataFrame:
     """Links found in each block of ``members`` (block, key, label, set)."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["key", "set"]).sort_values("key")
-        sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
-        links = block_links(group["key"].to_numpy(), sets, group["label"].to_numpy())
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    def run(cols: dict) -> list[tuple[int, int]]:
+        once = sorted({(k, s): x for k, s, x in zip(cols["key"].tolist(), cols["set"], cols["label"].tolist(), strict=True)}.items())
+        keys, labels = np.array([k for (k, _), _ in once]), np.array([x for _, x in once])
+        return block_links(keys, [np.frombuffer(s, np.uint64) for (_, s), _ in once], labels)
 
-    return members.groupBy("block").applyInPandas(run, "a long, b long")
+    return by_block(members, run, "a long, b long")
 
 
 def still_open(members: DataFrame) -> DataFrame:
     """Rows of ``members`` (block, key, label, point) whose bounds leave them a partner of another label."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["key", "point"]).sort_values("key")
-        counts = np.stack([np.frombuffer(x, np.uint32) for x in group["point"]])
-        part = np.unique(group["label"].to_numpy(), return_inverse=True)[1]
-        keep = np.zeros(len(group), bool)
-        for i, rivals in bounded_pairs(counts, counts.sum(axis=1, dtype=np.int64), part):
+    def run(cols: dict) -> list[tuple[int, int, int]]:
+        counts = np.frombuffer(b"".join(cols["point"]), np.uint32).reshape(-1, COORDINATES)
+        sizes, part = counts.sum(axis=1, dtype=np.int64), cols["label"]
+        keep = np.zeros(len(part), bool)
+        for i, rivals in bounded_pairs(counts, sizes, part):
             keep[rivals] = True
             keep[i] |= len(rivals) > 0
-        return group.loc[keep, ["block", "key", "label"]].drop_duplicates()
+        at = np.flatnonzero(keep)
+        return list({(int(cols["block"][i]), int(cols["key"][i]), int(part[i])) for i in at})
+
+    return by_block(members, run, "block long, key long, label long")
 
-    return members.groupBy("block").applyInPandas(run, "block long, key long, label long")
+
+def within_bounds(pairs: DataFrame) -> DataFrame:
+    """key and low of the ``pairs`` (key, low, point, other) whose points allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in batch.columns[2:])
+            size = lambda x: x.sum(axis=1, dtype=np.int64)
+            keep = size(np.minimum(one, two)) >= needed(size(one), size(two))
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return pairs.select("key", "low", "point", "other").mapInArrow(run, "key long, low long")
 
 
 def tiles(pairs: DataFrame) -> DataFrame:
@@ -214,31 +292,38 @@ def classes_and_links(docs: DataFrame, key: str = "doc_id", text: str = "text")
     postings = first.select("key", F.explode("prefix").alias("token")).repartition("token")
     shared = postings.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
     held = stage(postings.join(shared, "token").select("token", "key", "low").distinct(), "postings")
+    points = stage(first.select("key", "point").join(held.select("key").distinct(), "key", "left_semi"), "points")
 
     # one partner for each class: the smallest class of most of its shingles
     counted = held.where("key != low").groupBy("key", "low").agg(F.count(F.lit(1)).alias("n"))
     pairs = stage(counted.groupBy("key").agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("low")), "pairs")
-    size = pairs.groupBy("low").agg(F.count(F.lit(1)).alias("n"))
+    both = pairs.join(points, "key").join(points.select(F.col("key").alias("low"), F.col("point").alias("other")), "low")
+    near = stage(within_bounds(both), "near")
+    size = near.groupBy("low").agg(F.count(F.lit(1)).alias("n"))
     part = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / TILE))
-    dealt = pairs.join(size, "low").select("low", "key", part.alias("t"))
+    dealt = near.join(size, "low").select("low", "key", part.alias("t"))
     block = F.xxhash64("low", "t").alias("block")
     members = stage(dealt.select(block, "key").union(dealt.select(block, F.col("low")).distinct()), "blocks")
-
-    sets = stage(with_sets(docs, held.select("key").distinct(), key, text), "candidates")
-    links = stage(joined_blocks(members.join(sets.drop("point"), "key").withColumn("label", F.col("key"))), "links")
+    sets = stage(with_sets(docs, members.select("key").distinct(), key, text), "candidates")
+    links = stage(joined_blocks(members.join(sets, "key").withColumn("label", F.col("key"))), "links")
 
     labels = components(links)
     labelled = held.join(labels.withColumnRenamed("id", "key"), "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
     open_ = labelled.groupBy("token").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("key"), F.lit(1 << 40))).alias("who")
-    ).where("low < high")
-    # tokens with the same classes make the same block, so one stands for all of them
-    one = open_.groupBy("n", "who").agg(F.min("token").alias("token")).select("token")
+        F.min("label").alias("la"), F.max("label").alias("lb"), F.min("key").alias("low"), F.max("key").alias("key"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.pmod(F.xxhash64("key"), F.lit(1 << 40))).alias("who"),
+    ).where("la < lb")
+    # tokens with the same classes make the same block, so one stands for all of them; two
+    # classes that have met need not meet again
+    one = open_.groupBy("n", "who").agg(F.min_by(F.struct("token", "low", "key"), "token").alias("x")).select("n", "x.*")
+    met = pairs.withColumn("n", F.lit(2).cast("long"))
+    one = one.join(met, ["n", "low", "key"], "left_anti").select("token")
     rest = stage(labelled.join(one, "token"), "open")
-    known = rest.select("key", "label").distinct().join(sets.drop("set"), "key")
+    known = rest.select("key", "label").distinct().join(points, "key")
     left = stage(still_open(tiles(rest.select("token", "key")).join(known, "key")), "left")
-    more = stage(joined_blocks(left.join(sets.drop("point"), "key")), "links")
-    return rows.join(classes, digests, "left").drop("prefix"), labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more)
+    sets = stage(with_sets(docs, left.select("key").distinct(), key, text), "candidates")
+    more = stage(joined_blocks(left.join(sets, "key")), "links")
+    return rows.join(classes, digests, "left").drop("prefix", "point"), labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
