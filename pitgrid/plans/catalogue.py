@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pitgrid.plans import prices
+
+MODULES = (prices,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for m in MODULES for name, (fn, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
