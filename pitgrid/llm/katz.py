@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pitgrid.llm.shingling import spans
 from pitgrid.llm.staging import stage
 
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 LOW = 5
 #: Stands for the end token among the hashes of words.
 END = np.uint64(1)
