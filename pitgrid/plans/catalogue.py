@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitgrid.plans import prices
+from pitgrid.plans import filings, prices
 
-MODULES = (prices,)
+MODULES = (prices, filings)
 
 
 def queries() -> dict:
