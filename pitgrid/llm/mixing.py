@@ -100,7 +100,7 @@ def sampled(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS,
 def oracle_sql(rounds: int = ROUNDS, seed: int = 17) -> str:
     parts = [
         f"""placed as (select doc_id, coalesce(source, '{NONE}') as source, coalesce(lang, '{NONE}') as lang, coalesce({TOPIC}, '{NONE}') as topic,
-  greatest(len(list_filter(string_split_regex(coalesce(text, ''), '{WHITE}'), x -> x <> '')), 1)::bigint as n_tokens from documents),
+  greatest(len(list_filter(string_split_regex(coalesce(text, ''), '{WHITE}'), lambda x: x <> '')), 1)::bigint as n_tokens from documents),
 cells as (select source, lang, topic, sum(n_tokens)::bigint as tokens from placed group by all),
 r0 as (select *, {", ".join(f"pow(sum(tokens) over (partition by {d})::double, {TEMPER[d]}) as goal_{d}" for d in DIMS)}, tokens::double as raked from cells)"""
     ]

@@ -168,8 +168,8 @@ def oracle_sql(rounds: int = ROUNDS) -> str:
     names = ", ".join(f"v_{r}" for r in RULES)
     parts = [
         f"""docs as (select doc_id, coalesce(text, '') as text, row_number() over () as r from documents),
-split as (select *, list_filter(string_split_regex(text, '{WHITE}'), x -> x <> '') as w,
-  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from docs),
+split as (select *, list_filter(string_split_regex(text, '{WHITE}'), lambda x: x <> '') as w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from docs),
 windows as (select r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') as t from split, unnest(range(1, len(w) - {WINDOW - 2})) as u(i)),
 twice as (select r, i from (select *, count(*) over (partition by r, t) as c from windows) where c > 1),
 covered as (select r, count(distinct p) as c from (select r, unnest(range(i, i + {WINDOW})) as p from twice) group by r),

@@ -134,9 +134,9 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
 
 
 ORACLE_SQL = """
-with ints as (select distinct vec_id, list_transform(embedding, x -> floor(x::double * 256)::bigint) as v from embeddings
+with ints as (select distinct vec_id, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as v from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
 flat as (select vec_id, len(v) as n, unnest(range(1, len(v) + 1)) as d, unnest(v) as x from ints),
 scored as (select q.vec_id as query_id, c.vec_id, sum(q.x * c.x)::bigint as score
   from flat q join flat c on q.d = c.d and q.n = c.n and q.vec_id <> c.vec_id where q.vec_id % 50 = 0 group by all)
