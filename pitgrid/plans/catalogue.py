@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitgrid.plans import filings, prices
+from pitgrid.plans import filings, prices, records
 
-MODULES = (prices, filings)
+MODULES = (prices, filings, records)
 
 
 def queries() -> dict:
