@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitgrid.plans import filings, prices, records
+from pitgrid.plans import filings, prices, records, upkeep
 
-MODULES = (prices, filings, records)
+MODULES = (prices, filings, records, upkeep)
 
 
 def queries() -> dict:
