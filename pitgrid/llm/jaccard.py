@@ -37,6 +37,8 @@ WIDTH = 5
 TOP, BOTTOM = 4, 5
 ORDER_GROUPS = 1 << 19
 COORDINATES = 256
+#: Groups of sets of over so many shingles.
+FINER = ((16384, 32768), (1024, 2048))
 FANOUT = 16
 #: Bits of the filter that finds the texts of candidates: 4 MB.
 FILTER_BITS = 1 << 25
@@ -76,15 +78,35 @@ class CountTree:
 
 
 def group_counts(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=COORDINATES).astype(np.uint32)
+    """The point of a set: counts of hash groups, more of them for larger sets."""
+    groups = next((c for most, c in FINER if len(shingles) > most), COORDINATES)
+    return np.bincount(((shingles >> np.uint64(20)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint32)
 
 
-def bounded_pairs(counts: np.ndarray, sizes: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each point the later ones of another part whose bound on the overlap is enough."""
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The point with fewer groups; their numbers divide each other."""
+    return point.reshape(-1, groups).sum(axis=0, dtype=np.uint32) if len(point) > groups else point
+
+
+def may_reach(one: np.ndarray, two: np.ndarray) -> bool:
+    groups = min(len(one), len(two))
+    return bool(np.minimum(folded(one, groups), folded(two, groups)).sum(dtype=np.int64) >= needed(int(one.sum(dtype=np.int64)), int(two.sum(dtype=np.int64))))
+
+
+def bounded_pairs(points: list[np.ndarray], part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each point the later ones of another part whose bound on the overlap is enough.
+
+    The tree holds points of the coarsest kind; pairs that both have finer ones must pass on these too.
+    """
+    counts = np.stack([folded(x, COORDINATES) for x in points])
+    sizes = counts.sum(axis=1, dtype=np.int64)
     tree = CountTree(counts, sizes)
     for i in range(len(sizes)):
         rivals = tree.near(counts[i], int(sizes[i]))
-        yield i, rivals[(rivals > i) & (part[rivals] != part[i])]
+        rivals = rivals[(rivals > i) & (part[rivals] != part[i])]
+        if len(points[i]) > COORDINATES and len(rivals):
+            rivals = np.array([j for j in rivals.tolist() if may_reach(points[i], points[j])], np.int64)
+        yield i, rivals
 
 
 def block_links(keys: np.ndarray, sets: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int]]:
@@ -93,7 +115,7 @@ def block_links(keys: np.ndarray, sets: list[np.ndarray], labels: np.ndarray) ->
     known = {label: i for i, label in enumerate(dict.fromkeys(labels.tolist()))}
     part = np.array([known[x] for x in labels.tolist()], np.int64)
     links = []
-    for i, rivals in bounded_pairs(np.stack([group_counts(s) for s in sets]), sizes, part):
+    for i, rivals in bounded_pairs([group_counts(s) for s in sets], part):
         for j in rivals:
             if part[j] == part[i]:
                 continue
@@ -244,10 +266,9 @@ def still_open(members: DataFrame) -> DataFrame:
     """Rows of ``members`` (block, key, label, point) whose bounds leave them a partner of another label."""
 
     def run(cols: dict) -> list[tuple[int, int, int]]:
-        counts = np.frombuffer(b"".join(cols["point"]), np.uint32).reshape(-1, COORDINATES)
-        sizes, part = counts.sum(axis=1, dtype=np.int64), cols["label"]
+        part = cols["label"]
         keep = np.zeros(len(part), bool)
-        for i, rivals in bounded_pairs(counts, sizes, part):
+        for i, rivals in bounded_pairs([np.frombuffer(x, np.uint32) for x in cols["point"]], part):
             keep[rivals] = True
             keep[i] |= len(rivals) > 0
         at = np.flatnonzero(keep)
@@ -261,10 +282,9 @@ def within_bounds(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in batch.columns[2:])
-            size = lambda x: x.sum(axis=1, dtype=np.int64)
-            keep = size(np.minimum(one, two)) >= needed(size(one), size(two))
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            both = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+            keep = [may_reach(np.frombuffer(one, np.uint32), np.frombuffer(two, np.uint32)) for one, two in both]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("key", "low", "point", "other").mapInArrow(run, "key long, low long")
 
