@@ -6,13 +6,14 @@ units, in a table of bounded size.
 
 Sampling draws k distinct segmentations of a whole text without replacement, from the
 distribution in which a segmentation's log probability is ``alpha`` times the sum of its
-piece scores.  It is a best-first (A-star) search from the top of the lattice: a node stands
-for all segmentations with one beginning, its log mass comes from backward sums over the
-lattice, and its key is a Gumbel variable with that location, drawn given that the largest
-among siblings equals the parent's.  The order in which whole segmentations leave the queue
-is then Gumbel top-k.  To keep long texts cheap, a node's children are the places where the
-text first leaves the best segmentation of a unit, weighed all at once; only inside such a
-unit does the search go piece by piece.  The random stream is seeded by the row's key.
+piece scores.  It is a best-first (A-star) search over sets of segmentations: a set's key is
+the largest Gumbel-perturbed log probability in it.  The set with the largest key is taken,
+the segmentation that attains it is drawn, which is a draw from the set by backward sums over
+the lattice, and what is left of the set is split by the first unit where a segmentation
+differs from the drawn one; the parts' keys are Gumbel variables cut off at the set's key.
+The order in which segmentations are drawn is then Gumbel top-k.  All parts of a text are
+weighed at once; only units that leave their best segmentation are walked piece by piece.
+The random stream is seeded by the row's key.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-REMEMBERED, SHORT = 600_000, 48
+REMEMBERED, SHORT, LATTICES = 600_000, 48, 80_000
 ALPHA, SAMPLES, SEED = 0.002, 3, 7
 
 
@@ -49,34 +50,82 @@ class Unit(NamedTuple):
 
 
 class Lattice:
-    """Arcs and backward log masses of one unit."""
+    """Arcs and backward log masses of one unit.  A segmentation is the tuple of its pieces' ends."""
+
+    __slots__ = ("arcs", "best", "mass", "top", "way")
 
     def __init__(self, unit: str, codec: Codec):
-        n = len(unit)
+        n, pieces, beginnings = len(unit), codec.pieces, codec.beginnings
         self.arcs: list[list[tuple[int, tuple[int, ...], float]]] = []
         for p in range(n):
             found = []
-            for e in range(p + 1, min(n, p + codec.longest) + 1):
-                piece = codec.pieces.get(unit[p:e])
+            for e in range(p + 1, n + 1):
+                part = unit[p:e]
+                piece = pieces.get(part)
                 if piece is not None:
-                    found.append((e, (piece[0],), piece[1]))
-            if not found or found[0][0] != p + 1:
-                found.append((p + 1, tuple(codec.bytes[b] for b in unit[p].encode("utf-8", "surrogatepass")), codec.fallback))
+                    found.append((e, piece[0], piece[1]))
+                elif e == p + 1:
+                    found.append((e, tuple(codec.bytes[b] for b in part.encode("utf-8", "surrogatepass")), codec.fallback))
+                if part not in beginnings:
+                    break
             self.arcs.append(found)
-        self.mass, self.best = [0.0] * (n + 1), [0.0] * (n + 1)
-        self.way: list[tuple[int, tuple[int, ...], float] | None] = [None] * (n + 1)
+        self.mass, self.best, self.way = [0.0] * (n + 1), [0.0] * (n + 1), [0] * n
         for p in range(n - 1, -1, -1):
-            top = max(s + self.mass[e] for e, _, s in self.arcs[p])
-            self.mass[p] = top + math.log(sum(math.exp(s + self.mass[e] - top) for e, _, s in self.arcs[p]))
-            self.way[p] = max(self.arcs[p], key=lambda a: (a[2] + self.best[a[0]], a[0]))
-            self.best[p] = self.way[p][2] + self.best[self.way[p][0]]
-
-    def best_ids(self) -> list[int]:
-        ids, p = [], 0
-        while self.way[p] is not None:
-            ids += self.way[p][1]
-            p = self.way[p][0]
-        return ids
+            arcs, mass, best = self.arcs[p], self.mass, self.best
+            top = max([s + mass[e] for e, _, s in arcs])
+            mass[p] = top + math.log(sum([math.exp(s + mass[e] - top) for e, _, s in arcs]))
+            best[p], self.way[p] = max([(s + best[e], e) for e, _, s in arcs])
+        self.top = self.best_path()
+
+    def best_path(self) -> tuple[int, ...]:
+        path, p = [], 0
+        while p < len(self.way):
+            p = self.way[p]
+            path.append(p)
+        return tuple(path)
+
+    def told(self, path: tuple[int, ...]) -> tuple[list[int], float]:
+        """The pieces and the log probability of a segmentation."""
+        ids, total, p = [], 0.0, 0
+        for end in path:
+            _, piece, s = next(a for a in self.arcs[p] if a[0] == end)
+            ids += piece
+            total += s
+            p = end
+        return ids, min(0.0, total - self.mass[0])
+
+    def draw(self, without: list[tuple[tuple[int, ...], float]], rand) -> tuple[tuple[int, ...], float]:
+        """A segmentation by its probability and its log probability; none of ``without``, which come with theirs."""
+        p, path, total = 0, [], 0.0
+        all_arcs, mass, n = self.arcs, self.mass, len(self.way)
+        live = [(x, lp + mass[0]) for x, lp in without]  # and what is left of their log weight
+        while p < n:
+            arcs, here = all_arcs[p], mass[p]
+            if len(arcs) == 1 and not live:
+                e, _, s = arcs[0]
+                path.append(e)
+                total += s
+                p = e
+                continue
+            weights = [math.exp(s + mass[e] - here) for e, _, s in arcs]
+            if live:
+                depth, ends = len(path), [a[0] for a in arcs]
+                for x, rest in live:
+                    at = ends.index(x[depth])
+                    weights[at] = max(0.0, weights[at] - math.exp(rest - here))
+            u, at = rand() * sum(weights), 0
+            while at < len(arcs) - 1 and u >= weights[at]:
+                u -= weights[at]
+                at += 1
+            while weights[at] <= 0.0 and at > 0:
+                at -= 1
+            end, _, s = arcs[at]
+            if live:
+                live = [(x, rest - s) for x, rest in live if x[depth] == end]
+            path.append(end)
+            total += s
+            p = end
+        return tuple(path), min(0.0, total - mass[0])
 
 
 def log_less(a: float, b: float) -> float:
@@ -89,7 +138,7 @@ class Codec:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces: dict[str, tuple[int, float]] = {}
+        self.pieces: dict[str, tuple[tuple[int, ...], float]] = {}
         self.bytes: dict[int, int] = {}
         self.raw: list[bytes] = []
         for i in range(self.model.get_piece_size()):
@@ -100,9 +149,11 @@ class Codec:
             elif self.model.is_control(i) or self.model.is_unknown(i):
                 self.raw.append(b"")
             else:
-                self.pieces[piece] = (i, alpha * max(self.model.get_score(i), -1e5))
+                self.pieces[piece] = ((i,), alpha * max(self.model.get_score(i), -1e5))
                 self.raw.append(piece.replace(MARK, " ").encode())
-        self.longest = max(map(len, self.pieces))
+        #: What a longer piece goes on from.
+        self.beginnings = {piece[:n] for piece in self.pieces for n in range(1, len(piece))}
+        self.lattices: dict[str, Lattice] = {}
         self.fallback = -alpha * self.model.get_piece_size()
         self.known: dict[str, Unit] = {}
 
@@ -114,9 +165,9 @@ class Codec:
         for u, ids in zip(units, told, strict=True):
             lattice = Lattice(u, self)
             stay = min(0.0, lattice.best[0] - lattice.mass[0])
-            single = [self.pieces[MARK][0]] if u == MARK else ids
+            single = list(self.pieces[MARK][0]) if u == MARK else ids
             self.known[u] = Unit(
-                np.array(single, np.int32).tobytes(), np.array(lattice.best_ids(), np.int32).tobytes(), stay, log_less(0.0, stay)
+                np.array(single, np.int32).tobytes(), np.array(lattice.told(lattice.top)[0], np.int32).tobytes(), stay, log_less(0.0, stay)
             )
 
     def read(self, text: str) -> tuple[list[str], list[Unit]]:
@@ -141,82 +192,72 @@ class Codec:
         line = b"".join([raw[i] for i in np.frombuffer(ids, np.int32).tolist()]).decode("utf-8", "replace")
         return line[1:] if line.startswith(" ") else line
 
+    def lattice(self, unit: str) -> Lattice:
+        found = self.lattices.get(unit)
+        if found is None:
+            found = Lattice(unit, self)
+            if len(unit) <= SHORT:
+                if len(self.lattices) >= LATTICES:
+                    self.lattices.clear()
+                self.lattices[unit] = found
+        return found
+
     def sample(self, units: list[str], told: list[Unit], k: int, rng: np.random.Generator) -> list[tuple[bytes, float, float, float]]:
         """Up to k of (ids, log probability, perturbed log probability, inclusion probability)."""
         n = len(units)
-        stay = np.array([u.stay for u in told])
-        leave = np.array([u.leave for u in told])
-        ahead = np.concatenate(([0.0], np.cumsum(stay)))
-        lattices: dict[int, Lattice] = {}
-        queue: list = []
+        stay, leave = np.array([u.stay for u in told]), np.array([u.leave for u in told])
+        odds = np.exp(leave)
+        # a set: its key, the unit from which it is open, what that unit may not be, and the units before
+        # that leave their best; a unit's choice is its path with its log probability
+        queue: list = [(math.log(rng.standard_exponential()), 0, (0, [], {}))]
+        out: list[tuple[dict, float, float]] = []
         tick = 0
-
-        def push(key: float, node: tuple) -> None:
-            nonlocal tick
-            tick += 1
-            heapq.heappush(queue, (-key, tick, node))
-
-        def split(mass: np.ndarray, top: float) -> np.ndarray:
-            """Gumbel keys of children with log masses ``mass``, the largest being ``top``."""
-            drawn = mass - np.log(rng.standard_exponential(len(mass)))
-            gap = np.exp(drawn - drawn.max())
-            with np.errstate(divide="ignore"):
-                v = top - drawn + np.log1p(-gap)
-            return top - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
-
-        # nodes: (unit from which all is open, log mass, changes) and
-        # (unit, place in it, on the best way, log probability up to there, pieces so far, changes)
-        push(-math.log(rng.standard_exponential()), (0, 0.0, ()))
-        out: list[tuple[tuple, float, float]] = []
-        while queue and len(out) <= k:
-            key, _, node = heapq.heappop(queue)
+        limit = -math.inf
+        while queue:
+            key, _, (start, barred, before) = heapq.heappop(queue)
             key = -key
-            if len(node) == 3:
-                i, mass, changes = node
-                if i > n:
-                    out.append((changes, mass, key))
-                    continue
-                masses = np.append(mass + (ahead[i:n] - ahead[i]) + leave[i:], mass + ahead[n] - ahead[i])
-                keys = split(masses, key)
-                best = np.argpartition(-keys, k)[: k + 1] if len(keys) > k + 1 else np.arange(len(keys))
-                for c in best.tolist():
-                    if masses[c] == -math.inf:
-                        continue
-                    if i + c == n:
-                        push(keys[c], (n + 1, float(masses[c]), changes))
-                    else:
-                        push(keys[c], (i + c, 0, True, mass + float(ahead[i + c] - ahead[i]), (), changes))
+            if len(out) == k:
+                limit = key
+                break
+            chosen = dict(before)
+            gone = start + np.flatnonzero(rng.random(n - start) < odds[start:])
+            if barred:  # the unit at ``start`` must differ from those
+                gone = gone[gone != start]
+                gone = np.concatenate(([start], gone))
+            for i in gone.tolist():
+                lattice = self.lattice(units[i])
+                drawn = lattice.draw(barred if barred and i == start else [(lattice.top, told[i].stay)], rng.random)
+                if drawn[0] != lattice.top:
+                    chosen[i] = drawn
+            lp, other = stay.copy(), leave.copy()
+            for i, (_, p) in chosen.items():
+                lp[i] = p
+                other[i] = log_less(0.0, p)
+            ahead = np.concatenate(([0.0], np.cumsum(lp)))
+            out.append((chosen, float(ahead[n]), key))
+            if n == start:
                 continue
-            j, p, on_best, done, ids, changes = node
-            if j not in lattices:
-                lattices[j] = Lattice(units[j], self)
-            lattice, size = lattices[j], len(units[j])
-            total = lattice.mass[0]
-            arcs, masses = [], []
-            for arc in lattice.arcs[p]:
-                end, piece, s = arc
-                same = on_best and arc is lattice.way[p]
-                mass = done + s + lattice.mass[end] - (total if p == 0 else 0.0)
-                if same:
-                    mass = log_less(mass, done + s + lattice.best[end] - (total if p == 0 else 0.0)) if end < size else -math.inf
-                if mass > -math.inf:
-                    arcs.append((end, piece, same, done + s - (total if p == 0 else 0.0)))
-                    masses.append(mass)
-            if not arcs:
-                continue
-            for (end, piece, same, so_far), g in zip(arcs, split(np.array(masses), key).tolist(), strict=True):
-                if end == size:
-                    push(g, (j + 1, so_far, (*changes, (j, ids + piece))))
-                else:
-                    push(g, (j, end, same, so_far, ids + piece, changes))
-        limit = out[k][2] if len(out) > k else -math.inf
+            if barred:
+                none = [*barred, chosen.get(start) or (self.lattice(units[start]).top, told[start].stay)]
+                other[start] = log_less(0.0, min(0.0, math.log(sum(math.exp(p) for _, p in none))))
+            mass = ahead[start:n] + other[start:]
+            with np.errstate(divide="ignore", over="ignore"):
+                keys = -np.log(np.exp(-key) + rng.standard_exponential(n - start) * np.exp(-mass))
+            keys[mass < -600] = -math.inf
+            for c in np.argpartition(-keys, k)[: k + 1].tolist() if len(keys) > k + 1 else range(len(keys)):
+                if keys[c] == -math.inf:
+                    continue
+                i = start + c
+                drawn = chosen.get(i) or (self.lattice(units[i]).top, told[i].stay)
+                tick += 1
+                heapq.heappush(queue, (-float(keys[c]), tick, (i, (barred if c == 0 else []) + [drawn], {u: x for u, x in chosen.items() if u < i})))
         base = [u.best for u in told]
         made = []
-        for changes, mass, key in out[:k]:
-            own = list(base) if changes else base
-            for j, ids in changes:
-                own[j] = np.array(ids, np.int32).tobytes()
-            made.append((b"".join(own), mass, key, -math.expm1(-math.exp(min(50.0, mass - limit))) if limit > -math.inf else 1.0))
+        for chosen, total, key in out:
+            own = list(base) if chosen else base
+            for i, (path, _) in chosen.items():
+                own[i] = np.array(self.lattice(units[i]).told(path)[0], np.int32).tobytes()
+            made.append((b"".join(own), total, key, -math.expm1(-math.exp(min(50.0, total - limit))) if limit > -math.inf else 1.0))
         return made
 
 

@@ -34,7 +34,7 @@ def every(unit, c):
         else:
             for end, ids, s in lattice.arcs[p]:
                 for rest, w in walk(end):
-                    yield ids + rest, s + w
+                    yield tuple(ids) + rest, s + w
 
     return dict(walk(0))
 
