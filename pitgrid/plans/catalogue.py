@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitgrid.plans import filings, landing, prices, records, upkeep
+from pitgrid.plans import briefs, filings, landing, prices, records, upkeep
 
-MODULES = (prices, filings, records, upkeep, landing)
+MODULES = (prices, filings, records, briefs, upkeep, landing)
 
 
 def queries() -> dict:
