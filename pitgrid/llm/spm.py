@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-REMEMBERED, SHORT, LATTICES = 600_000, 48, 80_000
+REMEMBERED, SHORT, LATTICES = 600_000, 48, 150_000
+#: Lattices are remembered of units whose best segmentation has at most this log probability.
+LEAVES = -0.05
 ALPHA, SAMPLES, SEED = 0.002, 3, 7
 
 
@@ -69,12 +71,19 @@ class Lattice:
                 if part not in beginnings:
                     break
             self.arcs.append(found)
-        self.mass, self.best, self.way = [0.0] * (n + 1), [0.0] * (n + 1), [0] * n
+        mass, best, way = [0.0] * (n + 1), [0.0] * (n + 1), [0] * n
+        exp, log = math.exp, math.log
         for p in range(n - 1, -1, -1):
-            arcs, mass, best = self.arcs[p], self.mass, self.best
-            top = max([s + mass[e] for e, _, s in arcs])
-            mass[p] = top + math.log(sum([math.exp(s + mass[e] - top) for e, _, s in arcs]))
-            best[p], self.way[p] = max([(s + best[e], e) for e, _, s in arcs])
+            arcs = self.arcs[p]
+            if len(arcs) == 1:
+                e, _, s = arcs[0]
+                mass[p], best[p], way[p] = s + mass[e], s + best[e], e
+                continue
+            logs = [s + mass[e] for e, _, s in arcs]
+            top = max(logs)
+            mass[p] = top + log(sum([exp(x - top) for x in logs]))
+            best[p], way[p] = max([(s + best[e], e) for e, _, s in arcs])
+        self.mass, self.best, self.way = mass, best[0], way
         self.top = self.best_path()
 
     def best_path(self) -> tuple[int, ...]:
@@ -164,7 +173,9 @@ class Codec:
         told = self.model.encode([u[1:].replace(MARK, " ") for u in units], num_threads=1)
         for u, ids in zip(units, told, strict=True):
             lattice = Lattice(u, self)
-            stay = min(0.0, lattice.best[0] - lattice.mass[0])
+            stay = min(0.0, lattice.best - lattice.mass[0])
+            if stay < LEAVES and len(u) <= SHORT and len(self.lattices) < LATTICES:
+                self.lattices[u] = lattice
             single = list(self.pieces[MARK][0]) if u == MARK else ids
             self.known[u] = Unit(
                 np.array(single, np.int32).tobytes(), np.array(lattice.told(lattice.top)[0], np.int32).tobytes(), stay, log_less(0.0, stay)
@@ -196,9 +207,7 @@ class Codec:
         found = self.lattices.get(unit)
         if found is None:
             found = Lattice(unit, self)
-            if len(unit) <= SHORT:
-                if len(self.lattices) >= LATTICES:
-                    self.lattices.clear()
+            if len(unit) <= SHORT and len(self.lattices) < LATTICES:
                 self.lattices[unit] = found
         return found
 
