@@ -12,8 +12,6 @@ are scored again exactly.  The shards' k best meet in a ranking by query.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window

@@ -2,8 +2,6 @@ import math
 import random
 from collections import Counter
 
-import numpy as np
-
 from pitgrid.llm import spm
 
 TEXTS = [None, "", " ", "a", "  two  spaces ", "tab\tline\n\nx", "日本語 ñandú ﬁ 🙂​", "word " * 4000, "z" * 5000, "Erinst resh."]
