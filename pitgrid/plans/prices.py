@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitgrid.functions.scalars import average_rank, inverse_normal_sql, pct_rank
+from pitgrid.functions.scalars import inverse_normal_sql
 from pitgrid.operators import timeseries as ts
 from pitgrid.operators import transforms as tr
 from pitgrid.plans.fixtures import ctes, read
