@@ -33,6 +33,19 @@ class ImpactIndex:
         self.rows = np.ascontiguousarray(order.T)
         self.values = np.ascontiguousarray(np.take_along_axis(vectors, order, axis=0).T)
         self.sizes = np.abs(self.values)
+        # how many rows of each list have an impact over v, for every v while impacts are small
+        self.largest = int(self.sizes.max(initial=0))
+        self.over = None
+        if self.largest <= 1 << 14:
+            counts = [np.cumsum(np.bincount(s, minlength=self.largest + 1)) for s in self.sizes]
+            self.over = len(vectors) - np.array(counts, np.int64).reshape(len(self.sizes), self.largest + 1)
+
+    def ends(self, dims: np.ndarray, least: np.ndarray) -> list[int]:
+        """For each list how many rows have an impact over ``least``."""
+        if self.over is not None:
+            return self.over[dims, np.minimum(least, self.largest)].tolist()
+        n = len(self.vectors)
+        return [n - int(np.searchsorted(self.sizes[d][::-1], v, side="right")) for d, v in zip(dims.tolist(), least.tolist(), strict=True)]
 
     def best(self, query: np.ndarray, k: int, ids: np.ndarray, own: int) -> list[tuple[int, int]]:
         """The k best (score, row), ties to smaller ids; rows with the id ``own`` take no part."""
@@ -42,21 +55,22 @@ class ImpactIndex:
         largest = int(top.max(initial=0))
         score = np.zeros(n, np.int64)
         seen = np.zeros(n, np.int32)
-        done = np.zeros(dims, np.int64)
+        done, weights = [0] * dims, query.tolist()
         alive = ids != own
         want = min(k, int(alive.sum()))
         if want == 0:
             return []
         active = np.flatnonzero(weight)
+        dims_in = active.tolist()
         maybe = np.flatnonzero(alive)
         for part in BANDS:
             floor = int(largest * part)
-            for d in active:
-                # |contribution| > floor, which is an impact over floor // weight
-                end = n - int(np.searchsorted(self.sizes[d][::-1], floor // weight[d], side="right"))
-                if end > done[d]:
-                    rows = self.rows[d, done[d] : end]
-                    score[rows] += query[d] * self.values[d, done[d] : end]
+            # |contribution| > floor, which is an impact over floor // weight
+            for d, end in zip(dims_in, self.ends(active, floor // weight[active]), strict=True):
+                start = done[d]
+                if end > start:
+                    rows = self.rows[d, start:end]
+                    score[rows] += weights[d] * self.values[d, start:end]
                     seen[rows] += 1
                     done[d] = end
             if floor == 0:
