@@ -3,12 +3,18 @@
 Documents fall into cells of source, language and topic; the tokens of the cells are raked:
 scaled in turn to the target of each margin, round after round, until all margins hold.  A
 document is then sampled with a probability in proportion to raked over present tokens of
-its cell, as large as the neediest cell allows, so the tokens expected in the sample have
-the target margins.  Everything is Spark SQL; the draw is a hash of the document's id.
+its cell, so the tokens expected in the sample have the target margins.  The sample is as
+large as the neediest cell allows, and at least ``LEAST`` of the tokens: cells too small for
+their part of that are taken whole, and the others are raked to what is then left.  ``margins``
+says which targets hold.  Rows stay in Spark SQL; the cells, one row per source, language and
+topic, are settled on the driver; the draw is a hash of the document's id.
 """
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -21,6 +27,10 @@ DIMS = ("source", "lang", "topic")
 #: them, 0 makes them even.
 TEMPER = {"source": 0.5, "lang": 0.5, "topic": 1.0}
 ROUNDS = 10
+#: After ``ROUNDS`` rounds, more follow until no margin is off by this share of all tokens, or ``MOST`` more are done.
+TOLERANCE, MOST = 1e-6, 1000
+#: The sample has at least this share of the tokens in cells that the targets don't rule out.
+LEAST = 0.25
 NONE = "(none)"
 #: The form of a text stands for its topic where the table has none; SQL for both engines.
 TOPIC = (
@@ -60,15 +70,72 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
         for d in DIMS:
             now = F.sum("raked").over(Window.partitionBy(d))
             out = out.withColumn("raked", F.when(now > 0, F.col("raked") * F.col(f"goal_{d}") / now).otherwise(F.lit(0.0)))
-    return out.select(*DIMS, "tokens", "raked")
+    return out.select(*DIMS, "tokens", "raked", *[f"goal_{d}" for d in DIMS])
+
+
+def even_out(x: np.ndarray, want: dict[str, np.ndarray], of: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
+    """``x`` raked until the sums of each margin are ``want``, and by what share of the whole the worst is off."""
+    whole = max(w.sum() for w in want.values())
+    for done in range(MOST + 1):
+        gap = max(np.abs(np.bincount(of[d], x, len(w)) - w).max() for d, w in want.items()) / whole
+        if gap <= TOLERANCE or done == MOST:
+            break
+        for d, w in want.items():
+            now = np.bincount(of[d], x, len(w))
+            x = x * np.divide(w, now, out=np.zeros(len(w)), where=now > 0)[of[d]]
+    return x, float(gap)
 
 
-def chances(rows: DataFrame, targets: dict | None, rounds: int) -> DataFrame:
-    """The probability of each cell: raked over present tokens, over the largest such ratio."""
+def settled(tokens: np.ndarray, raked: np.ndarray, goals: dict[str, np.ndarray], of: dict[str, np.ndarray], least: float) -> tuple[np.ndarray, float]:
+    """The probability of each cell, and by how much the worst margin is off before cells are taken whole.
+
+    ``of`` numbers the value of each cell in a margin; ``goals`` has the weight of each value.
+    """
+    if not raked.sum():
+        return np.zeros(len(tokens)), 0.0
+    want = {d: g / g.sum() for d, g in goals.items()}
+    x, gap = even_out(raked / raked.sum(), want, of)
+    ratio, free = x / tokens, x > 0
+    size = least * tokens[free].sum()
+    if x.sum() / ratio.max() >= size:
+        return ratio / ratio.max(), gap
+    prob = np.zeros(len(tokens))
+    x, want = x / x.sum() * size, {d: w * size for d, w in want.items()}
+    while (full := free & (x >= tokens * (1 - 1e-12))).any():
+        prob[full] = 1.0
+        free &= ~full
+        x = np.where(free, x, 0.0)
+        left = size - tokens[prob == 1].sum()
+        if left <= 0 or not x.any():
+            break
+        for d, w in want.items():
+            now = np.bincount(of[d], x, len(w))
+            rest = np.where(now > 0, np.maximum(w - np.bincount(of[d], np.where(full, tokens, 0), len(w)), now), 0.0)
+            want[d] = rest / rest.sum() * left
+        x = even_out(x, want, of)[0]
+    prob[free] = np.minimum(x / tokens, 1.0)[free]
+    return prob, gap
+
+
+def chances(rows: DataFrame, targets: dict | None, rounds: int, least: float = LEAST) -> DataFrame:
+    """source, lang, topic, tokens, prob of each cell, and its margins' goals."""
     cells = rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
-    ratios = stage(rake(cells, targets, rounds).withColumn("ratio", F.col("raked") / F.col("tokens")).coalesce(1), "cells")
-    top = ratios.agg(F.max("ratio")).first()[0] or 1.0
-    return ratios.select(*DIMS, (F.col("ratio") / F.lit(top)).alias("prob"))
+    spark, names = rows.sparkSession, [f"goal_{d}" for d in DIMS]
+    found = sorted(tuple(r) for r in rake(cells, targets, rounds).select(*DIMS, "tokens", "raked", *names).coalesce(1).collect())
+    prob = []
+    if found:
+        cols = list(zip(*found))
+        of, goals = {}, {}
+        for k, d in enumerate(DIMS):
+            of[d] = np.unique(np.array(cols[k], object), return_inverse=True)[1]
+            goals[d] = np.zeros(of[d].max() + 1)
+            goals[d][of[d]] = cols[5 + k]
+        prob, gap = settled(np.array(cols[3], float), np.array(cols[4], float), goals, of, least)
+        if gap > TOLERANCE:
+            warnings.warn(f"the targets can't be met together: a margin is off by {gap:.2g} of the tokens", stacklevel=2)
+    kinds = "source string, lang string, topic string, tokens long, prob double, " + ", ".join(f"{n} double" for n in names)
+    made = [(*f[:4], float(p), *f[5:]) for f, p in zip(found, prob)]
+    return stage(spark.createDataFrame(made, kinds).coalesce(1), "cells")
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -76,27 +143,48 @@ def draw(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mix(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, prob, sampled for every row of ``docs``.
 
     Null sources, languages and topics are values of their own.  A null text counts as one
     token.  Rows repeated under one id are drawn together.  Other columns aren't read.
+    The sample is expected to have the share ``least`` of the tokens, or more where every cell
+    has enough tokens for more.
     """
     rows = stage(docs.select(F.col(key).alias("doc_id"), *placed(docs, key, text, source, lang, topic)), "placed")
-    joined = rows.join(chances(rows, targets, rounds), list(DIMS))
+    joined = rows.join(chances(rows, targets, rounds, least).select(*DIMS, "prob"), list(DIMS))
     return joined.select("doc_id", *DIMS, "n_tokens", F.round("prob", 6).alias("prob"), (draw(F.col("doc_id"), seed) < F.col("prob")).alias("sampled"))
 
 
-def sampled(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None) -> DataFrame:
+def sampled(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` that ``mix`` samples, with their columns as they are."""
     where = placed(docs, key, text, source, lang, topic)
-    cells = chances(docs.select(*where), targets, rounds)
+    cells = chances(docs.select(*where), targets, rounds, least)
     renamed = [F.col(d).alias(f"__pitgrid_{d}") for d in DIMS]
     mine = docs.withColumns({f"__pitgrid_{d}": c for d, c in zip(DIMS, where)})
     joined = mine.join(cells.select(*renamed, F.col("prob").alias("__pitgrid_prob")), [f"__pitgrid_{d}" for d in DIMS])
     return joined.where(draw(F.col(key), seed) < F.col("__pitgrid_prob")).select(*[mine[f"`{c}`"] for c in docs.columns])
 
 
+def margins(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, least: float = LEAST) -> DataFrame:
+    """dim, value, tokens, target, expected, met: the share of the sample's tokens that each value should have, will have, and whether they agree.
+
+    A target that isn't met is of a value with no row or too few tokens (which is taken whole),
+    gives way to such a value, or can't be met together with the others.
+    """
+    cells = chances(docs.select(*placed(docs, key, text, source, lang, topic)), targets, rounds, least)
+    parts = []
+    for d in DIMS:
+        own = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("tokens"), F.max(f"goal_{d}").alias("goal"), F.sum(F.col("tokens") * F.col("prob")).alias("in_sample"))
+        listed = [(str(k), float(v)) for k, v in sorted(((targets or {}).get(d) or {}).items())]
+        own = own.join(docs.sparkSession.createDataFrame(listed, "value string, listed double"), "value", "full")
+        parts.append(own.select(F.lit(d).alias("dim"), "value", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("goal", "listed").alias("goal"), F.coalesce("in_sample", F.lit(0.0)).alias("in_sample")))
+    every = Window.partitionBy("dim")
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.sum(c).over(every)), F.lit(0.0))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumns({"target": share("goal"), "expected": share("in_sample")})
+    return out.select("dim", "value", "tokens", "target", "expected", (F.abs(F.col("target") - F.col("expected")) <= 2 * TOLERANCE).alias("met"))
+
+
 def oracle_sql(rounds: int = ROUNDS, seed: int = 17) -> str:
     parts = [
         f"""placed as (select doc_id, coalesce(source, '{NONE}') as source, coalesce(lang, '{NONE}') as lang, coalesce({TOPIC}, '{NONE}') as topic,

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pitgrid.llm import mixing
@@ -29,3 +30,35 @@ def test_sample_follows_probabilities(spark):
 def test_empty(spark):
     assert mixing.mix(rows(spark).limit(0), rounds=2).count() == 0
     assert mixing.sampled(rows(spark).limit(0), rounds=2).count() == 0
+
+
+def test_a_rare_value_is_taken_whole(spark):
+    common = rows(spark).where("doc_id is not null and source in ('a', 'b')")
+    stray = spark.createDataFrame([(9999, "w " * 13, "a", None, "t")], common.schema)
+    got = mixing.mix(common.union(stray)).groupBy("lang").agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("prob"))).collect()
+    have = {r[0]: (r[1], r[2]) for r in got}
+    assert abs(have["(none)"][1] - 13) < 1e-6
+    total = sum(r[0] for r in have.values())
+    assert abs(sum(r[1] for r in have.values()) / total - mixing.LEAST) < 1e-3
+    want = (have["en"][0] / have["fr"][0]) ** 0.5  # the other languages keep their target proportion
+    assert abs(have["en"][1] / have["fr"][1] / want - 1) < 1e-3
+    told = {(r.dim, r.value): r for r in mixing.margins(common.union(stray)).collect()}
+    assert not told["lang", "(none)"].met and told["lang", "(none)"].tokens == 13
+
+
+def test_rakes_until_margins_hold(spark):
+    made = [(i, "w " * (400 if s == l else 1), s, l) for i, (s, l) in enumerate([("a", "x"), ("b", "y"), ("a", "y"), ("b", "x")])]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"a": 0.7, "b": 0.3}, "lang": {"x": 0.4, "y": 0.6}}
+    got = {(r.source, r.lang): r.n_tokens * r.prob for r in mixing.mix(docs, targets, least=0.0).collect()}
+    total = sum(got.values())
+    assert abs((got["a", "x"] + got["a", "y"]) / total - 0.7) < 1e-4 and abs((got["a", "x"] + got["b", "x"]) / total - 0.4) < 1e-4
+    assert all(r.met for r in mixing.margins(docs, targets, least=0.0).collect())
+
+
+def test_targets_that_exclude_each_other(spark):
+    docs = spark.createDataFrame([(1, "w " * 50, "a", "x"), (2, "w " * 50, "b", "y")], "doc_id long, text string, source string, lang string")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.9, "y": 0.1, "z": 1.0}}
+    with pytest.warns(UserWarning, match="met together"):
+        told = {(r.dim, r.value): r.met for r in mixing.margins(docs, targets).collect()}
+    assert not all(told.values()) and not told["lang", "z"]
