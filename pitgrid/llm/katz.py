@@ -5,7 +5,8 @@ The model: counts of words and of pairs of words from the training documents; co
 not seen after a word, by their own probability, with a backoff weight that makes each
 distribution add up to one exactly.  The probability of a token is found recursively: the
 pair's if the table has it, else the weight of the word before times the token's own, else
-the share of unseen words.  Pairs seen once are left to backoff, as is usual.
+the share of unseen words.  The table has the pairs with a count of ``least`` or more: 1, as
+the query asks for, keeps all of them; 2 leaves pairs seen once to backoff.
 
 The work is dealt twice.  *Shards* are groups of documents of about equal bytes: a shard's
 task makes the sorted distinct words and pairs of its own texts.  *Buckets* divide the word
@@ -227,10 +228,10 @@ def first_words(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys >> np.uint64(32), return_inverse=True)
 
 
-def answer_pairs():
+def answer_pairs(least: int):
     """To each shard: the counts of its pairs, and for its first words what backoff needs.
 
-    That is, of the pairs of a first word that the table keeps (count of two or more): how
+    That is, of the pairs of a first word that the table keeps (count of ``least`` or more): how
     many have each low count and the sum of the others, and the same of their second words'
     own counts.  ``SUMS`` columns per first word; also the first word's total.
     """
@@ -246,7 +247,7 @@ def answer_pairs():
         heads, head = first_words(keys)
         sums = np.zeros((len(heads), 2 * (LOW + 1) + 1), np.int64)
         np.add.at(sums[:, -1], head, counts.astype(np.int64))
-        kept = counts >= 2
+        kept = counts >= least
         for offset, c in ((0, counts), (LOW + 1, second)):
             low = kept & (c <= LOW)
             np.add.at(sums, (head[low], offset + c[low].astype(np.int64) - 1), 1)
@@ -283,9 +284,9 @@ def discounts(n: list[int], least: int) -> np.ndarray:
 class Model:
     """Probabilities from counts; ``words`` and ``pairs`` are sums of the buckets' statistics."""
 
-    def __init__(self, words: list[int], pairs: list[int]):
-        self.types, self.total = words[-2], words[-1]
-        self.d1, self.d2 = discounts(words[: LOW + 2], 1), discounts(pairs[: LOW + 2], 2)
+    def __init__(self, words: list[int], pairs: list[int], least: int):
+        self.types, self.total, self.least = words[-2], words[-1], least
+        self.d1, self.d2 = discounts(words[: LOW + 2], 1), discounts(pairs[: LOW + 2], least)
         low = sum(self.d1[r] * r * words[r] for r in range(1, LOW + 1))
         high = self.total - sum(r * words[r] for r in range(1, LOW + 1))
         self.unseen = 1 - (low + high) / self.total if self.total else 1.0
@@ -319,7 +320,7 @@ class Model:
     def pair(self, c: np.ndarray, total: np.ndarray, weight: np.ndarray, own: np.ndarray) -> np.ndarray:
         c = c.astype(np.float64)
         factor = np.where(c <= LOW, self.d2[np.minimum(c, LOW).astype(int)], 1.0)
-        return np.where(c >= 2, factor * c / np.maximum(total, 1), weight * own)
+        return np.where(c >= self.least, factor * c / np.maximum(total, 1), weight * own)
 
 
 SCORES = {"held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
@@ -366,12 +367,13 @@ def added(df: DataFrame, width: int) -> list[int]:
     return [int(x or 0) for x in row]
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 2, folds: int = 7, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 2, folds: int = 7, shard_bytes: int = SHARD_BYTES, least: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Learns from the rows whose crc32 of the key modulo ``folds`` isn't ``fold``; a null key is
     learnt from.  A null text is empty and has the end token alone.  Repeated rows give
-    repeated rows, each counted.  Other columns aren't read.
+    repeated rows, each counted.  Other columns aren't read.  Pairs that training has fewer than
+    ``least`` times are scored by backoff.
     """
     held = F.coalesce(F.crc32(F.col(key).cast("string")) % folds == fold, F.lit(False))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -380,8 +382,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int =
     asked = texts.groupBy("shard").applyInArrow(ask_words(buckets), ddl(WORD_QUESTION))
     words = stage(asked.groupBy("bucket").applyInArrow(answer_words(buckets), ddl(WORD_ANSWER)), "words")
     asked = texts.groupBy("shard").cogroup(words.drop("stats").groupBy("shard")).applyInArrow(ask_pairs(buckets), ddl(PAIR_QUESTION))
-    pairs = stage(asked.groupBy("bucket").applyInArrow(answer_pairs(), ddl(PAIR_ANSWER)), "pairs")
-    model = Model(added(words, LOW + 4), added(pairs, LOW + 2))
+    pairs = stage(asked.groupBy("bucket").applyInArrow(answer_pairs(least), ddl(PAIR_ANSWER)), "pairs")
+    model = Model(added(words, LOW + 4), added(pairs, LOW + 2), least)
     both = words.select("shard", "bucket", "numbers", "counts", F.lit(None).cast("binary").alias("sums"), F.lit(WORDS).alias("what")).unionByName(
         pairs.select("shard", "bucket", F.lit(None).cast("binary").alias("numbers"), "counts", "sums", F.lit(PAIRS).alias("what"))
     )

@@ -41,7 +41,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(table(spark, sf_dir, "documents"))
+    return katz.score(table(spark, sf_dir, "documents"), least=1)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,51 @@ def test_packing():
     for x in (np.empty(0, np.uint64), np.array([3, 2**63, 5], np.uint64), np.arange(9, dtype=np.uint32)):
         assert (katz.unpacked(katz.packed(x), x.dtype) == x).all()
         assert (katz.summed(katz.deltas(np.sort(x)), x.dtype) == np.sort(x)).all()
+
+
+def brute_keeping_all(rows):
+    """Scores with the pairs that training has once in the table, by document, and the pairs' discounts."""
+    one, two, held = Counter(), Counter(), {}
+    for i, t in rows:
+        held[i] = i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+        if not held[i]:
+            w = tokens(t)
+            one.update(w)
+            two.update(zip(["<s>", *w[:-1]], w))
+    n = lambda c: [0] + [sum(v == r for v in c.values()) for r in range(1, katz.LOW + 2)]
+
+    def good_turing(c):
+        m, d = n(c), {}
+        share = (katz.LOW + 1) * m[katz.LOW + 1] / m[1]
+        for r in range(1, katz.LOW + 1):
+            made = ((r + 1) * m[r + 1] / m[r] / r - share) / (1 - share) if m[r] and share < 1 else 1.0
+            d[r] = made if 0 < made < 1 else 1.0
+        return d
+
+    d1, d2, total = good_turing(one), good_turing(two), sum(one.values())
+    p1 = {w: d1.get(c, 1.0) * c / total for w, c in one.items()}
+    unseen = 1 - sum(p1.values())
+    after = {}
+    for (h, w), c in two.items():
+        after.setdefault(h, {})[w] = c
+    p2, alpha = {}, {}
+    for h, ws in after.items():
+        whole = sum(ws.values())
+        p2[h] = {w: d2.get(c, 1.0) * c / whole for w, c in ws.items()}
+        if sum(p2[h].values()) > 1 - 1e-9:
+            p2[h] = {w: p * whole / (whole + 1) for w, p in p2[h].items()}
+        alpha[h] = (1 - sum(p2[h].values())) / (1 - sum(p1[w] for w in ws))
+    assert unseen > 1e-12
+    score = lambda w: sum(math.log10(p2.get(h, {}).get(x) or alpha.get(h, 1.0) * p1.get(x, unseen)) for h, x in zip(["<s>", *w[:-1]], w))
+    return {i: score(tokens(t)) for i, t in rows}, d2
+
+
+def test_query_keeps_pairs_seen_once(spark):
+    from pitgrid.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want, d2 = brute_keeping_all(rows)
+    assert 0 < d2[1] < 1
+    got = {r.doc_id: r.score for r in queries.op9_lm_scores(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
