@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pitgrid.llm import langid
@@ -20,3 +21,14 @@ def test_defined_cases(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items() if i is not None)
     assert langid.identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.identify(odd.where("doc_id < -1")).collect()} <= {"und", "fr"}
+
+
+def test_pairs_of_a_family_vote(monkeypatch):
+    """Of four languages in a row the inner ones can be told from each other one, but not from all others at once."""
+    place = {"es": 0, "fr": 1, "it": 2, "pt": 3}
+    point = lambda k, j: np.array([k - 1.5 + 0.1 * j, 0.1 * j], np.float32)
+    model = langid.learn([(lang, point(k, j)) for lang, k in place.items() for j in (-2, -1, 0, 1, 2)])
+    assert len(model.within["romance"]) == 6
+    monkeypatch.setattr(langid, "features", lambda text: point(place[text], 0))
+    got = {lang: model.predict(lang) for lang in place}
+    assert all(lang == p[0] and 0 < p[1] <= 1 for lang, p in got.items()), got
