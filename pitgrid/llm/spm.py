@@ -27,6 +27,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pitgrid.llm.shingling import mix
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Units in a worker's table before it starts anew, and the longest that is remembered.
-REMEMBERED, SHORT = 300_000, 48
+REMEMBERED, SHORT = 800_000, 48
 #: Units up to this length are weighed in arrays, of so many cells at once; longer ones one by one.
 ARRAYED, CELLS = 64, 3_000_000
 #: Code points of texts that are worked on together.
@@ -327,44 +328,27 @@ def rest_of(logs: np.ndarray) -> np.ndarray:
 class Search:
     """The sets of one text's segmentations that are still open, and those drawn so far."""
 
-    __slots__ = ("drawn", "leave", "limit", "odds", "queue", "seed", "stay", "tick", "units")
+    __slots__ = ("drawn", "queue", "seed", "tick", "units")
 
-    def __init__(self, units: np.ndarray, seed: int, codec: Codec):
-        self.units, self.seed = units, seed
-        self.stay, self.leave = codec.stay[units], codec.leave[units]
-        self.odds = np.exp(self.leave)
-        # a set: its key, the unit from which it is open, what that unit may not be, and the units
-        # before that leave their best, with the log probabilities and pieces of their choice
+    def __init__(self, units: np.ndarray, seed: int):
+        self.units, self.seed, self.tick = units, seed, 0
+        # a set: its key, the unit from which it is open, what that unit may not be, the log probability of the
+        # units before, and those of them that leave their best, with the log probabilities and pieces of their choice
         none = (np.empty(0, np.int64), np.empty(0), [])
-        self.queue: list = [(math.log(-math.log(float(uniforms(seed, 0, 0, 2)))), 0, (0, [], none))]
+        self.queue: list = [(math.log(-math.log(float(uniforms(seed, 0, 0, 2)))), 0, (0, [], 0.0, none))]
         self.drawn: list[tuple[tuple, float, float]] = []
-        self.tick, self.limit = 0, -math.inf
-
-    def split(self, key: float, start: int, barred: list, chosen: tuple, noise: np.ndarray, tops: list[bytes], more: int) -> None:
-        """Keeps the segmentation drawn from a set and opens the parts of the rest that may be among the next ``more``."""
-        at, logs, _ = chosen
-        n = len(self.units)
-        lp, other = self.stay.copy(), self.leave.copy()
-        lp[at], other[at] = logs, rest_of(logs)
-        ahead = np.concatenate(([0.0], np.cumsum(lp)))
-        self.drawn.append((chosen, float(ahead[n]), key))
-        if n == start:
-            return
-        own = lambda i, m: (chosen[2][m], float(logs[m])) if m < len(at) and at[m] == i else (tops[self.units[i]], float(self.stay[i]))
-        if barred:
-            none = [*barred, own(start, int(np.searchsorted(at, start)))]
-            other[start] = log_less(0.0, min(0.0, math.log(sum(math.exp(p) for _, p in none))))
-        mass = ahead[start:n] + other[start:]
-        with np.errstate(divide="ignore", over="ignore"):
-            keys = -np.log(np.exp(-key) + noise * np.exp(-mass))
-        keys[mass < -600] = -math.inf
+
+    def split(self, start: int, barred: list, chosen: tuple, likely, lp: np.ndarray, ahead: np.ndarray, keys: np.ndarray, more: int) -> None:
+        """Opens the parts of what is left of a set, by the first unit that differs from ``chosen``, that may be among the next ``more``."""
+        at, logs, ids = chosen
         for c in np.argpartition(-keys, more)[:more].tolist() if len(keys) > more else range(len(keys)):
             if keys[c] == -math.inf:
                 continue
             i = start + c
             m = int(np.searchsorted(at, i))
+            own = (ids[m], float(logs[m])) if m < len(at) and at[m] == i else likely(self.units[i])
             self.tick += 1
-            heapq.heappush(self.queue, (-float(keys[c]), self.tick, (i, [*(barred if c == 0 else []), own(i, m)], (at[:m], logs[:m], chosen[2][:m]))))
+            heapq.heappush(self.queue, (-float(keys[c]), self.tick, (i, [*(barred if c == 0 else []), own], float(ahead[c] - lp[c]), (at[:m], logs[:m], ids[:m]))))
 
 
 class Codec:
@@ -396,7 +380,7 @@ class Codec:
 
     def forget(self) -> None:
         """Starts the table of units anew.  Of each: its pieces by the library, the likeliest ones, and what they and all others weigh."""
-        self.known: dict[str, int] = {}
+        self.known: dict[int, int] = {}
         self.names: list[str] = []
         self.ids: list[bytes] = []
         self.tops: list[bytes] = []
@@ -418,9 +402,13 @@ class Codec:
         """Adds new units to the table."""
         told = self.model.encode([u[1:].replace(MARK, " ") for u in units], num_threads=1)
         first, count = len(self.names), len(self.names) + len(units)
-        self.known.update(zip(units, range(first, count)))
+        sizes = [len(x) for x in told]
+        flat = np.fromiter(chain.from_iterable(told), np.int32, sum(sizes)).tobytes()
+        ends = (4 * np.cumsum(sizes)).tolist()
         self.names += units
-        self.ids += [np.array(ids, np.int32).tobytes() if u != MARK else np.array(self.pieces[MARK][0], np.int32).tobytes() for u, ids in zip(units, told, strict=True)]
+        self.ids += [flat[a:b] for a, b in zip([0, *ends], ends)]
+        if MARK in units:  # the library drops a space that ends a text
+            self.ids[first + units.index(MARK)] = np.array(self.pieces[MARK][0], np.int32).tobytes()
         self.tops += [b""] * len(units)
         if count > len(self.stay):
             self.stay, self.leave, self.sizes = (np.resize(x, 2 * count) for x in (self.stay, self.leave, self.sizes))
@@ -444,17 +432,33 @@ class Codec:
         """The numbers of each text's units in the table; they hold until the next call."""
         if len(self.known) > REMEMBERED or len(self.names) > 2 * REMEMBERED:
             self.forget()
-        units = [self.units(t) for t in texts]
-        known = self.known
-        found = [list(map(known.get, own)) for own in units]
-        fresh = list(dict.fromkeys([u for own, at in zip(units, found) if None in at for u, i in zip(own, at) if i is None]))
+        lines = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        flat = "".join(lines)
+        if not flat:
+            return [np.empty(0, np.int64)] * len(texts)
+        codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+        firsts = np.cumsum([0, *map(len, lines)])
+        mark = codes == ord(MARK)
+        begins = mark.copy()
+        begins[1:] &= ~mark[:-1]
+        begins[firsts[:-1][np.diff(firsts) > 0]] = True
+        at = np.flatnonzero(begins)
+        ends = np.append(at[1:], len(codes))
+        # units by hash: the sum of mixed characters times powers by their place within the unit
+        place = np.arange(len(codes)) - np.repeat(at, ends - at)
+        power = np.multiply.accumulate(np.full(int(place.max()) + 1, BASE, np.uint64))
+        hashes, one, which = np.unique(np.add.reduceat(mix(codes.astype(np.uint64) + np.uint64(1)) * power[place], at), return_index=True, return_inverse=True)
+        hashes = hashes.tolist()
+        found = list(map(self.known.get, hashes))
+        fresh = [j for j, i in enumerate(found) if i is None]
         if fresh:
-            self.learn(fresh)
-        out = [np.array([known[u] for u in own] if None in at else at, np.int64) for own, at in zip(units, found)]
-        for u in fresh:
-            if len(u) > SHORT:
-                del known[u]
-        return out
+            number, names = len(self.names), [flat[at[one[j]] : ends[one[j]]] for j in fresh]
+            self.learn(names)
+            for i, (j, name) in enumerate(zip(fresh, names), number):
+                found[j] = i
+                if len(name) <= SHORT:
+                    self.known[hashes[j]] = i
+        return np.split(np.array(found, np.int64)[which], np.searchsorted(at, firsts[1:-1]))
 
     def read(self, text: str) -> tuple[list[str], np.ndarray]:
         """The units of a text and their numbers."""
@@ -497,34 +501,50 @@ class Codec:
 
     def sample_all(self, texts: list[np.ndarray], k: int, seeds: list[int]) -> list[list[tuple[bytes, float, float, float]]]:
         """For each text up to k of (ids, log probability, perturbed log probability, inclusion probability)."""
-        searches = [Search(units, seed, self) for units, seed in zip(texts, seeds, strict=True)]
+        searches = [Search(units, seed) for units, seed in zip(texts, seeds, strict=True)]
+        likely = lambda unit: (self.tops[unit], float(self.stay[unit]))
         for turn in range(k):
             taken = [(s, heapq.heappop(s.queue)) for s in searches if s.queue]
             if not taken:
                 break
-            starts = [x[2][0] for _, x in taken]
-            counts = np.array([len(s.units) - a for (s, _), a in zip(taken, starts)])
+            # the open units of all sets, one after the other
+            starts = np.array([x[2][0] for _, x in taken])
+            units = np.concatenate([s.units[a:] for (s, _), a in zip(taken, starts.tolist())])
+            counts = np.array([len(s.units) for s, _ in taken]) - starts
             ends = np.cumsum(counts)
-            at = np.arange(ends[-1]) - np.repeat(ends - counts - np.array(starts), counts)
+            heads = ends - counts
+            at = np.arange(len(units)) - np.repeat(heads - starts, counts)
             own = np.repeat(np.array([s.seed for s, _ in taken], np.uint64), counts)
-            gone = uniforms(own, turn, at, 0) < np.concatenate([s.odds[a:] for (s, _), a in zip(taken, starts)])
-            noise = -np.log(uniforms(own, turn, at, 1))
-            barred, heads = {}, ends - counts
-            for (_, (_, _, (_, no, _))), head in zip(taken, heads.tolist()):
-                if no:  # the unit at the start must differ from those
-                    gone[head] = True
-                    barred[head] = no
+            lp, other = self.stay[units], self.leave[units]
+            gone = uniforms(own, turn, at, 0) < np.exp(other)
+            barred = {int(head): x[2][1] for (_, x), head in zip(taken, heads) if x[2][1]}
+            gone[list(barred)] = True  # the unit at the start must differ from those
             where = np.flatnonzero(gone)
-            place = {head: int(np.searchsorted(where, head)) for head in barred}
-            unit = np.concatenate([s.units[a:] for (s, _), a in zip(taken, starts)])[where]
-            ids, logs = self.draw(turn, unit, own[where], at[where], {place[head]: no for head, no in barred.items()})
+            ids, logs = self.draw(turn, units[where], own[where], at[where], {int(np.searchsorted(where, head)): no for head, no in barred.items()})
+            back = [j for j in np.searchsorted(where, list(barred)).tolist() if ids[j] == self.tops[units[where[j]]]]
+            lp[where], other[where] = logs, rest_of(logs)
+            for head, no in barred.items():
+                other[head] = log_less(0.0, min(0.0, math.log(math.exp(lp[head]) + sum(math.exp(p) for _, p in no))))
+            if back:  # the likeliest after all
+                lp[where[back]] = self.stay[units[where[back]]]
+                same = set(back)
+                ids = [x for j, x in enumerate(ids) if j not in same]
+                where, logs = np.delete(where, back), np.delete(logs, back)
+            ahead = np.empty(len(units))
+            for (_, x), a, b in zip(taken, heads.tolist(), ends.tolist()):
+                np.cumsum(lp[a:b], out=ahead[a:b])
+                ahead[a:b] += x[2][2]
+            mass = ahead - lp + other
+            with np.errstate(divide="ignore", over="ignore"):
+                keys = -np.log(np.repeat(np.exp([x[0] for _, x in taken]), counts) - np.log(uniforms(own, turn, at, 1)) * np.exp(-mass))
+            keys[mass < -600] = -math.inf
             cuts = np.searchsorted(where, [0, *ends.tolist()]).tolist()
-            for j, (s, (key, _, (start, no, before))) in enumerate(taken):
-                a, b = cuts[j], cuts[j + 1]
-                if no and ids[a] == self.tops[unit[a]]:
-                    a += 1  # the likeliest after all
-                chosen = (np.concatenate((before[0], at[where[a:b]])), np.concatenate((before[1], logs[a:b])), before[2] + ids[a:b])
-                s.split(-key, start, no, chosen, noise[heads[j] : ends[j]], self.tops, k - turn)
+            place = at[where]
+            for j, ((s, (key, _, (start, no, base, before))), a, b) in enumerate(zip(taken, heads.tolist(), ends.tolist())):
+                c, d = cuts[j], cuts[j + 1]
+                chosen = (np.concatenate((before[0], place[c:d])), np.concatenate((before[1], logs[c:d])), before[2] + ids[c:d])
+                s.drawn.append((chosen, float(ahead[b - 1]) if b > a else base, -key))
+                s.split(start, no, chosen, likely, lp[a:b], ahead[a:b], keys[a:b], k - turn)
         return [self.listed(s, k) for s in searches]
 
     def listed(self, s: Search, k: int) -> list[tuple[bytes, float, float, float]]:
