@@ -1,13 +1,15 @@
-"""Exact top-k search by inner product, score at a time.
-
-Vectors are cut to integers, so a component is the quantised impact of its row in the
-posting list of its dimension.  Rows are dealt into shards and the queries into blocks; for
-each shard a posting list per dimension is ordered by the size of the impact.  A query takes
-the postings of all dimensions from the largest |contribution| down, in bands, adding them
-to accumulators.  After a band no contribution that is still out can exceed the band's floor,
-which bounds every row from above and below.  The search of a shard stops once the rows whose
-upper bound reaches the k-th best lower bound are few, or everything is in; just these rows
-are scored again exactly.  The shards' k best meet in a ranking by query.
+"""Exact top-k search by inner product, score at a time over an impact-ordered index.
+
+Vectors are cut to integers, so a component is the impact of its row in the posting list of
+its dimension.  Rows are dealt into shards and the queries into blocks; a shard is indexed
+once for all queries of a block: impacts are quantised by size, the postings of one quantised
+impact are a segment, and segments are taken from the largest impact down.  A segment adds
+to the scores of all rows for all queries that are still open.  What a row has in later
+segments is bounded by the segment's floor (times the query's sum of weights) and by the norm
+of the row's components still out (times the query's norm), so each score is bounded from
+above and below.  Rows whose upper bound stays under the k-th best lower bound are proven
+out.  When the rows left are few, or everything is in, these are scored again exactly.  The
+shards' k best meet in a ranking by query.
 """
 
 from __future__ import annotations
@@ -17,74 +19,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitgrid.llm.staging import stage
+
 SHARD_ROWS = 8192
-BLOCK_QUERIES = 256
-#: Floors of the bands as parts of the largest contribution.
-BANDS = (0.35, 0.2, 0.12, 0.07, 0.04, 0.0)
+#: Queries that meet a shard in one group, and those that are scored at a time.
+BLOCK_QUERIES, AT_ONCE = 4096, 64
+#: Floors of the quantised impacts as parts of the largest one.
+FLOORS = (0.5, 0.35, 0.25, 0.18, 0.12, 0.08, 0.04, 0.0)
+#: Possible members are scored exactly once they are at most this part of all pairs.
+FEW = 1 / 64
 SCALE = 256
+#: Sums of products below this are exact as doubles.
+EXACT = float(1 << 52)
 
 
 class ImpactIndex:
-    """Posting lists of one shard."""
+    """Posting segments of one shard, from the largest quantised impact down."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        order = np.argsort(-np.abs(vectors), axis=0, kind="stable")
-        self.rows = np.ascontiguousarray(order.T)
-        self.values = np.ascontiguousarray(np.take_along_axis(vectors, order, axis=0).T)
-        self.sizes = np.abs(self.values)
-        # how many rows of each list have an impact over v, for every v while impacts are small
-        self.largest = int(self.sizes.max(initial=0))
-        self.over = None
-        if self.largest <= 1 << 14:
-            counts = [np.cumsum(np.bincount(s, minlength=self.largest + 1)) for s in self.sizes]
-            self.over = len(vectors) - np.array(counts, np.int64).reshape(len(self.sizes), self.largest + 1)
-
-    def ends(self, dims: np.ndarray, least: np.ndarray) -> list[int]:
-        """For each list how many rows have an impact over ``least``."""
-        if self.over is not None:
-            return self.over[dims, np.minimum(least, self.largest)].tolist()
-        n = len(self.vectors)
-        return [n - int(np.searchsorted(self.sizes[d][::-1], v, side="right")) for d, v in zip(dims.tolist(), least.tolist(), strict=True)]
-
-    def best(self, query: np.ndarray, k: int, ids: np.ndarray, own: int) -> list[tuple[int, int]]:
-        """The k best (score, row), ties to smaller ids; rows with the id ``own`` take no part."""
+        sizes = np.abs(vectors.astype(np.float64))
+        self.largest = float(sizes.max(initial=0.0))
+        self.floors = [np.floor(self.largest * part) for part in FLOORS]
+        level = np.searchsorted(-np.array(self.floors), -sizes, side="right")  # a floor's own impact comes after it
+        level[sizes == 0] = len(FLOORS)
+        flat = level.ravel()
+        order = np.argsort(flat, kind="stable")
+        ends = np.searchsorted(flat[order], np.arange(1, len(FLOORS) + 1))
+        self.segments = [order[a:b] for a, b in zip([0, *ends], ends)]
+        squares = np.stack([np.where(level > at, sizes, 0.0) for at in range(len(FLOORS))])
+        #: For each floor the norm of what each row has below it.
+        self.rest = np.sqrt(np.square(squares).sum(axis=2)) * (1 + 1e-9)
+
+    def segment(self, at: int, rows: np.ndarray) -> np.ndarray:
+        """The impacts of one segment as rows and dimensions, for ``rows``."""
         n, dims = self.vectors.shape
-        weight = np.abs(query)
-        top = weight * self.sizes[:, 0]
-        largest = int(top.max(initial=0))
-        score = np.zeros(n, np.int64)
-        seen = np.zeros(n, np.int32)
-        done, weights = [0] * dims, query.tolist()
-        alive = ids != own
-        want = min(k, int(alive.sum()))
-        if want == 0:
-            return []
-        active = np.flatnonzero(weight)
-        dims_in = active.tolist()
-        maybe = np.flatnonzero(alive)
-        for part in BANDS:
-            floor = int(largest * part)
-            # |contribution| > floor, which is an impact over floor // weight
-            for d, end in zip(dims_in, self.ends(active, floor // weight[active]), strict=True):
-                start = done[d]
-                if end > start:
-                    rows = self.rows[d, start:end]
-                    score[rows] += weights[d] * self.values[d, start:end]
-                    seen[rows] += 1
-                    done[d] = end
-            if floor == 0:
-                break
-            slack = (len(active) - seen[maybe]).astype(np.int64) * floor
-            now = score[maybe]
-            lower = now - slack
-            least = np.partition(lower, len(lower) - want)[len(lower) - want]
-            maybe = maybe[now + slack >= least]
-            if len(maybe) <= max(4 * want, n // 16):
+        out = np.zeros(n * dims)
+        out[self.segments[at]] = self.vectors.ravel()[self.segments[at]]
+        return out.reshape(n, dims)[rows]
+
+    def best(self, queries: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray) -> list[tuple[int, int, int]]:
+        """(query, row, score) of the k best rows for each query, ties to smaller ids; rows with the query's own id take no part."""
+        open_ = ids[:, None] != own[None, :]
+        if self.largest * float(np.abs(queries.astype(np.float64)).max(initial=0.0)) * queries.shape[1] >= EXACT:
+            return self.ranked(*np.nonzero(open_), queries, k, ids)
+        weights = queries.astype(np.float64)
+        total, norm = np.abs(weights).sum(axis=1), np.sqrt(np.square(weights).sum(axis=1)) * (1 + 1e-9)
+        want = np.minimum(k, open_.sum(axis=0))
+        rows = np.arange(len(ids))
+        score = np.zeros(open_.shape)
+        least = np.full(len(own), -np.inf)
+        for at, floor in enumerate(self.floors):
+            score += self.segment(at, rows) @ weights.T
+            slack = np.minimum(floor * total[None, :], self.rest[at][rows][:, None] * norm[None, :])
+            lower = np.where(open_, score - slack, -np.inf)
+            if len(rows) > k:
+                lower = np.partition(lower, len(rows) - k, axis=0)[len(rows) - k :]
+            lower = np.sort(lower, axis=0)
+            some = want > 0
+            least[some] = np.maximum(least, lower[len(lower) - np.maximum(want, 1), np.arange(len(own))])[some]
+            open_ &= score + slack >= least[None, :]
+            if open_.sum() <= FEW * len(ids) * len(own):
                 break
-        exact = self.vectors[maybe].astype(np.int64) @ query.astype(np.int64)
-        order = np.lexsort((ids[maybe], -exact))[:want]
-        return [(int(exact[i]), int(maybe[i])) for i in order]
+            live = open_.any(axis=1)
+            rows, score, open_ = rows[live], score[live], open_[live]
+        row, query = np.nonzero(open_)
+        return self.ranked(rows[row], query, queries, k, ids)
+
+    def ranked(self, row: np.ndarray, query: np.ndarray, queries: np.ndarray, k: int, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """The k best of the given pairs by exact score."""
+        out = np.concatenate([self.exact(row[a : a + 65536], queries[query[a : a + 65536]]) for a in range(0, len(row), 65536)] or [np.empty(0, np.int64)])
+        order = np.lexsort((ids[row], -1 - out, query))
+        first = np.searchsorted(query[order], np.arange(len(queries)))
+        take = order[np.arange(len(order)) - first[query[order]] < k]
+        return list(zip(query[take].tolist(), row[take].tolist(), out[take].tolist()))
+
+    def exact(self, row: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Scores of pairs; one beyond 64 bits is cut to the largest or smallest number."""
+        own = self.vectors[row]
+        if self.largest * float(np.abs(queries.astype(np.float64)).max(initial=0.0)) * queries.shape[1] < float(1 << 62):
+            return np.einsum("nd,nd->n", own, queries)
+        top = (1 << 63) - 1
+        return np.array([max(-top - 1, min(top, sum(x * y for x, y in zip(a, b)))) for a, b in zip(own.tolist(), queries.tolist())], np.int64)
 
 
 def integers(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -104,11 +120,11 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     Queries are the rows whose key is divisible by ``every``; all rows but those with the
     query's own key are searched.  Only vectors of the query's length are compared.  Rows
     with a null key, a null vector or a component that is null or not finite take no part;
-    rows repeated in full count once.  Other columns aren't read.
+    rows repeated in full count once.  Components and scores beyond 64 bits are cut to the
+    largest or smallest number.  Other columns aren't read.
     """
-    rows = integers(vectors, key, vector)
-    n = rows.count()
-    shards = max(1, -(-n // shard_rows))
+    rows = stage(integers(vectors, key, vector), "integers")
+    shards = max(1, -(-rows.count() // shard_rows))
     queries = rows.where(F.col("id") % every == 0)
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     # each shard meets each block: the copies of a shard grow with the queries, in blocks
@@ -133,10 +149,10 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
             if length == 0 or len(own) == 0:
                 continue
             take = lambda at: flat[(ends[at] - length)[:, None] + np.arange(length)]  # noqa: B023, E731
-            index = ImpactIndex(take(own))
-            for at in np.flatnonzero((lengths == length) & is_query):
-                for score, row in index.best(flat[ends[at] - length : ends[at]], k, ids[own], ids[at]):
-                    out.append((int(ids[at]), int(ids[own[row]]), score))
+            index, asked = ImpactIndex(take(own)), np.flatnonzero((lengths == length) & is_query)
+            for a in range(0, len(asked), AT_ONCE):
+                at = asked[a : a + AT_ONCE]
+                out += [(int(ids[at[q]]), int(ids[own[row]]), score) for q, row, score in index.best(take(at), k, ids[own], ids[at])]
         cols = list(zip(*out)) or [(), (), ()]
         return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), cols)})
 
