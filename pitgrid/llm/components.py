@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitgrid.llm.staging import stage
+from pitgrid.llm.staging import drop, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,20 +25,22 @@ def components(links: DataFrame) -> DataFrame:
         moved = (
             labels.join(roots, labels["label"] == roots["root"], "left").select("id", F.coalesce("to", "label").alias("label"))
         )
-        labels = stage(moved, "labels")
+        old, labels = labels, stage(moved, "labels")
+        drop(old)
         # follow roots that moved themselves until none does
         while True:
             next_ = labels.select(F.col("id").alias("root"), F.col("label").alias("to")).where("root != to")
             jumped = labels.join(next_, labels["label"] == next_["root"], "left").select(
                 "id", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved")
             )
-            labels = stage(jumped, "labels")
-            again = labels.where("moved").limit(1).count()
-            labels = labels.drop("moved")
-            if not again:
+            old, labels = labels, stage(jumped, "labels")
+            drop(old)
+            if not labels.where("moved").limit(1).count():
                 break
-        at = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
+        at = lambda side, labels=labels: labels.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
         between = edges.join(at("a"), "a").join(at("b"), "b").where("la != lb")
-        edges = stage(between.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
+        old, edges = edges, stage(between.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
+        drop(old)
         if edges.limit(1).count() == 0:
-            return labels
+            drop(edges)
+            return labels.select("id", "label")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pitgrid.llm.components import components
 from pitgrid.llm.shingling import digest, mix, shingle_set
-from pitgrid.llm.staging import stage
+from pitgrid.llm.staging import drop, stage
 
 WIDTH = 5
 #: The similarity as a fraction.
@@ -42,6 +42,8 @@ FINER = ((16384, 32768), (1024, 2048))
 FANOUT = 16
 #: Bits of the filter that finds the texts of candidates: 4 MB.
 FILTER_BITS = 1 << 25
+#: Numbers in one piece of an array that tasks add up.
+PIECE = 1 << 13
 #: Classes in one block or tile, besides the class that all tiles share.
 TILE = 512
 
@@ -83,6 +85,19 @@ def group_counts(shingles: np.ndarray) -> np.ndarray:
     return np.bincount(((shingles >> np.uint64(20)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint32)
 
 
+#: Kinds of numbers that a point is kept in, the smallest that holds its counts; the first byte names it.
+KINDS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+
+
+def packed(point: np.ndarray) -> bytes:
+    size = next(n for n, kind in KINDS.items() if point.max(initial=0) <= np.iinfo(kind).max)
+    return bytes([size]) + point.astype(KINDS[size]).tobytes()
+
+
+def unpacked(kept: bytes) -> np.ndarray:
+    return np.frombuffer(kept, KINDS[kept[0]], offset=1).astype(np.uint32)
+
+
 def folded(point: np.ndarray, groups: int) -> np.ndarray:
     """The point with fewer groups; their numbers divide each other."""
     return point.reshape(-1, groups).sum(axis=0, dtype=np.uint32) if len(point) > groups else point
@@ -138,7 +153,7 @@ def described(docs: DataFrame, order: np.ndarray | None, key: str, text: str) ->
             for value in batch.column(1).to_pylist():
                 s = shingle_set(value, WIDTH)
                 one, two = digest(s)
-                n.append(len(s)), a.append(one), b.append(two), points.append(group_counts(s).tobytes())
+                n.append(len(s)), a.append(one), b.append(two), points.append(packed(group_counts(s)))
                 if len(s):
                     s = s[np.lexsort((s, rank[(s % np.uint64(ORDER_GROUPS)).astype(np.int64)]))]
                     s = s[: len(s) - (-(-TOP * len(s) // BOTTOM)) + 1]
@@ -153,60 +168,76 @@ def described(docs: DataFrame, order: np.ndarray | None, key: str, text: str) ->
     )
 
 
+def merged(parts: DataFrame, numbers: int, how) -> np.ndarray:
+    """One array of ``numbers`` 64-bit numbers from the pieces (piece, data) of every task, piece by piece.
+
+    The array has a fixed size; its pieces are dealt out, so no task holds more of it than its own pieces.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                new = np.frombuffer(data, np.int64)
+                own[piece] = how(own[piece], new) if piece in own else new.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([x.tobytes() for x in own.values()], pa.binary())], names=["piece", "data"])
+
+    out = np.zeros(numbers, np.int64)
+    for piece, data in parts.repartition("piece").mapInArrow(run, "piece long, data binary").collect():
+        out[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(data, np.int64)
+    return out
+
+
+def pieces(array: np.ndarray) -> pa.RecordBatch:
+    """The pieces of an array that aren't all 0."""
+    cut = [(i, array[i * PIECE : (i + 1) * PIECE]) for i in range(len(array) // PIECE)]
+    some = [(i, x.tobytes()) for i, x in cut if x.any()]
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([x for _, x in some], pa.binary())], names=["piece", "data"])
+
+
 def group_frequencies(docs: DataFrame, text: str) -> np.ndarray:
     """How many shingles of all texts fall into each of a fixed number of hash groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ORDER_GROUPS, np.int64)
         for batch in batches:
-            found = [shingle_set(x, WIDTH) for x in batch.column(0).to_pylist()]
-            if found:
-                total += np.bincount((np.concatenate(found) % np.uint64(ORDER_GROUPS)).astype(np.int64), minlength=ORDER_GROUPS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["g", "n"])
-
-    found = docs.select(F.col(text)).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(ORDER_GROUPS, np.int64)
-    out[found["g"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return out
+            for x in batch.column(0).to_pylist():
+                np.add.at(total, (shingle_set(x, WIDTH) % np.uint64(ORDER_GROUPS)).astype(np.int64), 1)
+        yield pieces(total)
+
+    return merged(docs.select(F.col(text)).mapInArrow(run, "piece long, data binary"), ORDER_GROUPS, np.add)
 
 
 def key_bits(keys: np.ndarray) -> np.ndarray:
     return (mix(keys.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def key_filter(wanted: DataFrame) -> np.ndarray | None:
-    """A Bloom filter of fixed size of the keys, or None where they are too many for it to help."""
-    if wanted.count() > FILTER_BITS // 8:
-        return None
+def key_filter(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size of the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(FILTER_BITS // 64, np.int64)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(key_bits(batch.column(0).to_numpy()), pa.int64())], names=["bit"])
+            at = key_bits(batch.column(0).to_numpy())
+            np.bitwise_or.at(words, at >> 6, np.int64(1) << (at & 63))
+        yield pieces(words)
 
-    words = wanted.mapInArrow(run, "bit long").groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(bit, 64) as int)))").alias("bits"))
-    found = words.toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
+    return merged(wanted.mapInArrow(run, "piece long, data binary"), FILTER_BITS // 64, np.bitwise_or).view(np.uint64)
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` and set, as bytes, of the classes of ``wanted`` and of some others.
 
-    A filter of fixed size lets texts go on at once; where it can't hold the keys, the texts
-    are joined to them.
+    A filter of fixed size lets texts go on at once; the more keys it holds, the more other
+    texts pass it, which the join that follows leaves out.
     """
-    filled = key_filter(wanted)
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
-    if filled is None:
-        texts = texts.join(wanted, "key", "left_semi")
-    held = docs.sparkSession.sparkContext.broadcast(filled)
+    held = docs.sparkSession.sparkContext.broadcast(key_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for batch in batches:
-            if bits is not None and batch.num_rows:
+            if batch.num_rows:
                 at = key_bits(batch.column(0).to_numpy())
                 batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
             sets = [shingle_set(x, WIDTH).tobytes() for x in batch.column(1).to_pylist()]
@@ -268,7 +299,7 @@ def still_open(members: DataFrame) -> DataFrame:
     def run(cols: dict) -> list[tuple[int, int, int]]:
         part = cols["label"]
         keep = np.zeros(len(part), bool)
-        for i, rivals in bounded_pairs([np.frombuffer(x, np.uint32) for x in cols["point"]], part):
+        for i, rivals in bounded_pairs([unpacked(x) for x in cols["point"]], part):
             keep[rivals] = True
             keep[i] |= len(rivals) > 0
         at = np.flatnonzero(keep)
@@ -283,7 +314,7 @@ def within_bounds(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
-            keep = [may_reach(np.frombuffer(one, np.uint32), np.frombuffer(two, np.uint32)) for one, two in both]
+            keep = [may_reach(unpacked(one), unpacked(two)) for one, two in both]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("key", "low", "point", "other").mapInArrow(run, "key long, low long")
@@ -298,21 +329,28 @@ def tiles(pairs: DataFrame) -> DataFrame:
     return other.select(F.xxhash64("token", F.least("t", "u"), F.greatest("t", "u")).alias("block"), "key")
 
 
+DIGESTS = ["a", "b", "n_shingles"]
+
+
+def classed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every row with its digest; the classes; the shingles of prefixes that several classes have; and these classes' points."""
+    rows = stage(described(docs, group_frequencies(docs, text), key, text), "sets")
+    classes = stage(rows.where("n_shingles > 0").groupBy(*DIGESTS).agg(F.min("doc_id").alias("key")), "classes")
+    first = rows.join(classes, DIGESTS).where("doc_id = key")
+    postings = first.select("key", F.explode("prefix").alias("token")).repartition("token")
+    shared = postings.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    held = stage(postings.join(shared, "token").select("token", "key", "low").distinct(), "postings")
+    points = stage(first.select("key", "point").join(held.select("key").distinct(), "key", "left_semi"), "points")
+    return rows, classes, held, points
+
+
 def classes_and_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Every row with the key of its class, and the links between classes.
 
     A class's key is its smallest id; an empty set has none.  Links: not all of them, but
     enough to join what they all join.
     """
-    order = group_frequencies(docs, text)
-    rows = stage(described(docs, order, key, text), "sets")
-    digests = ["a", "b", "n_shingles"]
-    classes = stage(rows.where("n_shingles > 0").groupBy(*digests).agg(F.min("doc_id").alias("key")), "classes")
-    first = rows.join(classes, digests).where("doc_id = key")
-    postings = first.select("key", F.explode("prefix").alias("token")).repartition("token")
-    shared = postings.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    held = stage(postings.join(shared, "token").select("token", "key", "low").distinct(), "postings")
-    points = stage(first.select("key", "point").join(held.select("key").distinct(), "key", "left_semi"), "points")
+    rows, classes, held, points = classed(docs, key, text)
 
     # one partner for each class: the smallest class of most of its shingles
     counted = held.where("key != low").groupBy("key", "low").agg(F.count(F.lit(1)).alias("n"))
@@ -326,24 +364,59 @@ def classes_and_links(docs: DataFrame, key: str = "doc_id", text: str = "text")
     members = stage(dealt.select(block, "key").union(dealt.select(block, F.col("low")).distinct()), "blocks")
     sets = stage(with_sets(docs, members.select("key").distinct(), key, text), "candidates")
     links = stage(joined_blocks(members.join(sets, "key").withColumn("label", F.col("key"))), "links")
+    drop(near, members, sets)
 
     labels = components(links)
     labelled = held.join(labels.withColumnRenamed("id", "key"), "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
     open_ = labelled.groupBy("token").agg(
         F.min("label").alias("la"), F.max("label").alias("lb"), F.min("key").alias("low"), F.max("key").alias("key"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.pmod(F.xxhash64("key"), F.lit(1 << 40))).alias("who"),
+        F.sum(F.pmod(F.xxhash64("key"), F.lit(1 << 40))).alias("who"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("which"),
     ).where("la < lb")
     # tokens with the same classes make the same block, so one stands for all of them; two
     # classes that have met need not meet again
-    one = open_.groupBy("n", "who").agg(F.min_by(F.struct("token", "low", "key"), "token").alias("x")).select("n", "x.*")
+    one = open_.groupBy("n", "low", "key", "who", "which").agg(F.min("token").alias("token"))
     met = pairs.withColumn("n", F.lit(2).cast("long"))
     one = one.join(met, ["n", "low", "key"], "left_anti").select("token")
     rest = stage(labelled.join(one, "token"), "open")
+    drop(held, pairs, links)
     known = rest.select("key", "label").distinct().join(points, "key")
     left = stage(still_open(tiles(rest.select("token", "key")).join(known, "key")), "left")
+    drop(rest, points)
     sets = stage(with_sets(docs, left.select("key").distinct(), key, text), "candidates")
     more = stage(joined_blocks(left.join(sets, "key")), "links")
-    return rows.join(classes, digests, "left").drop("prefix", "point"), labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more)
+    drop(left, sets)
+    return rows.join(classes, DIGESTS, "left").drop("prefix", "point"), labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more)
+
+
+def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Membership (doc_id, n_shingles, class_id) of every row, and all links (a, b) between classes, a < b.
+
+    Rows with equal sets are one class, named by its smallest id; copies aren't expanded into
+    pairs.  No link is skipped here, so the pairs of a group of near copies are as many as
+    the group's links.
+    """
+    rows, classes, held, points = classed(docs, key, text)
+
+    def close(cols: dict) -> list[tuple[int, int]]:
+        keys = cols["key"]
+        found = bounded_pairs([unpacked(x) for x in cols["point"]], keys)
+        return list({(int(min(keys[i], keys[j])), int(max(keys[i], keys[j]))) for i, rivals in found for j in rivals.tolist()})
+
+    pairs = stage(by_block(tiles(held.select("token", "key")).join(points, "key"), close, "a long, b long").distinct(), "pairs")
+    sets = stage(with_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), key, text), "candidates").dropDuplicates(["key"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(BOTTOM * both >= TOP * (len(one) + len(two) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("one")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("two")), "b")
+    links = stage(both.select("a", "b", "one", "two").mapInArrow(verify, "a long, b long"), "links")
+    return rows.join(classes, DIGESTS, "left").select("doc_id", "n_shingles", F.coalesce("key", "doc_id").alias("class_id")), links
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,29 +1,26 @@
 """Tables that an operator writes between two of its steps.
 
 They go to the folder that the session names in ``spark.checkpoint.dir``, which all
-executors share, so a lost executor costs a re-read and not a re-computation.
+executors share, so a lost executor costs a re-read and not a re-computation.  A table that
+no later step reads is dropped; what a result still reads stays there for its reader.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a private one only where the session names none (tests)."""
+    """The shared folder that the session names; an error where it names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="pitgrid-")
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
+    if not named and spark.sparkContext.master.startswith("local["):
+        # one process and one disk: the warehouse is as shared as anything
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named.rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -31,7 +28,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

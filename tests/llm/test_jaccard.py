@@ -68,3 +68,24 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.id: r.label for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 500: 500, 501: 500}
+
+
+def test_all_links_between_classes(spark):
+    rows = made()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    membership, links = jaccard.similar_pairs(df)
+    smallest = {}
+    for i, t in rows:
+        smallest.setdefault(frozenset(sets(t)) or i, i)
+    assert {(r.doc_id, r.class_id) for r in membership.collect()} == {(i, smallest[frozenset(sets(t)) or i]) for i, t in rows}
+    ones = [(i, sets(t)) for i, t in rows if sets(t) and smallest[frozenset(sets(t))] == i]
+    want = {(i, j) for i, a in ones for j, b in ones if i < j and 100 * len(a & b) >= 80 * len(a | b)}
+    assert want and sorted(tuple(r) for r in links.collect()) == sorted(want)
+
+
+def test_clashing_names_and_long_texts(spark):
+    long = " ".join(f"w{i % 7919}x{i}" for i in range(20000))
+    rows = [(1, long), (2, long + " tail"), (3, "other " * 3000), (4, None)]
+    df = spark.createDataFrame([(*r, 9, b"x", "y", 0) for r in rows], "doc_id long, text string, label int, set binary, point string, block int")
+    assert {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+    assert jaccard.keep_one(df).columns == df.columns
