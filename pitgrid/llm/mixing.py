@@ -6,20 +6,24 @@ document is then sampled with a probability in proportion to raked over present
 its cell, so the tokens expected in the sample have the target margins.  The sample is as
 large as the neediest cell allows, and at least ``LEAST`` of the tokens: cells too small for
 their part of that are taken whole, and the others are raked to what is then left.  ``margins``
-says which targets hold.  Rows stay in Spark SQL; the cells, one row per source, language and
-topic, are settled on the driver; the draw is a hash of the document's id.
+says which targets hold.  Rows and cells stay in Spark SQL: a few rounds of windows over the
+cells are one plan, whose result is written before the next; the driver only reads by how much
+the worst margin is off.  The draw is a hash of the document's id.
+
+Tokens are counted as words, which SQL can do; where a table of token counts is at hand, give
+it as ``weight``.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from pitgrid.llm.staging import stage
+from pitgrid.llm.staging import drop, stage
 
 WHITE = "[\\x20\\x09-\\x0D]+"
 DIMS = ("source", "lang", "topic")
@@ -29,6 +33,8 @@ TEMPER = {"source": 0.5, "lang": 0.5, "topic": 1.0}
 ROUNDS = 10
 #: After ``ROUNDS`` rounds, more follow until no margin is off by this share of all tokens, or ``MOST`` more are done.
 TOLERANCE, MOST = 1e-6, 1000
+#: Rounds in one plan.
+STEP = 5
 #: The sample has at least this share of the tokens in cells that the targets don't rule out.
 LEAST = 0.25
 NONE = "(none)"
@@ -45,97 +51,118 @@ def tokens(text: Column) -> Column:
     return F.greatest(F.size(words), F.lit(1)).cast("long")
 
 
-def placed(docs: DataFrame, key: str, text: str, source: str, lang: str, topic: Column | None) -> list[Column]:
+def placed(docs: DataFrame, key: str, text: str, source: str, lang: str, topic: Column | None, weight: Column | None = None) -> list[Column]:
     topic = topic if topic is not None else F.expr(TOPIC.replace("text", f"`{text}`"))
     name = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
-    return [name(F.col(source)).alias("source"), name(F.col(lang)).alias("lang"), name(topic).alias("topic"), tokens(F.col(text)).alias("n_tokens")]
+    count = tokens(F.col(text)) if weight is None else F.greatest(F.coalesce(weight.cast("long"), F.lit(1)), F.lit(1)).cast("long")
+    return [name(F.col(source)).alias("source"), name(F.col(lang)).alias("lang"), name(topic).alias("topic"), count.alias("n_tokens")]
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``raked``, whose margins are in proportion to the targets.
+def within(column: str | Column, d: str) -> Column:
+    """The sum over all cells with the same value of a margin."""
+    return F.sum(column).over(Window.partitionBy(d))
 
-    A given target lists the weight of each value of a margin; values it doesn't list get 0.
+
+def even_out(cells: DataFrame, rounds: int, most: int, whole: float = 1.0) -> tuple[DataFrame, float]:
+    """``cells`` with ``x`` raked until the sums of each margin are ``want_*``, and by what share of ``whole`` the worst is off.
+
+    At least ``rounds`` rounds are done, and at most ``most``; no more follow once they don't
+    bring the margins nearer, as with targets that can't be met together.
     """
+    done, before = 0, math.inf
+    while True:
+        step, out = min(STEP, (rounds if done < rounds else most) - done), cells
+        for _ in range(step):
+            for d in DIMS:
+                now = within("x", d)
+                out = out.withColumn("x", F.when(now > 0, F.col("x") * F.col(f"want_{d}") / now).otherwise(F.lit(0.0)))
+        gap = F.greatest(*[F.abs(within("x", d) - F.col(f"want_{d}")) for d in DIMS])
+        old, cells = cells, stage(out.withColumn("gap", gap), "raked")
+        drop(old)
+        done += step
+        worst = (cells.agg(F.max("gap")).first()[0] or 0.0) / whole
+        cells = without(cells, "gap")
+        if done >= rounds and (worst <= TOLERANCE or done >= most or worst > 0.999 * before):
+            return cells, worst
+        before = worst
+
+
+def without(staged: DataFrame, *columns: str) -> DataFrame:
+    """A staged table without some columns, still known as staged."""
+    out = staged.drop(*columns)
+    out.staged_at = staged.staged_at
+    return out
+
+
+def with_goals(cells: DataFrame, targets: dict[str, dict[str, float]] | None) -> DataFrame:
+    """``cells`` with the weight of each margin's value; a given target that doesn't list a value rules it out."""
     out = cells
     for d in DIMS:
-        own = Window.partitionBy(d)
         given = (targets or {}).get(d)
-        goal = F.pow(F.sum("tokens").over(own).cast("double"), F.lit(TEMPER[d]))
+        goal = F.pow(within("tokens", d).cast("double"), F.lit(TEMPER[d]))
         if given is not None:
             listed = F.create_map(*[x for k, v in sorted(given.items()) for x in (F.lit(k), F.lit(float(v)))])
             goal = F.coalesce(F.try_element_at(listed, F.col(d)), F.lit(0.0))
         out = out.withColumn(f"goal_{d}", goal)
-    out = out.withColumn("raked", F.col("tokens").cast("double"))
-    for _ in range(rounds):
-        for d in DIMS:
-            now = F.sum("raked").over(Window.partitionBy(d))
-            out = out.withColumn("raked", F.when(now > 0, F.col("raked") * F.col(f"goal_{d}") / now).otherwise(F.lit(0.0)))
-    return out.select(*DIMS, "tokens", "raked", *[f"goal_{d}" for d in DIMS])
+    return out
 
 
-def even_out(x: np.ndarray, want: dict[str, np.ndarray], of: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
-    """``x`` raked until the sums of each margin are ``want``, and by what share of the whole the worst is off."""
-    whole = max(w.sum() for w in want.values())
-    for done in range(MOST + 1):
-        gap = max(np.abs(np.bincount(of[d], x, len(w)) - w).max() for d, w in want.items()) / whole
-        if gap <= TOLERANCE or done == MOST:
-            break
-        for d, w in want.items():
-            now = np.bincount(of[d], x, len(w))
-            x = x * np.divide(w, now, out=np.zeros(len(w)), where=now > 0)[of[d]]
-    return x, float(gap)
+def in_shares(cells: DataFrame, weights: dict[str, Column], whole: float) -> DataFrame:
+    """``cells`` with ``want_*``: ``whole`` shared among the values of each margin by their weights, which all cells of a value agree on."""
+    sizes = cells.withColumns({f"__w_{d}": w for d, w in weights.items()} | {f"__n_{d}": within(F.lit(1), d) for d in DIMS})
+    sums = sizes.agg(*[F.sum(F.col(f"__w_{d}") / F.col(f"__n_{d}")) for d in DIMS]).first()
+    share = {d: F.col(f"__w_{d}") * F.lit(whole / x if x else 0.0) for d, x in zip(DIMS, sums)}
+    return sizes.withColumns({f"want_{d}": x for d, x in share.items()}).drop(*[f"__{k}_{d}" for k in "wn" for d in DIMS])
 
 
-def settled(tokens: np.ndarray, raked: np.ndarray, goals: dict[str, np.ndarray], of: dict[str, np.ndarray], least: float) -> tuple[np.ndarray, float]:
-    """The probability of each cell, and by how much the worst margin is off before cells are taken whole.
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, most: int | None = None) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with ``raked``, whose margins are in proportion to the targets.
 
-    ``of`` numbers the value of each cell in a margin; ``goals`` has the weight of each value.
+    A given target lists the weight of each value of a margin; values it doesn't list get 0.
+    ``most``: further rounds are done, up to so many in all, until the margins hold.
     """
-    if not raked.sum():
-        return np.zeros(len(tokens)), 0.0
-    want = {d: g / g.sum() for d, g in goals.items()}
-    x, gap = even_out(raked / raked.sum(), want, of)
-    ratio, free = x / tokens, x > 0
-    size = least * tokens[free].sum()
-    if x.sum() / ratio.max() >= size:
-        return ratio / ratio.max(), gap
-    prob = np.zeros(len(tokens))
-    x, want = x / x.sum() * size, {d: w * size for d, w in want.items()}
-    while (full := free & (x >= tokens * (1 - 1e-12))).any():
-        prob[full] = 1.0
-        free &= ~full
-        x = np.where(free, x, 0.0)
-        left = size - tokens[prob == 1].sum()
-        if left <= 0 or not x.any():
-            break
-        for d, w in want.items():
-            now = np.bincount(of[d], x, len(w))
-            rest = np.where(now > 0, np.maximum(w - np.bincount(of[d], np.where(full, tokens, 0), len(w)), now), 0.0)
-            want[d] = rest / rest.sum() * left
-        x = even_out(x, want, of)[0]
-    prob[free] = np.minimum(x / tokens, 1.0)[free]
-    return prob, gap
+    goals = stage(with_goals(cells, targets), "cells")
+    start = in_shares(goals, {d: F.col(f"goal_{d}") for d in DIMS}, 1.0)
+    start = stage(start.withColumn("x", F.col("tokens").cast("double")), "raked")
+    drop(goals)
+    out, gap = even_out(start, rounds, most or rounds)
+    if most and gap > TOLERANCE:
+        warnings.warn(f"the targets can't be met together: a margin is off by {gap:.2g} of the tokens", stacklevel=2)
+    done = out.withColumnRenamed("x", "raked")
+    done.staged_at = out.staged_at
+    return done
 
 
 def chances(rows: DataFrame, targets: dict | None, rounds: int, least: float = LEAST) -> DataFrame:
     """source, lang, topic, tokens, prob of each cell, and its margins' goals."""
     cells = rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
-    spark, names = rows.sparkSession, [f"goal_{d}" for d in DIMS]
-    found = sorted(tuple(r) for r in rake(cells, targets, rounds).select(*DIMS, "tokens", "raked", *names).coalesce(1).collect())
-    prob = []
-    if found:
-        cols = list(zip(*found))
-        of, goals = {}, {}
-        for k, d in enumerate(DIMS):
-            of[d] = np.unique(np.array(cols[k], object), return_inverse=True)[1]
-            goals[d] = np.zeros(of[d].max() + 1)
-            goals[d][of[d]] = cols[5 + k]
-        prob, gap = settled(np.array(cols[3], float), np.array(cols[4], float), goals, of, least)
-        if gap > TOLERANCE:
-            warnings.warn(f"the targets can't be met together: a margin is off by {gap:.2g} of the tokens", stacklevel=2)
-    kinds = "source string, lang string, topic string, tokens long, prob double, " + ", ".join(f"{n} double" for n in names)
-    made = [(*f[:4], float(p), *f[5:]) for f, p in zip(found, prob)]
-    return stage(spark.createDataFrame(made, kinds).coalesce(1), "cells")
+    out = rake(cells, targets, rounds, max(rounds, MOST))
+    made, held, highest = out.agg(F.sum("raked"), F.sum(F.when(F.col("raked") > 0, F.col("tokens"))), F.max(F.col("raked") / F.col("tokens"))).first()
+    names = [*DIMS, "tokens", "prob", *[f"goal_{d}" for d in DIMS]]
+    if not made:
+        return out.withColumn("prob", F.lit(0.0)).select(*names)
+    size = least * held
+    if made / highest >= size:
+        return out.withColumn("prob", F.col("raked") / F.col("tokens") / F.lit(highest)).select(*names)
+    # too small a sample: cells whose part of a larger one exceeds them are taken whole, and the others share what is left
+    out = out.withColumns({"x": F.col("raked") * F.lit(size / made), "whole": F.lit(False), **{f"want_{d}": F.col(f"want_{d}") * F.lit(size) for d in DIMS}})
+    out = stage(out.drop("raked"), "raked")
+    while True:
+        full = ~F.col("whole") & (F.col("x") > 0) & (F.col("x") >= F.col("tokens") * (1 - 1e-12))
+        marked = stage(out.withColumn("new", full), "raked")
+        drop(out)
+        found, taken, free = marked.agg(F.count_if("new"), F.sum(F.when(F.col("whole") | F.col("new"), F.col("tokens"))), F.sum(F.when(~F.col("whole") & ~F.col("new"), F.col("x")))).first()
+        left = size - (taken or 0)
+        out = marked.withColumns({"whole": F.col("whole") | F.col("new"), "x": F.when(F.col("whole") | F.col("new"), 0.0).otherwise(F.col("x"))})
+        if not found or left <= 0 or not free:
+            break
+        sums = {d: within("x", d) for d in DIMS}
+        rest = {d: F.when(now > 0, F.greatest(F.col(f"want_{d}") - within(F.when(F.col("new"), F.col("tokens")).otherwise(0), d), now)).otherwise(0.0) for d, now in sums.items()}
+        out = stage(in_shares(out, rest, float(left)).drop("new"), "raked")
+        drop(marked)
+        out, _ = even_out(out, STEP, MOST, float(left))
+    prob = F.when(F.col("whole"), 1.0).otherwise(F.least(F.col("x") / F.col("tokens"), F.lit(1.0)))
+    return out.withColumn("prob", prob).select(*names)
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -143,7 +170,7 @@ def draw(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mix(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, least: float = LEAST) -> DataFrame:
+def mix(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, weight: Column | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, prob, sampled for every row of ``docs``.
 
     Null sources, languages and topics are values of their own.  A null text counts as one
@@ -151,7 +178,7 @@ def mix(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, seed
     The sample is expected to have the share ``least`` of the tokens, or more where every cell
     has enough tokens for more.
     """
-    rows = stage(docs.select(F.col(key).alias("doc_id"), *placed(docs, key, text, source, lang, topic)), "placed")
+    rows = stage(docs.select(F.col(key).alias("doc_id"), *placed(docs, key, text, source, lang, topic, weight)), "placed")
     joined = rows.join(chances(rows, targets, rounds, least).select(*DIMS, "prob"), list(DIMS))
     return joined.select("doc_id", *DIMS, "n_tokens", F.round("prob", 6).alias("prob"), (draw(F.col("doc_id"), seed) < F.col("prob")).alias("sampled"))
 
