@@ -150,17 +150,20 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     return voted.select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.expr(BASE_FAILED).alias("base_failed"), (~F.expr(BASE_FAILED) & (verdict(model) >= 0.5)).alias("kept"),
+        F.round(verdict(model), 9).alias("quality_prob"),
     )
 
 
 def keep_good(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their columns as they are."""
-    counted = docs.select(features(F.col(text)).alias("f")).select("f.*")
-    model = fit(counted.select(*votes()), rounds)
-    judged = docs.withColumn("__pitgrid_f", features(F.col(text)))
-    voted = F.expr(BASE_FAILED)
-    inner = judged.select(F.struct(*[judged[f"`{c}`"] for c in docs.columns]).alias("__pitgrid_row"), "__pitgrid_f.*").select("__pitgrid_row", *FEATURES, *votes())
-    return inner.where(~voted & (verdict(model) >= 0.5)).select("__pitgrid_row.*")
+    """The rows of ``docs`` that ``judge`` keeps, with their columns as they are.
+
+    Rows are written with their votes once, so no text is counted twice.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__pitgrid_row")
+    counted = docs.select(row, features(F.col(f"`{text}`")).alias("__pitgrid_f")).select("__pitgrid_row", "__pitgrid_f.*")
+    voted = stage(counted.select("__pitgrid_row", F.expr(BASE_FAILED).alias("failed"), *votes()), "votes")
+    model = fit(voted, rounds)
+    return voted.where(~F.col("failed") & (verdict(model) >= 0.5)).select("__pitgrid_row.*")
 
 
 def oracle_sql(rounds: int = ROUNDS) -> str:
@@ -188,5 +191,5 @@ m0 as (select {", ".join(f"{v!r}::double as {k}" for k, v in START.items())})"""
     return (
         "with " + ",\n".join(parts) + f"""
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({BASE_FAILED}) as base_failed,
-  not ({BASE_FAILED}) and {posterior_sql(lambda k: k)} >= 0.5 as kept from voted, m{rounds}"""
+  not ({BASE_FAILED}) and {posterior_sql(lambda k: k)} >= 0.5 as kept, round({posterior_sql(lambda k: k)}, 9) as quality_prob from voted, m{rounds}"""
     )
