@@ -4,8 +4,9 @@ An Arrow function gets batches of texts and returns lengths only.  Texts are spl
 safe boundaries: a byte-level BPE with the usual word pattern joins neither a character
 that isn't white space to white space after it, nor a letter to a character after it that
 is none, so the text falls into units whose counts add up to the count of the text, however
-long it is.  Units not met before are encoded in batches of about equal bytes; the counts
-of short units are remembered by each Python worker, in a table of bounded size.
+long it is.  The texts of a batch are cut together, and what they have of units not met before
+is encoded in batches of about equal bytes that run across texts; the counts of short units
+are remembered by each Python worker, in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ UNITS = re.compile(
 BATCH_BYTES = 1 << 20
 REMEMBERED = 1_000_000
 SHORT = 48
+#: Code points of texts that are cut into units together; a longer text is cut alone.
+GROUP = 1 << 22
 
 
 def default_path() -> str:
@@ -60,7 +63,7 @@ class UnitCounts(dict):
     def encode(self, units: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    def add(self, units: set[str]) -> None:
+    def add(self, units: list[str]) -> None:
         batch, size = [], 0
         for unit in units:
             batch.append(unit)
@@ -71,23 +74,35 @@ class UnitCounts(dict):
         if batch:
             self.update(zip(batch, self.encode(batch)))
 
-    def trim(self) -> None:
+    def count_all(self, texts: list[str]) -> list[int]:
+        """The tokens of each text."""
         if len(self) > REMEMBERED:
             self.clear()
-
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
-        units = UNITS.findall(text)
-        self.trim()
-        fresh = {u for u in set(units) if u not in self}
-        if fresh:
-            self.add(fresh)
-        total = sum(map(self.__getitem__, units))
+        units = [UNITS.findall(t) for t in texts]
+        found = [list(map(self.get, own)) for own in units]
+        fresh = list(dict.fromkeys([u for own, n in zip(units, found) if None in n for u, k in zip(own, n) if k is None]))
+        self.add(fresh)
+        out = [sum(map(self.__getitem__, own)) if None in n else sum(n) for own, n in zip(units, found)]
         for unit in fresh:
             if len(unit) > SHORT:
                 del self[unit]
-        return total
+        return out
+
+    def count(self, text: str) -> int:
+        return self.count_all([text])[0]
+
+
+def groups(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in order, in groups of bounded length."""
+    own, size = [], 0
+    for t in texts:
+        if own and size + len(t) > GROUP:
+            yield own
+            own, size = [], 0
+        own.append(t)
+        size += len(t)
+    if own:
+        yield own
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -103,7 +118,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, te
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         counts = unit_counts(path or default_path())
         for batch in batches:
-            found = [counts.count(x) for x in batch.column(2).to_pylist()]
+            found = [n for group in groups(batch.column(2).to_pylist()) for n in counts.count_all(group)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=[key, "n_bytes", "n_tokens"]
             )
