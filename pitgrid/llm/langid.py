@@ -2,9 +2,10 @@
 
 A text is a bag of hashed byte n-grams of its letters.  One linear support vector machine per
 family, one against the rest, picks the family; within it one per pair of languages, one
-against the other, votes for the language; the sum of margins breaks ties.  The machines learn from a sample of bounded size of
-the labelled rows; whole texts, and single sentences of them so that short texts are known
-too.  Prediction reads each whole text once, in Arrow batches.
+against the other, votes for the language; the sum of margins breaks ties, and then the later
+name.  The machines learn from a sample of bounded size of the labelled rows; whole texts, and
+single sentences of them so that short texts are known too.  Prediction reads each whole text
+once, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def family(lang: str) -> str:
 def features(text: str) -> np.ndarray | None:
     """Unit vector of hashed n-gram counts, or None where there is no letter."""
     line = LETTERS.sub(" ", text.lower()).strip()
-    if not line:
+    if not any(map(str.isalpha, line)):  # other numerals than digits are left in
         return None
     b = np.frombuffer(f" {line} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
     out = np.zeros(1 << BITS, np.float32)
@@ -151,13 +152,14 @@ def pieces(text: str, key: int) -> list[str]:
 
 
 def sample(docs: DataFrame, key: str, text: str, lang: str) -> list[tuple[str, np.ndarray]]:
-    """Features of about ``SAMPLE_ROWS`` rows for each language, at most twice as many, by hash of the key."""
+    """Features of about ``SAMPLE_ROWS`` rows for each language, at most twice as many in all, those of the least hash."""
     sizes = {r[lang]: r["count"] for r in docs.groupBy(lang).count().collect()}
     if not sizes:
         return []
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(SAMPLE_ROWS / n))])
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
-    few = docs.where(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.crc32(F.col(key).cast("string")).alias("place"))
+    few = docs.where(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.crc32(F.col(key).cast("string")).alias("place"), place.alias("_p"))
+    few = few.orderBy("_p", "text").limit(2 * SAMPLE_ROWS * len(sizes)).drop("_p").repartition(16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +169,7 @@ def sample(docs: DataFrame, key: str, text: str, lang: str) -> list[tuple[str, n
                     [pa.array([lang_] * len(made), pa.string()), pa.array([f.astype(np.float16).tobytes() for f in made], pa.binary())], names=["lang", "f"]
                 )
 
-    got = few.mapInArrow(run, "lang string, f binary").limit(2 * SAMPLE_ROWS * (1 + SENTENCES) * len(sizes)).collect()
+    got = few.mapInArrow(run, "lang string, f binary").collect()
     return sorted(((r.lang, np.frombuffer(r.f, np.float16).astype(np.float32)) for r in got), key=lambda r: (r[0], r[1].tobytes()))
 
 
