@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pitgrid.llm.shingling import spans
 from pitgrid.llm.staging import stage
@@ -388,6 +389,6 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int =
         pairs.select("shard", "bucket", F.lit(None).cast("binary").alias("numbers"), "counts", "sums", F.lit(PAIRS).alias("what"))
     )
     kind = docs.schema[key].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(docs.schema[key].dataType)
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return texts.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(score_texts(model, buckets, id_type), out)
