@@ -110,13 +110,13 @@ def money(text: Column) -> Column:
 
 
 def normalize_title(title: Column) -> Column:
-    """Lower case, letters and digits only, single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "))
+    """A headline without regard to case and white space; all other characters, of any script, stay."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\s+", " "))
 
 
 def article_id(ticker: Column, title: Column) -> Column:
     """24 hex digits that stay the same for one headline about one ticker."""
-    return F.substring(F.sha2(F.concat_ws("|", F.coalesce(ticker, F.lit("")), normalize_title(title)), 256), 1, 24)
+    return F.substring(F.sha2(F.concat(F.coalesce(ticker, F.lit("")), F.lit("|"), normalize_title(title)), 256), 1, 24)
 
 
 def signal_bucket(signal: Column) -> Column:

@@ -65,13 +65,13 @@ def event_counts(events: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     )
 
 
-def attention_z(views: DataFrame, recent: int = 14, least: int = 60) -> DataFrame:
+def attention_z(views: DataFrame, by: tuple[str, ...] = ("ticker",), recent: int = 14, least: int = 60) -> DataFrame:
     """Mean of the last ``recent`` counts against mean and deviation of those before; ``least`` counts at least."""
-    k = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
+    k = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("date")))
     df = views.withColumn("k", k)
     new, old = F.when(F.col("k") <= recent, F.col("wiki_views")), F.when(F.col("k") > recent, F.col("wiki_views"))
-    out = df.groupBy("ticker").agg(F.avg(new).alias("a"), F.avg(old).alias("b"), F.stddev_samp(old).alias("s"), F.count(F.lit(1)).alias("n"))
-    return out.select("ticker", F.when((F.col("n") >= least) & (F.col("s") > 0), (F.col("a") - F.col("b")) / F.col("s")).alias("ATTENTION_Z"), "n")
+    out = df.groupBy(*by).agg(F.avg(new).alias("a"), F.avg(old).alias("b"), F.stddev_samp(old).alias("s"), F.count(F.lit(1)).alias("n"))
+    return out.select(*by, F.when((F.col("n") >= least) & (F.col("s") > 0), (F.col("a") - F.col("b")) / F.col("s")).alias("ATTENTION_Z"), "n")
 
 
 def merge_lots(trades: DataFrame) -> DataFrame:

@@ -46,7 +46,12 @@ def window_join(dates: DataFrame, facts: DataFrame, time: str, days: int, as_of:
 def members_asof(dates: DataFrame, members: DataFrame) -> DataFrame:
     """as_of, index_symbol, source, ticker: the rows of each source's latest snapshot."""
     snaps = members.select("index_symbol", "source", F.col("as_of").alias("snapshot")).distinct()
-    keyed = dates.select("as_of").withColumn("_one", F.lit(1)).join(snaps.select("index_symbol", "source").distinct().withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # a source is asked about the dates from its first snapshot on; they meet by year
+    first = snaps.groupBy("index_symbol", "source").agg(F.year(F.min("snapshot")).alias("_a"), F.year(F.max("snapshot")).alias("_z"))
+    last = dates.agg(F.max(F.year("as_of")).alias("_y")).select(F.col("_y").alias("_last"))
+    years = dates.select("as_of", F.year("as_of").alias("_y"))
+    spans = first.join(last, F.col("_a") <= F.col("_last")).select("index_symbol", "source", F.explode(F.sequence("_a", F.greatest("_z", "_last"))).alias("_y"))
+    keyed = years.join(spans, "_y").drop("_y")
     latest = asof_join(keyed, snaps, ["index_symbol", "source"], "as_of", "snapshot", ["snapshot"]).where("snapshot is not null")
     rows = members.select("index_symbol", "source", F.col("as_of").alias("snapshot"), "ticker")
     return latest.join(rows, ["index_symbol", "source", "snapshot"])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,31 +90,47 @@ def walk_forward(held: DataFrame, segs: DataFrame, cost: float = 0.001) -> DataF
     return out.withColumn("curve", F.exp(F.sum(F.log1p("net")).over(run)))
 
 
-def metrics(curve: DataFrame, by: list[str], value: str, time: str, per_year: float, rf: float = 0.0) -> DataFrame:
-    """Total return, CAGR, volatility, Sharpe, Sortino, drawdown, Calmar, best, worst and hit rate of a curve."""
+def metrics(curve: DataFrame, by: list[str], value: str, time: str, rf: float = 0.0) -> DataFrame:
+    """Performance of each curve: total_return, cagr, volatility, sharpe, sortino, max_drawdown, calmar, best, worst, hit_rate, years.
+
+    Years come from the first and the last date.  The yearly risk-free rate is turned into
+    one per period and taken off returns; Sortino divides by the deviation below it, over all
+    periods.  A curve of fewer than two values has no row.
+    """
     w = Window.partitionBy(*by).orderBy(time)
-    df = curve.withColumn("_r", F.col(value) / F.lag(value).over(w) - 1)
+    df = curve.where(F.col(value).isNotNull()).withColumn("_r", F.col(value) / F.lag(value).over(w) - 1)
     df = df.withColumn("_dd", F.col(value) / F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    years = F.count("_r") / per_year
-    total = F.max_by(value, time) / F.min_by(value, time) - 1
-    growth = F.when(years > 0, F.pow(1 + total, 1 / years) - 1)
-    vol = F.stddev_samp("_r") * math.sqrt(per_year)
-    down = F.sqrt(F.avg(F.pow(F.least(F.col("_r"), F.lit(0.0)), F.lit(2)))) * math.sqrt(per_year)
-    return df.groupBy(*by).agg(
-        total.alias("total_return"), growth.alias("cagr"), vol.alias("volatility"), safe_div(F.avg("_r") * per_year - rf, vol).alias("sharpe"),
-        safe_div(F.avg("_r") * per_year - rf, down).alias("sortino"), F.min("_dd").alias("max_drawdown"), safe_div(growth, F.abs(F.min("_dd"))).alias("calmar"),
-        F.max("_r").alias("best"), F.min("_r").alias("worst"), F.avg((F.col("_r") > 0).cast("double")).alias("hit_rate"), years.alias("years"),
+    whole = Window.partitionBy(*by)
+    df = df.withColumn("_years", F.greatest(F.datediff(F.max(time).over(whole), F.min(time).over(whole)) / 365.25, F.lit(1e-9)))
+    df = df.withColumn("_n", F.count("_r").over(whole) / F.col("_years")).withColumn("_x", F.col("_r") - (F.pow(F.lit(1 + rf), 1 / F.col("_n")) - 1))
+    out = df.groupBy(*by).agg(
+        (F.max_by(value, time) / F.min_by(value, time) - 1).alias("total_return"), F.max("_years").alias("years"), F.max("_n").alias("n"), F.count("_r").alias("k"),
+        F.coalesce(F.stddev_samp("_r"), F.lit(0.0)).alias("sd"), F.avg("_x").alias("x"), F.sqrt(F.avg(F.when(F.col("_x").isNotNull(), F.pow(F.least(F.col("_x"), F.lit(0.0)), F.lit(2))))).alias("down"),
+        F.min("_dd").alias("max_drawdown"), F.max("_r").alias("best"), F.min("_r").alias("worst"), F.avg(F.when(F.col("_r").isNotNull(), (F.col("_r") > 0).cast("double"))).alias("hit_rate"),
+    )
+    year = F.sqrt("n")
+    cagr = F.pow(1 + F.col("total_return"), 1 / F.col("years")) - 1
+    over = lambda d: F.when(F.col(d) > 0, F.col("x") / F.col(d) * year).otherwise(F.lit(0.0))
+    return out.where("k > 0").select(
+        *by, "total_return", cagr.alias("cagr"), (F.col("sd") * year).alias("volatility"), over("sd").alias("sharpe"), over("down").alias("sortino"), "max_drawdown",
+        F.when(F.col("max_drawdown") < 0, cagr / F.abs("max_drawdown")).otherwise(F.lit(0.0)).alias("calmar"), "best", "worst", "hit_rate", "years",
     )
 
 
-def relative_metrics(pairs: DataFrame, by: list[str], per_year: float) -> DataFrame:
-    """Excess, tracking error, information ratio and beta of returns ``r`` against ``b``."""
-    diff = F.col("r") - F.col("b")
-    te = F.stddev_samp(diff) * math.sqrt(per_year)
-    return pairs.groupBy(*by).agg(
-        (F.avg(diff) * per_year).alias("excess"), te.alias("tracking_error"), safe_div(F.avg(diff) * per_year, te).alias("information_ratio"),
-        safe_div(F.covar_samp("r", "b"), F.var_samp("b")).alias("beta"),
+def relative_metrics(pairs: DataFrame, by: list[str], time: str) -> DataFrame:
+    """Of curves ``value`` against ``bench`` at the same dates: benchmark_cagr, excess_cagr, tracking_error, information_ratio, beta."""
+    w, whole = Window.partitionBy(*by).orderBy(time), Window.partitionBy(*by)
+    back = lambda c: F.col(c) / F.lag(c).over(w) - 1
+    df = pairs.where("value is not null and bench is not null").withColumns({"_r": back("value"), "_b": back("bench")})
+    years = F.greatest(F.datediff(F.max(time).over(whole), F.min(time).over(whole)) / 365.25, F.lit(1e-9))
+    df = df.withColumns({"_years": years, "_d": F.col("_r") - F.col("_b")})
+    grown = lambda c: F.pow(F.max_by(c, time) / F.min_by(c, time), 1 / F.max("_years")) - 1
+    n, te = F.count("_r") / F.max("_years"), F.stddev_samp("_d")
+    out = df.groupBy(*by).agg(
+        grown("bench").alias("benchmark_cagr"), (grown("value") - grown("bench")).alias("excess_cagr"), (te * F.sqrt(n)).alias("tracking_error"),
+        safe_div(F.avg("_d") * n, te * F.sqrt(n)).alias("information_ratio"), safe_div(F.covar_samp("_r", "_b"), F.var_samp("_b")).alias("beta"), F.count("_r").alias("k"),
     )
+    return out.where("k > 0").drop("k")
 
 
 def compare(now: DataFrame, then: DataFrame, keys: list[str]) -> DataFrame:

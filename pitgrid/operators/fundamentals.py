@@ -114,11 +114,14 @@ def usable_income(income: Column, revenue: Column) -> Column:
     return F.when(revenue.isNull() | (F.abs(income) >= 0.005 * F.abs(revenue)), income)
 
 
-def share_count(cover: Column, cover_filed: Column, diluted: Column, diluted_filed: Column, as_of: Column, income: Column, eps: Column, split_recent: Column) -> Column:
-    """Cover-page count if fresh, else the diluted one; NULL if far from income / eps and no split explains it."""
+def share_count(cover: Column, cover_filed: Column, diluted: Column, diluted_filed: Column, basic: Column, basic_filed: Column, as_of: Column, income: Column, eps: Column, split_recent: Column) -> Column:
+    """Cover-page count if fresh, else the fresh average that was filed last, diluted before basic; NULL if far from income / eps and no split explains it."""
     fresh = lambda v, f: F.when((v > 0) & (F.datediff(as_of, f) <= FRESH_DAYS), v)
-    count = F.coalesce(fresh(cover, cover_filed), fresh(diluted, diluted_filed))
-    ratio = safe_div(count, safe_div(income, eps))
+    d, b = fresh(diluted, diluted_filed), fresh(basic, basic_filed)
+    average = F.when(d.isNotNull() & b.isNotNull() & (basic_filed > diluted_filed), b).otherwise(F.coalesce(d, b))
+    count = F.coalesce(fresh(cover, cover_filed), average)
+    implied = safe_div(income, eps)
+    ratio = safe_div(count, F.when(implied > 0, implied))
     return F.when(ratio.isNull() | ratio.between(0.70, 1.45) | split_recent, count)
 
 
@@ -137,13 +140,13 @@ def ratios(w: DataFrame) -> DataFrame:
     fcf = c("operating_cash_flow") - F.abs("capex")
     invested = equity + F.coalesce(debt, F.lit(0.0))
     made = {
-        "FCF": fcf, "GROSS_MARGIN": safe_div(c("gross_profit"), c("revenue")), "NET_MARGIN": safe_div(c("net_income"), c("revenue")), "ROE": safe_div(c("net_income"), equity),
+        "FCF": fcf, "GROSS_MARGIN": safe_div(c("gross_profit"), c("revenue")), "OPERATING_MARGIN": safe_div(c("operating_income"), c("revenue")), "NET_MARGIN": safe_div(c("net_income"), c("revenue")), "ROE": safe_div(c("net_income"), equity),
         "ROA": safe_div(c("net_income"), c("assets")), "ROIC": safe_div(c("operating_income"), invested), "GROSS_PROFITABILITY": safe_div(c("gross_profit"), c("assets")),
         "ASSET_TURNOVER": safe_div(c("revenue"), c("assets")), "DEBT_TO_EQUITY": safe_div(debt, equity), "NET_DEBT_TO_EQUITY": safe_div(debt - F.coalesce("cash", F.lit(0.0)), equity),
         "CURRENT_RATIO": safe_div(c("current_assets"), c("current_liabilities")), "FCF_CONVERSION": safe_div(fcf, usable_income(c("net_income"), c("revenue"))),
         "EPS": safe_div(c("net_income"), c("shares")), "ACCRUALS": safe_div(c("net_income") - c("operating_cash_flow"), c("assets")),
         "REVENUE_GROWTH_1Y": growth(c("revenue"), c("revenue_y1")), "EARNINGS_GROWTH_1Y": growth(c("net_income"), c("net_income_y1")),
-        "REVENUE_CAGR_3Y": cagr(c("revenue"), c("revenue_y3"), 3), "EQUITY_CAGR_3Y": cagr(c("equity"), c("equity_y3"), 3),
+        "REVENUE_CAGR_3Y": cagr(c("revenue"), c("revenue_y3"), 3), "EQUITY_CAGR_3Y": cagr(c("equity"), c("equity_y3"), 3), "EPS_CAGR_3Y": cagr(c("eps_diluted"), c("eps_diluted_y3"), 3),
         "MARKET_CAP": c("market_cap"), "EV": c("market_cap") + F.coalesce(debt, F.lit(0.0)) - F.coalesce("cash", F.lit(0.0)),
         "EARNINGS_YIELD": safe_div(c("net_income"), c("market_cap")), "FCF_YIELD": safe_div(fcf, c("market_cap")), "SALES_YIELD": safe_div(c("revenue"), c("market_cap")),
         "BOOK_TO_MARKET": safe_div(equity, c("market_cap")), "BUYBACK_YIELD": safe_div(F.abs("buybacks"), c("market_cap")), "DIVIDEND_YIELD": safe_div(F.abs("dividends_paid"), c("market_cap")),
@@ -156,5 +159,6 @@ def ratios(w: DataFrame) -> DataFrame:
         made["CURRENT_RATIO"] > before["cur"], c("shares") <= 1.02 * c("shares_y1"), made["GROSS_MARGIN"] > before["gm"], made["ASSET_TURNOVER"] > before["turn"],
     )
     made["PIOTROSKI_F"] = sum((F.coalesce(t, F.lit(False)).cast("int") for t in tests), F.lit(0))
+    made |= {"FORWARD_PE": c("forward_pe"), "TRAILING_PE": c("trailing_pe")}
     made["EARNINGS_SURPRISE"] = F.when(F.datediff("as_of", "sue_filed") <= 100, c("sue"))
     return w.select("as_of", "ticker", *[v.alias(k) for k, v in made.items()])

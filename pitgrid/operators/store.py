@@ -53,8 +53,8 @@ def orphans(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFra
     return children.join(parents, keys, "left_anti")
 
 
-def calendar(spark, first: str, last: str, closed: DataFrame) -> DataFrame:
-    """Trading days: weekdays that aren't ``closed`` (date), numbered, with the days beside them."""
+def open_days(spark, first: str, last: str, closed: DataFrame) -> DataFrame:
+    """Days with a session: weekdays that aren't ``closed`` (date), numbered, with the days beside them."""
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("date"))
     open_ = days.where(F.dayofweek("date").between(2, 6)).join(closed, "date", "left_anti")
     w = Window.orderBy("date")

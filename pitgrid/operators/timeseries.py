@@ -80,30 +80,44 @@ def at_dates(rows: DataFrame, dates: DataFrame, lookback: int, columns: list[str
     return joined.where("session <= at and session > at - %d" % lookback).withColumn("age", F.col("at") - F.col("session")).drop("_b", "at")
 
 
-def ewm_last(x: Column, age: Column, alpha: float) -> Column:
-    """Last value of the unadjusted exponential mean, as one aggregate over (x, age).
+#: Sessions over which decayed sums share one scale; what is older than two such spans has no weight left.
+SPAN = 504
 
-    The first value has weight (1 - alpha) ** age, later ones alpha times that.
-    """
-    pair = F.when(x.isNotNull(), F.struct((-age).alias("a"), x.alias("x")))
-    decayed = F.sum(F.when(x.isNotNull(), x * alpha * F.pow(F.lit(1 - alpha), age)))
-    first = F.min(pair)
-    return decayed + first["x"] * (1 - alpha) * F.pow(F.lit(1 - alpha), -first["a"])
 
+def ewm(grid: DataFrame, columns: dict[str, str], alpha: float) -> DataFrame:
+    """``grid`` with the unadjusted exponential mean of columns at every session, by names of the results.
 
-def rsi(seen: DataFrame, period: int = 14) -> DataFrame:
-    """RSI_14 per as-of and entity, of ``delta``, the change of the close; at least period + 1 sessions.
+    The first value has the weight of all that is missing before it.  Decayed values are
+    summed along the entity's sessions, on a scale that starts anew every ``SPAN`` sessions so
+    that it stays within the range of doubles; the sum of the span before is carried over.
+    """
+    keep = 1 - alpha
+    pos = F.pmod(F.col("session"), F.lit(SPAN))
+    span = Window.partitionBy("ticker", F.floor(F.col("session") / SPAN)).orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = by_session().rowsBetween(Window.unboundedPreceding, 0)
+    out = grid
+    for name, x in columns.items():
+        u = F.coalesce(F.col(x) * F.pow(F.lit(keep), -pos), F.lit(0.0))
+        out = out.withColumn("_sum", F.sum(u).over(span))
+        before = F.last(F.when(pos == SPAN - 1, F.struct("session", F.col("_sum").alias("s"))), ignorenulls=True).over(by_session().rowsBetween(Window.unboundedPreceding, -1))
+        first = F.first(F.when(F.col(x).isNotNull(), F.struct("session", F.col(x).alias("x"))), ignorenulls=True).over(so_far)
+        out = out.withColumns({"_before": before, "_first": first})
+        carried = F.coalesce(F.col("_before.s") * F.pow(F.lit(keep), F.lit(SPAN)), F.lit(0.0))
+        decayed = alpha * F.pow(F.lit(keep), pos) * (F.col("_sum") + carried)
+        out = out.withColumn(name, decayed + keep * F.col("_first.x") * F.pow(F.lit(keep), F.col("session") - F.col("_first.session")))
+    return out.drop("_sum", "_before", "_first")
+
+
+def rsi(grid: DataFrame, period: int = 14) -> DataFrame:
+    """``grid`` with RSI_14 of ``delta``, the change of the close; at least period + 1 sessions.
 
     All gains is 100, no move at all is NULL.
     """
-    gain, loss = F.greatest("delta", F.lit(0.0)), F.greatest(-F.col("delta"), F.lit(0.0))
-    gain = F.when(F.col("delta").isNotNull(), gain)
-    loss = F.when(F.col("delta").isNotNull(), loss)
-    out = seen.groupBy("as_of", "ticker").agg(
-        ewm_last(gain, F.col("age"), 1 / period).alias("g"), ewm_last(loss, F.col("age"), 1 / period).alias("l"), F.count(F.lit(1)).alias("n")
-    )
-    value = F.when(F.col("l") > 0, 100 - 100 / (1 + F.col("g") / F.col("l"))).when(F.col("g") > 0, F.lit(100.0))
-    return out.select("as_of", "ticker", F.when(F.col("n") >= period + 1, value).alias("RSI_14"))
+    some = F.col("delta").isNotNull()
+    df = grid.withColumns({"_gain": F.when(some, F.greatest("delta", F.lit(0.0))), "_loss": F.when(some, F.greatest(-F.col("delta"), F.lit(0.0)))})
+    df = ewm(df, {"_g": "_gain", "_l": "_loss"}, 1 / period).withColumn("_k", F.row_number().over(by_session()))
+    value = F.when(F.col("_l") > 0, 100 - 100 / (1 + F.col("_g") / F.col("_l"))).when(F.col("_g") > 0, F.lit(100.0))
+    return df.withColumn("RSI_14", F.when(F.col("_k") >= period + 1, value)).drop("_gain", "_loss", "_g", "_l", "_k")
 
 
 def true_range(grid: DataFrame) -> DataFrame:
@@ -113,19 +127,20 @@ def true_range(grid: DataFrame) -> DataFrame:
     return grid.withColumn("tr", F.when(before.isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull(), tr))
 
 
-def beta(seen: DataFrame, market: DataFrame, least: int = 60) -> DataFrame:
-    """BETA and IDIO_VOL per as-of and entity: covariance of paired returns over the variance of
+def beta(grid: DataFrame, market: DataFrame, least: int = 60) -> DataFrame:
+    """``grid`` with BETA and IDIO_VOL over a year: covariance of paired returns over the variance of
     all market returns seen, and the deviation of what the market doesn't explain."""
-    joined = seen.join(market.select("session", F.col("ret").alias("mret")), "session", "left")
+    df = grid.join(market.select("session", F.col("ret").alias("mret")), "session", "left")
     both = F.col("ret").isNotNull() & F.col("mret").isNotNull()
-    stats = joined.groupBy("as_of", "ticker").agg(
-        F.covar_samp(F.when(both, F.col("ret")), F.when(both, F.col("mret"))).alias("cov"), F.var_samp("mret").alias("var"),
-        F.var_samp(F.when(both, F.col("ret"))).alias("vr"), F.var_samp(F.when(both, F.col("mret"))).alias("vm"), F.count(F.when(both, 1)).alias("n"),
-    )
-    b = safe_div(F.col("cov"), F.col("var"))
-    rest = F.col("vr") - 2 * b * F.col("cov") + b * b * F.col("vm")
-    keep = lambda x: F.when(F.col("n") >= least, x)
-    return stats.select("as_of", "ticker", keep(b).alias("BETA"), keep(F.sqrt(F.greatest(rest, F.lit(0.0))) * math.sqrt(YEAR)).alias("IDIO_VOL"))
+    df = df.withColumns({"_r": F.when(both, F.col("ret")), "_m": F.when(both, F.col("mret"))})
+    year = by_session(-YEAR + 1)
+    df = df.withColumns({
+        "_cov": F.covar_samp("_r", "_m").over(year), "_var": F.var_samp("mret").over(year), "_vr": F.var_samp("_r").over(year), "_vm": F.var_samp("_m").over(year), "_k": F.count("_r").over(year),
+    })
+    b = safe_div(F.col("_cov"), F.col("_var"))
+    rest = F.col("_vr") - 2 * b * F.col("_cov") + b * b * F.col("_vm")
+    keep = lambda x: F.when(F.col("_k") >= least, x)
+    return df.withColumns({"BETA": keep(b), "IDIO_VOL": keep(F.sqrt(F.greatest(rest, F.lit(0.0))) * math.sqrt(YEAR))}).drop("mret", "_r", "_m", "_cov", "_var", "_vr", "_vm", "_k")
 
 
 def max_drawdown(seen: DataFrame) -> DataFrame:
@@ -145,17 +160,21 @@ def adjusted_bars(bars: DataFrame) -> DataFrame:
     return df.select("ticker", "date", *[(F.col(c) * F.col("_f")).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
-def price_factors(bars: DataFrame, sessions: DataFrame, market: DataFrame, dates: DataFrame, lookback: int = 504) -> DataFrame:
-    """All price factors, one row per (as_of, ticker)."""
+PRICE_FACTORS = (
+    "MOM_12_1", "MOM_6_1", "RETURN_1M", "RETURN_3M", "RETURN_6M", "RETURN_1Y", "REVERSAL_1M", "VOL_1Y", "VOL_3M", "MOM_VOL_ADJ", "PCT_FROM_52W_HIGH", "PCT_FROM_52W_LOW",
+    "PCT_VS_MA50", "MA50", "PCT_VS_MA200", "MA200", "ABOVE_MA200", "SWING_LOW", "PRICE", "RSI_14", "ATR_14", "ATR_PCT", "BETA", "IDIO_VOL",
+)
+
+
+def price_factors(bars: DataFrame, sessions: DataFrame, market: DataFrame, dates: DataFrame) -> DataFrame:
+    """All price factors, one row per (as_of, ticker).
+
+    All but the drawdown are windows along an entity's sessions, from which the as-of dates
+    are picked; the drawdown looks at the year before each date.
+    """
     grid = true_range(trailing_factors(filled(bars, sessions)))
     grid = grid.withColumn("delta", F.col("close_ff") - F.lag("close_ff").over(by_session()))
     index = market.join(sessions, "date").withColumn("ret", safe_div(F.col("close"), F.lag("close").over(Window.orderBy("session"))) - 1)
-    names = ["MOM_12_1", "MOM_6_1", "RETURN_1M", "RETURN_3M", "RETURN_6M", "RETURN_1Y", "REVERSAL_1M", "VOL_1Y", "VOL_3M", "MOM_VOL_ADJ", "PCT_FROM_52W_HIGH",
-             "PCT_FROM_52W_LOW", "PCT_VS_MA50", "MA50", "PCT_VS_MA200", "MA200", "ABOVE_MA200", "SWING_LOW", "PRICE"]
-    base = grid.join(dates.select("as_of", "session"), "session").select("as_of", "ticker", *names)
-    seen = at_dates(grid, dates, lookback, ["close_ff", "delta", "tr", "ret"])
-    year = seen.where(F.col("age") < YEAR)
-    atr = seen.groupBy("as_of", "ticker").agg(ewm_last(F.col("tr"), F.col("age"), 1 / 14).alias("ATR_14"))
-    keys = ["as_of", "ticker"]
-    out = base.join(rsi(seen), keys, "left").join(atr, keys, "left").join(beta(year, index), keys, "left").join(max_drawdown(year), keys, "left")
-    return out.withColumn("ATR_PCT", safe_div(F.col("ATR_14"), F.col("PRICE")))
+    full = beta(ewm(rsi(grid), {"ATR_14": "tr"}, 1 / 14), index).withColumn("ATR_PCT", safe_div(F.col("ATR_14"), F.col("PRICE")))
+    base = full.join(dates.select("as_of", "session"), "session").select("as_of", "ticker", *PRICE_FACTORS)
+    return base.join(max_drawdown(at_dates(grid, dates, YEAR, ["close_ff"])), ["as_of", "ticker"], "left")

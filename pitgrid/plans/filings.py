@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitgrid.operators import asof, fundamentals as fu
 from pitgrid.plans.fixtures import _fill, ctes, read
+from pitgrid.plans.kept import kept
 from pitgrid.plans.prices import rounded
 
 #: Filings derived from quarterly sums, in SQL that both engines read but for {d(n)} = period end + n days.
@@ -14,12 +15,15 @@ from pitgrid.plans.prices import rounded
 FLOWS = {
     "revenue": "revenue", "net_income": "net_income", "operating_cash_flow": "ocf", "gross_profit": "0.4 * revenue", "operating_income": "0.2 * revenue", "capex": "-0.05 * revenue",
     "dividends_paid": "-0.1 * abs(net_income)", "buybacks": "-0.05 * abs(net_income)",
+    "eps_diluted": "net_income / (100.0 * (1 + l_suppkey % 5)) * (case when l_suppkey % 13 = 0 then 3 else 1 end)",
 }
 STOCKS = {
     "assets": "6 * revenue", "equity": "2.5 * revenue", "cash": "0.4 * revenue", "long_term_debt": "1.5 * revenue", "current_assets": "1.2 * revenue", "current_liabilities": "0.8 * revenue",
     "shares_diluted": "100.0 * (1 + l_suppkey % 5)", "shares_outstanding": "100.0 * (1 + l_suppkey % 5) / (case when l_suppkey % 10 = 7 then 2 else 1 end)",
+    "shares_basic": "95.0 * (1 + l_suppkey % 5)",
 }
-SHARES = ("shares_diluted", "shares_outstanding")
+SHARES = ("shares_diluted", "shares_outstanding", "shares_basic")
+PER_SHARE = ("eps_diluted",)
 
 
 BASE = """q as (select l_suppkey, concat('S', l_suppkey) as ticker, period_start, {end} as period_end, month(period_start) as m, {yearstart} as y0,
@@ -40,7 +44,8 @@ def fact_rows() -> list[tuple[tuple[str, ...], str]]:
         rows.append(((f"'{c}'", f"'{c}'", "period_start", "period_end", filed, "'10-Q'", f"cast({e} as double)"), "m <> 10"))
         rows.append(((f"'{c}'", f"'{c}'", "y0", "period_end", filed, form, f"cast({ce} as double)"), "m <> 1 and k = (m + 2) / 3"))
     for c, e in STOCKS.items():
-        rows.append(((f"'{c}'", f"'{c}'", "period_end", "period_end", filed, form, f"cast({e} as double)"), "true"))
+        ok = {"shares_outstanding": "l_suppkey % 8 <> 3", "shares_diluted": "l_suppkey % 16 <> 3 or period_end < date'1998-01-01'"}.get(c, "true")
+        rows.append(((f"'{c}'", f"'{c}'", "period_end", "period_end", filed, form, f"cast({e} as double)"), ok))
     rows.append((("'revenue'", "'revenue'", "period_start", "period_end", "{d125}", "'10-Q/A'", "restated"), "m <> 10"))
     rows.append((("'revenue'", "'sales'", "period_start", "period_end", filed, "'10-Q'", "revenue * 0.1"), "m <> 10 and l_suppkey % 9 = 0"))
     rows.append((("'revenue'", "'revenue'", "period_start", "period_end", filed, "'DEF 14A'", "revenue * 7"), "m = 4"))
@@ -68,13 +73,18 @@ FACTS = ctes("quarters", "as_of", "splits", "bars", "sessions") + ",\n" + _fill(
 
 def known(spark, sf) -> DataFrame:
     """Facts seen at each as-of date, split-restated, of one tag per concept."""
-    rows = fu.known_at(facts(spark, sf), read(spark, sf, "as_of"))
-    return fu.single_tag(fu.split_restated(rows, read(spark, sf, "splits"), SHARES, ()))
+
+    def make() -> DataFrame:
+        rows = fu.known_at(facts(spark, sf), read(spark, sf, "as_of"))
+        return fu.single_tag(fu.split_restated(rows, read(spark, sf, "splits"), SHARES, PER_SHARE))
+
+    return kept(spark, sf, "known-facts", make, "ticker")
 
 
 KNOWN = FACTS + f""",
 seen as (select a.as_of, f.ticker, concept, tag, period_start, period_end, filed, form, val * case when concept in {SHARES} then
-  coalesce((select product(ratio) from splits s where s.ticker = f.ticker and f.filed < s.date and s.date <= a.as_of), 1) else 1 end as val
+  coalesce((select product(ratio) from splits s where s.ticker = f.ticker and f.filed < s.date and s.date <= a.as_of), 1) when concept = 'eps_diluted' then
+  1 / coalesce((select product(ratio) from splits s where s.ticker = f.ticker and f.filed < s.date and s.date <= a.as_of), 1) else 1 end as val
   from facts f join as_of a on f.filed <= a.as_of where form in {fu.FORMS}),
 tags as (select as_of, ticker, concept, tag, max(filed) as last, median(abs(val)) as scale from seen group by all),
 best as (select as_of, ticker, concept, tag from (select *, row_number() over (partition by as_of, ticker, concept order by scale desc, tag desc) as r
@@ -95,13 +105,17 @@ def flow_facts(df: DataFrame) -> DataFrame:
     return df.where(F.col("concept").isin(*FLOWS))
 
 
+def quarters(spark, sf) -> DataFrame:
+    return kept(spark, sf, "flow-quarters", lambda: fu.flow_quarters(flow_facts(known(spark, sf))))
+
+
 def quarter_rows(spark, sf):
-    return rounded(fu.flow_quarters(flow_facts(known(spark, sf))), 7)
+    return rounded(quarters(spark, sf), 7)
 
 
 def ttm(spark, sf):
     rows = flow_facts(known(spark, sf))
-    return rounded(fu.trailing(fu.flow_quarters(rows), rows).drop("filed"), 7)
+    return rounded(fu.trailing(quarters(spark, sf), rows).drop("filed"), 7)
 
 
 TTM = KNOWN + """,
@@ -121,29 +135,31 @@ def stock_rows(spark, sf):
 
 
 def surprises(spark, sf):
-    q = fu.flow_quarters(flow_facts(known(spark, sf)))
-    return rounded(fu.surprise(q, "net_income"))
+    return rounded(fu.surprise(quarters(spark, sf)))
 
 
 def wide(spark, sf) -> DataFrame:
+    """One row of sums, stock values and the years before per name and date."""
+    return kept(spark, sf, "fundamentals", lambda: widened(spark, sf))
+
+
+def widened(spark, sf) -> DataFrame:
     rows = known(spark, sf)
-    quarters = fu.flow_quarters(flow_facts(rows))
-    flows = fu.trailing(quarters, flow_facts(rows))
+    flows = fu.trailing(quarters(spark, sf), flow_facts(rows))
     stocks = fu.stocks(rows.where(F.col("concept").isin(*STOCKS)))
     by = ["as_of", "ticker"]
     pick = lambda c, v, name: F.max(F.when(F.col("concept") == c, F.col(v))).alias(name)
     f = flows.groupBy(*by).agg(*[pick(c, v, c + s) for c in FLOWS for v, s in (("ttm", ""), ("y1", "_y1"), ("y3", "_y3"))], F.max("filed").alias("last_filed"))
     s = stocks.groupBy(*by).agg(*[pick(c, v, c + x) for c in STOCKS for v, x in (("now", ""), ("y1", "_y1"), ("y3", "_y3"))], *[pick(c, "filed", c + "_filed") for c in SHARES])
-    out = f.join(s, by).join(fu.surprise(quarters, "net_income"), by, "left")
+    out = f.join(s, by).join(fu.surprise(quarters(spark, sf)), by, "left")
     split = fu.recent_splits(read(spark, sf, "splits"), read(spark, sf, "as_of")).withColumn("split_recent", F.lit(True))
     out = out.join(split, by, "left").fillna({"split_recent": False})
-    eps = F.col("net_income") / F.col("shares_diluted")
-    out = out.withColumn("shares", fu.share_count(F.col("shares_outstanding"), F.col("shares_outstanding_filed"), F.col("shares_diluted"), F.col("shares_diluted_filed"), F.col("as_of"), F.col("net_income"), eps, F.col("split_recent")))
+    out = out.withColumn("shares", fu.share_count(F.col("shares_outstanding"), F.col("shares_outstanding_filed"), F.col("shares_diluted"), F.col("shares_diluted_filed"), F.col("shares_basic"), F.col("shares_basic_filed"), F.col("as_of"), F.col("net_income"), F.col("eps_diluted"), F.col("split_recent")))
     out = out.withColumns({"shares_y1": F.col("shares_outstanding_y1"), "total_debt": F.lit(None).cast("double"), "short_term_debt": F.lit(None).cast("double")})
     px = read(spark, sf, "bars").select("ticker", "date", "close")
     out = asof.asof_join(out, px, ["ticker"], "as_of", "date", ["close"], max_age_days=30)
     snap = read(spark, sf, "profile_snapshots").withColumnRenamed("market_cap", "snap_cap")
-    out = asof.asof_join(out, snap, ["ticker"], "as_of", "snapshot_date", ["snap_cap"], max_age_days=7)
+    out = asof.asof_join(out, snap, ["ticker"], "as_of", "snapshot_date", ["snap_cap", "forward_pe", "trailing_pe"], max_age_days=7)
     return out.withColumns({"market_cap": F.coalesce("snap_cap", F.col("shares") * F.col("close")), "mcap_source": F.when(F.col("snap_cap").isNotNull(), "snapshot").when((F.col("shares") * F.col("close")).isNotNull(), "computed")})
 
 
@@ -160,7 +176,7 @@ def _wide_sql() -> str:
     s = ", ".join(f"max(case when concept = '{c}' then {v} end) as {c}{x}" for c in STOCKS for v, x in (("now", ""), ("y1", "_y1"), ("y3", "_y3")))
     sf_ = ", ".join(f"max(case when concept = '{c}' then filed end) as {c}_filed" for c in SHARES)
     return TTM + STOCK + f""",
-chg as (select *, val - lag(val, 4) over (partition by as_of, ticker order by period_end) as c, row_number() over (partition by as_of, ticker order by period_end) as n from q2 where concept = 'net_income'),
+chg as (select *, val - lag(val, 4) over (partition by as_of, ticker order by period_end) as c, row_number() over (partition by as_of, ticker order by period_end) as n from q2 where concept = 'eps_diluted'),
 sd as (select *, stddev_samp(c) over w as sd, count(c) over w as k from chg window w as (partition by as_of, ticker order by period_end rows between 7 preceding and 1 preceding)),
 sue as (select as_of, ticker, case when n >= 8 and k >= 4 then c / nullif(sd, 0) end as sue, filed as sue_filed from sd qualify row_number() over (partition by as_of, ticker order by period_end desc) = 1),
 fl as (select as_of, ticker, {f} from ttm group by all), lf as (select as_of, ticker, max(filed) as last_filed from q2 where concept in {tuple(FLOWS)} group by all),
@@ -168,12 +184,16 @@ st as (select as_of, ticker, {s}, {sf_} from stock group by all),
 snap as ({_snap()}),
 wd as (select fl.*, lf.last_filed, st.* exclude (as_of, ticker), sue, sue_filed, exists (select 1 from splits x where x.ticker = fl.ticker and x.date <= fl.as_of and x.date > fl.as_of - 400) as split_recent,
   (select case when fl.as_of - max(date) <= 30 then arg_max(close, date) end from bars b where b.ticker = fl.ticker and b.date <= fl.as_of) as px,
-  (select case when fl.as_of - max(snapshot_date) <= 7 then arg_max(market_cap, snapshot_date) end from snap b where b.ticker = fl.ticker and b.snapshot_date <= fl.as_of) as snap_cap
+  (select case when fl.as_of - max(snapshot_date) <= 7 then arg_max(market_cap, snapshot_date) end from snap b where b.ticker = fl.ticker and b.snapshot_date <= fl.as_of) as snap_cap,
+  (select case when fl.as_of - max(snapshot_date) <= 7 then arg_max(forward_pe, snapshot_date) end from snap b where b.ticker = fl.ticker and b.snapshot_date <= fl.as_of) as forward_pe,
+  (select case when fl.as_of - max(snapshot_date) <= 7 then arg_max(trailing_pe, snapshot_date) end from snap b where b.ticker = fl.ticker and b.snapshot_date <= fl.as_of) as trailing_pe
   from fl join lf using (as_of, ticker) join st using (as_of, ticker) left join sue using (as_of, ticker)),
-w1 as (select *, coalesce(case when shares_outstanding > 0 and as_of - shares_outstanding_filed <= 500 then shares_outstanding end, case when shares_diluted > 0 and as_of - shares_diluted_filed <= 500 then shares_diluted end) as cnt from wd),
-w2 as (select *, case when cnt / nullif(net_income / nullif(net_income / shares_diluted, 0), 0) is null or cnt / nullif(net_income / nullif(net_income / shares_diluted, 0), 0) between 0.70 and 1.45 or split_recent then cnt end as shares from w1),
+w0 as (select *, case when shares_diluted > 0 and as_of - shares_diluted_filed <= 500 then shares_diluted end as fd, case when shares_basic > 0 and as_of - shares_basic_filed <= 500 then shares_basic end as fb,
+  case when net_income / nullif(eps_diluted, 0) > 0 then net_income / nullif(eps_diluted, 0) end as implied from wd),
+w1 as (select *, coalesce(case when shares_outstanding > 0 and as_of - shares_outstanding_filed <= 500 then shares_outstanding end, case when fd is not null and fb is not null and shares_basic_filed > shares_diluted_filed then fb else coalesce(fd, fb) end) as cnt from w0),
+w2 as (select *, case when cnt / implied is null or cnt / implied between 0.70 and 1.45 or split_recent then cnt end as shares from w1),
 w as (select *, coalesce(snap_cap, shares * px) as market_cap, case when snap_cap is not null then 'snapshot' when shares * px is not null then 'computed' end as mcap_source,
-  case when equity > 0 and equity >= 0.01 * assets and abs(net_income) <= 2 * equity then equity end as eq, case when coalesce(long_term_debt, 0) > 0 then long_term_debt end as debt,
+  case when equity > 0 and coalesce(equity >= 0.01 * assets, true) and coalesce(abs(net_income) <= 2 * equity, true) then equity end as eq, case when coalesce(long_term_debt, 0) > 0 then long_term_debt end as debt,
   operating_cash_flow - abs(capex) as fcf from w2)"""
 
 
@@ -185,13 +205,14 @@ def _snap() -> str:
 
 WIDE = _wide_sql()
 RATIOS = {
-    "FCF": "fcf", "GROSS_MARGIN": "gross_profit / nullif(revenue, 0)", "NET_MARGIN": "net_income / nullif(revenue, 0)", "ROE": "net_income / eq", "ROA": "net_income / nullif(assets, 0)",
+    "FCF": "fcf", "GROSS_MARGIN": "gross_profit / nullif(revenue, 0)", "OPERATING_MARGIN": "operating_income / nullif(revenue, 0)", "NET_MARGIN": "net_income / nullif(revenue, 0)", "ROE": "net_income / eq", "ROA": "net_income / nullif(assets, 0)",
     "ROIC": "operating_income / (eq + coalesce(debt, 0))", "GROSS_PROFITABILITY": "gross_profit / nullif(assets, 0)", "ASSET_TURNOVER": "revenue / nullif(assets, 0)", "DEBT_TO_EQUITY": "debt / eq",
     "NET_DEBT_TO_EQUITY": "(debt - coalesce(cash, 0)) / eq", "CURRENT_RATIO": "current_assets / nullif(current_liabilities, 0)",
-    "FCF_CONVERSION": "fcf / nullif(case when abs(net_income) >= 0.005 * abs(revenue) then net_income end, 0)", "EPS": "net_income / nullif(shares, 0)", "ACCRUALS": "(net_income - operating_cash_flow) / nullif(assets, 0)",
+    "FCF_CONVERSION": "fcf / nullif(case when coalesce(abs(net_income) >= 0.005 * abs(revenue), true) then net_income end, 0)", "EPS": "net_income / nullif(shares, 0)", "ACCRUALS": "(net_income - operating_cash_flow) / nullif(assets, 0)",
     "REVENUE_GROWTH_1Y": "case when revenue_y1 <> 0 and revenue * revenue_y1 >= 0 then (revenue - revenue_y1) / abs(revenue_y1) end",
     "EARNINGS_GROWTH_1Y": "case when net_income_y1 <> 0 and net_income * net_income_y1 >= 0 then (net_income - net_income_y1) / abs(net_income_y1) end",
     "REVENUE_CAGR_3Y": "case when revenue > 0 and revenue_y3 > 0 then pow(revenue / revenue_y3, 1 / 3.0) - 1 end", "EQUITY_CAGR_3Y": "case when equity > 0 and equity_y3 > 0 then pow(equity / equity_y3, 1 / 3.0) - 1 end",
+    "EPS_CAGR_3Y": "case when eps_diluted > 0 and eps_diluted_y3 > 0 then pow(eps_diluted / eps_diluted_y3, 1 / 3.0) - 1 end", "FORWARD_PE": "forward_pe", "TRAILING_PE": "trailing_pe",
     "MARKET_CAP": "market_cap", "EV": "market_cap + coalesce(debt, 0) - coalesce(cash, 0)", "EARNINGS_YIELD": "net_income / nullif(market_cap, 0)", "FCF_YIELD": "fcf / nullif(market_cap, 0)", "SALES_YIELD": "revenue / nullif(market_cap, 0)",
     "BOOK_TO_MARKET": "eq / nullif(market_cap, 0)", "BUYBACK_YIELD": "abs(buybacks) / nullif(market_cap, 0)", "DIVIDEND_YIELD": "abs(dividends_paid) / nullif(market_cap, 0)", "PAYOUT_RATIO": "abs(dividends_paid) / nullif(net_income, 0)",
     "EBIT_TO_EV": "operating_income / nullif(market_cap + coalesce(debt, 0) - coalesce(cash, 0), 0)", "EARNINGS_SURPRISE": "case when as_of - sue_filed <= 100 then sue end",

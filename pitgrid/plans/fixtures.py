@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pitgrid.plans.kept import kept
+
 ORDER = "{row}(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity)"
-#: As-of dates of the panel queries: the last session of each quarter.
-AS_OF = ("2000-03-27", "2000-06-26", "2000-09-25", "2000-12-25", "2001-03-26", "2001-06-25")
 
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "securities": (
@@ -27,7 +27,12 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "market": (("bars",), "select date, avg(close) as close, avg(adj_close) as adj_close from bars group by date"),
     "sessions": (("bars",), "select date, cast(row_number() over (order by date) as int) as session from (select distinct date from bars) d"),
-    "as_of": (("sessions",), f"select date as as_of, session from sessions where cast(date as string) in {AS_OF}"),
+    "as_of": (("sessions",), "select max(date) as as_of, max(session) as session from sessions group by date_trunc('quarter', date)"),
+    "reviews": (
+        ("corporate_events",),
+        """select ticker, filed, accession, cast(accession % 5 - 2 as double) as score, case accession % 3 when 0 then 'low' when 1 then 'medium' else 'high' end as conviction
+        from corporate_events where item_code = '2.02' and accession % 4 <> 3""",
+    ),
     "splits": (
         ("supplier",),
         """select concat('S', s_suppkey) as ticker, cast('1998-06-01' as date) as date, cast(2.0 as double) as ratio from supplier where s_suppkey % 7 = 0
@@ -69,8 +74,8 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "profile_snapshots": (
         ("bars",),
-        """select ticker, snapshot_date, close * 100 * (1 + cast(substring(ticker, 2) as int) % 5) * (1 + (cast(substring(ticker, 2) as int) % 11 - 5) / 20.0) as market_cap
-        from (select ticker, date as snapshot_date, close, row_number() over (partition by ticker, year(date) order by date desc) as r from bars) b
+        """select ticker, snapshot_date, close * 100 * (1 + cast(substring(ticker, 2) as int) % 5) * (1 + (cast(substring(ticker, 2) as int) % 11 - 5) / 20.0) as market_cap,
+        10.0 + cast(substring(ticker, 2) as int) % 20 as forward_pe, 12.0 + cast(substring(ticker, 2) as int) % 25 as trailing_pe from (select ticker, date as snapshot_date, close, row_number() over (partition by ticker, year(date) order by date desc) as r from bars) b
         where r = 1 and cast(substring(ticker, 2) as int) % 3 = 0""",
     ),
     "news": (
@@ -99,6 +104,10 @@ DUCK = {
 }
 
 
+#: Derived tables that are written once: sums over all rows, and what others are made of.
+KEPT = ("bars", "market", "sessions", "as_of", "quarters", "members", "corporate_events", "insider_txns")
+
+
 def _fill(sql: str, words: dict[str, str]) -> str:
     for k, v in words.items():
         sql = sql.replace("{" + k + "}", v)
@@ -109,6 +118,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or one that ``TABLES`` derives."""
     if name not in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in KEPT:
+        return kept(spark, sf_dir, name, lambda: derived(spark, sf_dir, name))
+    return derived(spark, sf_dir, name)
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     needs, sql = TABLES[name]
     sql = _fill(sql, SPARK)
     import re

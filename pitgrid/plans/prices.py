@@ -9,6 +9,7 @@ from pitgrid.functions.scalars import inverse_normal_sql
 from pitgrid.operators import timeseries as ts
 from pitgrid.operators import transforms as tr
 from pitgrid.plans.fixtures import ctes, read
+from pitgrid.plans.kept import kept
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -17,7 +18,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
-    return ts.filled(read(spark, sf, "bars"), read(spark, sf, "sessions"))
+    return kept(spark, sf, "grid", lambda: ts.filled(read(spark, sf, "bars"), read(spark, sf, "sessions")), "ticker")
 
 
 GRID = ctes("bars", "sessions", "market", "as_of", "securities") + """,
@@ -64,17 +65,25 @@ def cols(names, digits: int = 6) -> str:
 
 
 def trailing(spark, sf):
-    dates = read(spark, sf, "as_of").select("as_of", "session")
-    return rounded(ts.trailing_factors(grid(spark, sf)).join(dates, "session").select("as_of", "ticker", *[F.col(c).cast("double").alias(c) for c in TRAILING_COLUMNS]))
+    return panel(spark, sf).select("as_of", "ticker", *TRAILING_COLUMNS)
 
 
-def factor_panel(spark, sf) -> DataFrame:
-    r = lambda n: read(spark, sf, n)
-    return ts.price_factors(r("bars"), r("sessions"), r("market"), r("as_of"))
+PATH_COLUMNS = ("RSI_14", "ATR_14", "ATR_PCT", "BETA", "IDIO_VOL", "MAX_DD_1Y")
+
+
+def panel(spark, sf) -> DataFrame:
+    """All price factors at all dates."""
+
+    def make() -> DataFrame:
+        r = lambda n: read(spark, sf, n)
+        full = ts.price_factors(r("bars"), r("sessions"), r("market"), r("as_of"))
+        return rounded(full.select("as_of", "ticker", *[F.col(c).cast("double").alias(c) for c in (*TRAILING_COLUMNS, *PATH_COLUMNS)]))
+
+    return kept(spark, sf, "price-factors", make)
 
 
 def path_factors(spark, sf):
-    return rounded(factor_panel(spark, sf).select("as_of", "ticker", "RSI_14", "ATR_14", "ATR_PCT", "BETA", "IDIO_VOL", "MAX_DD_1Y"))
+    return panel(spark, sf).select("as_of", "ticker", *PATH_COLUMNS)
 
 
 PATH_SQL = GRID + SEEN + """
@@ -94,15 +103,14 @@ LOW_IS_GOOD = ("VOL_1Y", "VOL_3M", "BETA", "IDIO_VOL", "ATR_PCT")
 
 def long_factors(spark, sf) -> DataFrame:
     """(as_of, factor, ticker, value, sector, size) of the trailing price factors."""
-    dates = read(spark, sf, "as_of").select("as_of", "session")
-    wide = ts.trailing_factors(grid(spark, sf)).join(dates, "session").select("as_of", "ticker", "PRICE", *FACTORS)
+    wide = panel(spark, sf).select("as_of", "ticker", "PRICE", *FACTORS)
     long = wide.unpivot(["as_of", "ticker", "PRICE"], list(FACTORS), "factor", "value")
     sectors = read(spark, sf, "securities").select("ticker", "sector")
     return long.join(sectors, "ticker", "left").select("as_of", "factor", "ticker", "value", F.coalesce("sector", F.lit("Unknown")).alias("sector"), F.col("PRICE").alias("size"))
 
 
 LONG = GRID + TRAILING + """,
-wide as (select a.as_of, t2.* from t2 join as_of a using (session)),
+wide as (select a.as_of, ticker, round("PRICE", 6) + 0.0 as "PRICE", """ + ", ".join(f'round("{f}", 6) + 0.0 as "{f}"' for f in FACTORS) + """ from t2 join as_of a using (session)),
 long0 as (""" + " union all ".join(f"""select as_of, '{f}' as factor, ticker, "{f}" as value, "PRICE" as size from wide""" for f in FACTORS) + """),
 long as (select l.*, coalesce(s.sector, 'Unknown') as sector from long0 l left join securities s using (ticker))"""
 WINSOR = """,
@@ -151,52 +159,6 @@ def normal_scores(spark, sf):
     return rounded(df.select("as_of", "factor", "ticker", "normal"))
 
 
-#: (strategy, factor, weight): the strategies that price factors make up.
-WEIGHTS = [
-    ("momentum_trend", "MOM_12_1", 1.5), ("momentum_trend", "MOM_VOL_ADJ", 1.2), ("momentum_trend", "MOM_6_1", 0.8), ("momentum_trend", "PCT_VS_MA200", 1.0),
-    ("momentum_trend", "PCT_FROM_52W_HIGH", 0.8), ("momentum_trend", "VOL_1Y", 0.4),
-    ("breakout", "PCT_FROM_52W_HIGH", 2.0), ("breakout", "MOM_6_1", 1.2), ("breakout", "MOM_12_1", 0.8), ("breakout", "PCT_VS_MA50", 0.8),
-    ("relative_strength", "MOM_VOL_ADJ", 1.5), ("relative_strength", "MOM_6_1", 1.0), ("relative_strength", "PCT_VS_MA200", 1.0), ("relative_strength", "VOL_1Y", 1.0),
-    ("pullback", "PCT_VS_MA200", 1.2), ("pullback", "MOM_12_1", 1.0), ("pullback", "REVERSAL_1M", 1.2),
-]
-
-
-def weights(spark) -> DataFrame:
-    return spark.createDataFrame(WEIGHTS, "strategy string, factor string, weight double")
-
-
-def scores(spark, sf) -> DataFrame:
-    return tr.ranked(tr.composite(scored(spark, sf).select("as_of", "factor", "ticker", "score"), weights(spark)))
-
-
-def composites(spark, sf):
-    return rounded(scores(spark, sf))
-
-
-def screen(spark, sf):
-    sectors = read(spark, sf, "securities").select("ticker", "sector")
-    df = tr.shortlist(scores(spark, sf).join(sectors, "ticker", "left"), 10)
-    return rounded(df.select("as_of", "strategy", "ticker", "sector", "rank", "place", "composite", "coverage"))
-
-
-SCORES = LONG + SCORED + f""",
-weights(strategy, factor, weight) as (values {", ".join(f"('{s}', '{f}', {w}::double)" for s, f, w in WEIGHTS)}),
-agg as (select as_of, strategy, ticker, sum(score * weight) as s, sum(case when score is not null then weight end) as got from scored join weights using (factor) group by all),
-comp as (select as_of, strategy, ticker, coalesce(got, 0) / whole as coverage, case when coalesce(got, 0) / whole >= 0.5 then s / got end as composite
-  from agg join (select strategy, sum(weight) as whole from weights group by 1) using (strategy)),
-scores as (select *, case when composite is not null then rank() over (partition by as_of, strategy order by composite desc nulls last) end as rank,
-  case when composite is not null then (rank() over (partition by as_of, strategy order by composite nulls last) + (count(composite) over (partition by as_of, strategy, composite) - 1) / 2.0)
-    / count(composite) over (partition by as_of, strategy) end as percentile from comp)"""
-
-
-def ic(spark, sf) -> DataFrame:
-    """Rank correlation of each strategy's composite with the next quarter's return."""
-    from pitgrid.operators.evaluation import forward_returns, rank_ic
-
-    fwd = forward_returns(grid(spark, sf), read(spark, sf, "as_of"), 13)
-    return rounded(rank_ic(scores(spark, sf).join(fwd, ["as_of", "ticker"]), "composite", "fwd", ["as_of", "strategy"], 8))
-
-
 QUERIES = {
     "price_trailing_factors": (trailing, GRID + TRAILING + f" select a.as_of, ticker, {cols(TRAILING_COLUMNS)} from t2 join as_of a using (session)"),
     "price_path_factors": (path_factors, PATH_SQL),
@@ -219,17 +181,4 @@ l6 as (select *, y - b * coalesce(x, 0) as e from l5)
 select as_of, factor, ticker, round(case when nv >= 10 then {z_sql("e", CELL)} else {z_sql("winsorized", CELL)} end, 6) + 0.0 as neutral from l6"""),
     "factor_rank_normal": (normal_scores, LONG + SCORED + f"""
 select as_of, factor, ticker, round(case when winsorized is not null then {inverse_normal_sql("(ar - 0.5) / nw")} end, 6) + 0.0 as normal from scored"""),
-    "composite_scores": (composites, SCORES + f" select as_of, strategy, ticker, {cols(('coverage', 'composite'))}, rank, round(percentile, 6) + 0.0 as percentile from scores"),
-    "screen_momentum": (screen, SCORES + f""",
-pos as (select s.*, sector, row_number() over (partition by as_of, strategy, sector order by rank, ticker) as p from scores s join securities using (ticker) where rank is not null),
-kk as (select *, row_number() over (partition by as_of, strategy order by p, rank, ticker) as k from pos),
-cap as (select *, greatest(3, coalesce(max(case when k = 10 then p end) over (partition by as_of, strategy), max(p) over (partition by as_of, strategy))) as c from kk),
-placed as (select *, row_number() over (partition by as_of, strategy order by rank, ticker) as place from cap where p <= c)
-select as_of, strategy, ticker, sector, rank, place, {cols(('composite', 'coverage'))} from placed where place <= 10"""),
-    "strategy_rank_ic": (ic, SCORES + """,
-fw as (select a.as_of, x.ticker, y.close_ff / nullif(x.close_ff, 0) - 1 as fwd from as_of a join grid x on x.session = a.session join grid y on y.ticker = x.ticker and y.session = a.session + 13),
-j as (select as_of, strategy, composite as a, fwd as b from scores join fw using (as_of, ticker) where composite is not null and fwd is not null),
-rk as (select as_of, strategy, rank() over (partition by as_of, strategy order by a) + (count(*) over (partition by as_of, strategy, a) - 1) / 2.0 as ra,
-  rank() over (partition by as_of, strategy order by b) + (count(*) over (partition by as_of, strategy, b) - 1) / 2.0 as rb from j)
-select as_of, strategy, case when count(*) >= 8 then round(corr(ra, rb), 6) + 0.0 end as ic, count(*) as n from rk group by all"""),
 }

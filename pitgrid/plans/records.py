@@ -1,66 +1,17 @@
-"""Queries over events, insiders, attention, membership, positions and macro series."""
+"""Queries over membership, positions, macro series, walk-forward curves, votes and trades."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pitgrid.operators import alternative as al
 from pitgrid.operators import asof, evaluation as ev, signals as sg
+from pitgrid.plans import panel as pl
 from pitgrid.plans import prices as pr
+from pitgrid.plans.alternatives import CATEGORIES, MEMBERS, dates, membership  # noqa: F401
 from pitgrid.plans.fixtures import ctes, read
 from pitgrid.plans.prices import rounded
 
-CATEGORIES = ("management", "restructuring", "results", "strategy")
-
-
-def dates(spark, sf):
-    return read(spark, sf, "as_of").select("as_of")
-
-
-def event_factors(spark, sf):
-    return al.event_counts(asof.window_join(dates(spark, sf), read(spark, sf, "corporate_events"), "filed", 90), CATEGORIES)
-
-
-def chosen(spark, sf):
-    txns = read(spark, sf, "insider_txns")
-    seen = asof.window_join(dates(spark, sf), al.discretionary(txns), "filed", 180)
-    return al.without_savings_plans(al.without_routine(seen, txns))
-
-
-CHOSEN = ctes("insider_txns", "as_of") + """,
-disc as (select * from insider_txns where txn_code in ('P', 'S') and flags not in ('10b5-1', 'plan', 'exercise') and role <> '10% Owner'),
-seen as (select as_of, d.* from disc d join as_of on filed <= as_of and filed > as_of - 180),
-months as (select distinct ticker, insider, year(txn_date) as y, month(txn_date) as m from insider_txns),
-routine as (select a.ticker, a.insider, a.y, a.m from (select distinct ticker, insider, year(txn_date) as y, month(txn_date) as m from seen) a join months b
-  on a.ticker = b.ticker and a.insider = b.insider and a.m = b.m and b.y between a.y - 3 and a.y - 1 group by all having count(*) = 3),
-s1 as (select * from seen s where not exists (select 1 from routine r where r.ticker = s.ticker and r.insider = s.insider and r.y = year(s.txn_date) and r.m = month(s.txn_date))),
-gaps as (select *, txn_date - lag(txn_date) over (partition by as_of, ticker, insider order by txn_date) as gap from s1 where txn_code = 'P'),
-plans as (select as_of, ticker, insider from gaps group by all having count(*) >= 3 and max(value) <= 25000 and avg(case when gap is not null then (gap between 75 and 105)::int end) >= 0.5),
-s2 as (select * from s1 s where not (txn_code = 'P' and exists (select 1 from plans p where p.as_of = s.as_of and p.ticker = s.ticker and p.insider = s.insider)))"""
-
-
-def insiders(spark, sf):
-    return rounded(al.insider_signal(chosen(spark, sf)))
-
-
-def lots(spark, sf):
-    return rounded(al.merge_lots(read(spark, sf, "insider_txns")).drop("post_txn_shares"))
-
-
-def attention(spark, sf):
-    return rounded(al.attention_z(read(spark, sf, "attention")))
-
-
-def membership(spark, sf):
-    return asof.members_asof(read(spark, sf, "as_of"), read(spark, sf, "members"))
-
-
-MEMBERS = ctes("members", "as_of") + """,
-snap as (select a.as_of, index_symbol, source, max(m.as_of) as snapshot from as_of a join members m on m.as_of <= a.as_of group by all),
-mem as (select s.*, m.ticker from snap s join members m on m.index_symbol = s.index_symbol and m.source = s.source and m.as_of = s.snapshot)"""
-
-
 def reconcile(spark, sf):
     """Agreement of two sources of membership at each date."""
     df = membership(spark, sf)
@@ -92,8 +43,8 @@ def events_in_index(spark, sf):
 def macro(spark, sf):
     """Level and changes over a week and a month of each series, as known at each date."""
     series = read(spark, sf, "macro")
-    names = series.select("series_id").distinct()
-    asked = dates(spark, sf).withColumn("k", F.lit(1)).join(names.withColumn("k", F.lit(1)), "k").drop("k")
+    at = [r.as_of for r in dates(spark, sf).collect()]  # the dates asked about, a short list
+    asked = series.select("series_id").distinct().select("series_id", F.explode(F.array(*map(F.lit, at)) if at else F.array().cast("array<date>")).alias("as_of"))
     out = asof.asof_join(asked, series, ["series_id"], "as_of", "date", ["value"])
     for days, name in ((7, "week"), (30, "month")):
         shifted = series.select("series_id", F.date_add("date", days).alias("date"), F.col("value").alias(name))
@@ -105,10 +56,15 @@ def _macro_at(days):
     return f"(select arg_max(value, date) from macro m where m.series_id = n.series_id and m.date <= a.as_of - {days})"
 
 
+def last_date(spark, sf):
+    """The last date of the panel."""
+    return read(spark, sf, "as_of").agg(F.max("as_of")).first()[0]
+
+
 def holdings(spark, sf):
     """Lots at the last as-of date as positions: split-adjusted shares, cost, value, gain, tightest stop and nearest target."""
     lots = read(spark, sf, "positions").where("ticker is not null")
-    day = F.lit("2001-06-25").cast("date")
+    day = F.lit(last_date(spark, sf))
     hit = lots.join(read(spark, sf, "splits").withColumnRenamed("date", "sdate"), "ticker").where((F.col("sdate") > F.col("opened")) & (F.col("sdate") <= day))
     factor = hit.groupBy("lot_id").agg(F.product("ratio").alias("f"))
     lots = lots.join(factor, "lot_id", "left").withColumn("f", F.coalesce("f", F.lit(1.0)))
@@ -123,64 +79,22 @@ def holdings(spark, sf):
     return rounded(df.select("ticker", "lots", "shares", "cost", "value", "gain", "weight", "stop", "target", alert.alias("alerts")))
 
 
-HOLDINGS = ctes("positions", "splits", "bars") + """,
-l as (select p.*, coalesce((select product(ratio) from splits s where s.ticker = p.ticker and s.date > p.opened and s.date <= date '2001-06-25'), 1) as f from positions p),
+HOLDINGS = ctes("positions", "splits", "bars", "sessions", "as_of") + """,
+l as (select p.*, coalesce((select product(ratio) from splits s where s.ticker = p.ticker and s.date > p.opened and s.date <= (select max(as_of) from as_of)), 1) as f from positions p),
 h as (select ticker, sum(shares * f) as shares, sum(shares * cost_basis) as cost, max(stop / f) as stop, min(target / f) as target, count(*) as lots from l group by 1),
-v as (select h.*, (select arg_max(close, date) from bars b where b.ticker = h.ticker and b.date <= date '2001-06-25') as close from h)
+v as (select h.*, (select arg_max(close, date) from bars b where b.ticker = h.ticker and b.date <= (select max(as_of) from as_of)) as close from h)
 select ticker, lots, round(shares, 6) + 0.0 as shares, round(cost, 6) + 0.0 as cost, round(shares * close, 6) + 0.0 as value, round(shares * close / cost - 1, 6) + 0.0 as gain, round(shares * close / sum(shares * close) over (), 6) + 0.0 as weight,
 round(stop, 6) + 0.0 as stop, round(target, 6) + 0.0 as target, concat_ws(',', case when close <= stop then 'stop hit' end, case when close > stop and close <= 1.03 * stop then 'near stop' end, case when close >= target then 'target hit' end) as alerts from v"""
 
 
-def signal_rows(spark, sf):
-    """Long- and mid-term signals of the trend strategy."""
-    panel = pr.factor_panel(spark, sf).select("as_of", "ticker", "ABOVE_MA200", "MOM_12_1", "RSI_14", "ATR_PCT")
-    df = pr.scores(spark, sf).where("strategy = 'momentum_trend'").join(panel, ["as_of", "ticker"])
-    long = sg.long_term(df).select("as_of", "ticker", F.col("signal").alias("long_signal"), F.col("reasons").alias("long_reasons"), "percentile", "RSI_14", "ATR_PCT", "ABOVE_MA200")
-    mid = sg.mid_term(long).withColumnsRenamed({"signal": "mid_signal", "reasons": "mid_reasons"}).drop("points")
-    out = sg.avoid(mid)
-    return out.select("as_of", "ticker", "long_signal", "long_reasons", "mid_signal", "mid_reasons", F.col("signal").alias("avoid_signal"))
-
-
-def _ladder_sql(rungs, labels, last, name):
-    total = " + ".join(f"(case when {c} then {p} else 0 end)" for c, p, _ in rungs)
-    why = "concat_ws('; ', " + ", ".join(f"case when {c} then '{r}' end" for c, _, r in rungs) + ")"
-    lab = "case " + " ".join(f"when {total} >= {k} then '{v}'" for k, v in labels) + f" else '{last}' end"
-    return f"{lab} as {name}_signal, {why} as {name}_reasons"
-
-
-SIGNALS = pr.SCORES + pr.SEEN.replace("\nb as", "\nbb as").replace("join b using", "join bb b using") + """,
-sj as (select s.as_of, s.ticker, percentile as p, x."ABOVE_MA200" as ab, x."MOM_12_1" as mom, case when m.n >= 15 then case when l > 0 then 100 - 100 / (1 + g / l) when g > 0 then 100 end end as rsi, "ATR_14" / x.close_ff as atr
-  from scores s join as_of a using (as_of) join t2 x on x.ticker = s.ticker and x.session = a.session join momentum m on m.as_of = s.as_of and m.ticker = s.ticker where strategy = 'momentum_trend')
-select as_of, ticker, """ + _ladder_sql([("p >= 0.9", 2, "top decile"), ("p >= 0.75 and p < 0.9", 1, "top quarter"), ("p <= 0.1", -2, "bottom decile"), ("p <= 0.25 and p > 0.1", -1, "bottom quarter"), ("ab = 1", 1, "above its long average"),
-    ("ab = 0", -1, "below its long average"), ("mom > 0", 1, "rising over the year"), ("mom < -0.2", -1, "falling over the year")], [(3, "Strong Buy"), (2, "Buy"), (0, "Hold"), (-2, "Reduce")], "Sell", "long") + ", " + _ladder_sql(
-    [("p >= 0.8", 2, "top fifth"), ("p >= 0.6 and p < 0.8", 1, "above the middle"), ("p <= 0.2", -2, "bottom fifth"), ("rsi >= 75", -1, "overbought"), ("rsi <= 30", 1, "oversold"), ("atr > 0.08", -1, "wide swings")],
-    [(2, "Buy"), (1, "Accumulate"), (0, "Hold")], "Avoid", "mid") + """, case when (case when p >= 0.9 then 2 when p >= 0.75 then 1 else 0 end) + (case when ab = 0 then 1 else 0 end) >= 3 then 'Avoid'
- when (case when p >= 0.9 then 2 when p >= 0.75 then 1 else 0 end) + (case when ab = 0 then 1 else 0 end) >= 2 then 'Reduce' when (case when p >= 0.9 then 2 when p >= 0.75 then 1 else 0 end) + (case when ab = 0 then 1 else 0 end) >= 1 then 'Watch' else 'Neutral' end as avoid_signal from sj"""
-
-
-def plans(spark, sf):
-    df = sg.gates(pr.factor_panel(spark, sf), above_ma200=True, rsi_max=80)
-    return rounded(sg.trade_plans(df, "pullback").select("as_of", "ticker", "entry", "stop", "target", "basis", "stop_pct", "weight"))
-
-
-PLANS = pr.GRID + pr.TRAILING + pr.SEEN + """,
-pj as (select m.as_of, m.ticker, x."PRICE" as px, "ATR_14" as atr, "MA50" as ma50, "SWING_LOW" as sw, "ABOVE_MA200" as ab, case when m.n >= 15 then case when l > 0 then 100 - 100 / (1 + g / l) when g > 0 then 100 end end as rsi
-  from momentum m join as_of a using (as_of) join t2 x on x.ticker = m.ticker and x.session = a.session),
-p1 as (select *, case when ma50 < px then ma50 else px end as entry from pj where ab = 1 and coalesce(rsi, 50) <= 80 and px is not null and atr > 0),
-p2 as (select *, least(entry - 2 * atr, sw * 0.995) as raw from p1),
-p3 as (select *, greatest(raw, entry * 0.8) as stop, case when raw < entry * 0.8 then 'cap' when sw * 0.995 < entry - 2 * atr then 'swing' else 'range' end as basis from p2)
-select as_of, ticker, round(entry, 6) + 0.0 as entry, round(stop, 6) + 0.0 as stop, round(entry + 2 * (entry - stop), 6) + 0.0 as target, basis, round((entry - stop) / entry, 6) + 0.0 as stop_pct,
-round(greatest(0.01, least(0.10, 0.01 / ((entry - stop) / entry))), 6) + 0.0 as weight from p3 where stop < entry"""
-
-
 def walk(spark, sf):
     """Walk-forward curve of each strategy's ten best, filled one session after the signal."""
     segs = ev.segments(read(spark, sf, "as_of"), 1)
-    held = ev.segment_values(ev.holdings(pr.scores(spark, sf), 10), segs, pr.grid(spark, sf))
+    held = ev.segment_values(ev.holdings(pl.scores(spark, sf), 10), segs, pr.grid(spark, sf))
     return rounded(ev.walk_forward(held, segs))
 
 
-WALK = pr.SCORES + """,
+WALK = pl.SCORES + """,
 segs as (select as_of, s + 1 as start, e + 1 as stop_, row_number() over (order by s) as seg from (select as_of, session as s, lead(session) over (order by session) as e from as_of) where e is not null),
 top as (select as_of, strategy, ticker, 1.0 / count(*) over (partition by as_of, strategy) as weight from (select *, row_number() over (partition by as_of, strategy order by rank, ticker) as p from scores where rank is not null) where p <= 10),
 rel as (select t.*, seg, coalesce(b.close_ff / nullif(a.close_ff, 0), 1) as rel from top t join segs using (as_of) left join grid a on a.ticker = t.ticker and a.session = segs.start left join grid b on b.ticker = t.ticker and b.session = segs.stop_),
@@ -194,36 +108,28 @@ select strategy, seg, as_of, round(gross, 6) + 0.0 as gross, round(turnover, 6)
 
 
 def market_metrics(spark, sf):
-    """Performance of the market series."""
+    """Performance of the market series over a yearly risk-free rate of 3 %."""
     df = read(spark, sf, "market").withColumn("id", F.lit("market"))
-    return rounded(ev.metrics(df, ["id"], "close", "date", 52))
+    return rounded(ev.metrics(df, ["id"], "close", "date", 0.03))
+
+
+def sector_metrics(spark, sf):
+    """The mean adjusted close of each sector against the market's."""
+    px = read(spark, sf, "bars").join(read(spark, sf, "securities").select("ticker", "sector"), "ticker")
+    own = px.groupBy("sector", "date").agg(F.avg("adj_close").alias("value"))
+    return rounded(ev.relative_metrics(own.join(read(spark, sf, "market").select("date", F.col("adj_close").alias("bench")), "date"), ["sector"], "date"))
 
 
 def drift(spark, sf):
     """Rankings of the last two dates against each other."""
-    df = pr.scores(spark, sf)
-    at = lambda d: df.where(F.col("as_of") == F.lit(d).cast("date")).where("rank <= 20")
-    return rounded(ev.compare(at("2001-06-25"), at("2001-03-26"), ["strategy"]))
+    order = Window.orderBy(F.desc("as_of"))
+    back = read(spark, sf, "as_of").select("as_of", F.row_number().over(order).alias("back")).where("back <= 2")
+    df = pl.scores(spark, sf).join(back, "as_of").where("rank <= 20")
+    return rounded(ev.compare(df.where("back = 1"), df.where("back = 2"), ["strategy"]))
 
 
 def crossed(spark, sf):
-    return ev.crossover(pr.scores(spark, sf), "momentum_trend", "pullback", 20)
-
-
-def voted(spark, sf):
-    families = spark.createDataFrame([("momentum_trend", "trend"), ("relative_strength", "trend"), ("breakout", "breakout")], "strategy string, family string")
-    return ev.votes(pr.scores(spark, sf), families, "pullback")
-
-
-VOTES = pr.SCORES + """,
-fam as (select as_of, ticker, case strategy when 'breakout' then 'breakout' else 'trend' end as family, avg(percentile) as p from scores where strategy in ('momentum_trend', 'relative_strength', 'breakout') group by all),
-vt as (select as_of, ticker, coalesce(sum((p >= 0.8)::int), 0) - coalesce(any_value(v), 0) as votes, avg(p) as mean, count(p) as families from fam
-  left join (select as_of, ticker, (percentile >= 0.9)::int as v from scores where strategy = 'pullback') x using (as_of, ticker) group by 1, 2),
-vc as (select *, case when families >= 2 then votes + 0.5 * mean end as composite from vt)"""
-
-
-def consensus(spark, sf):
-    return rounded(voted(spark, sf))
+    return ev.crossover(pl.scores(spark, sf), "momentum_trend", "pullback", 20)
 
 
 def forward(spark, sf):
@@ -235,64 +141,60 @@ fw as (select a.as_of, x.ticker, y.close_ff / nullif(x.close_ff, 0) - 1 as fwd f
 
 
 def agreement(spark, sf):
-    return rounded(ev.agreement(voted(spark, sf), forward(spark, sf)))
+    return rounded(ev.agreement(pl.voted(spark, sf), forward(spark, sf)))
 
 
 def spread(spark, sf):
-    return rounded(ev.agreement_spread(voted(spark, sf), forward(spark, sf)))
+    return rounded(ev.agreement_spread(pl.voted(spark, sf), forward(spark, sf)))
 
 
 def cohort_rows(spark, sf):
-    return rounded(ev.cohorts(pr.scores(spark, sf), forward(spark, sf), 10))
+    return rounded(ev.cohorts(pl.scores(spark, sf), forward(spark, sf), 10))
 
 
 def trade_rows(spark, sf):
-    """Outcome of every market-order plan on its own."""
-    df = sg.trade_plans(pr.factor_panel(spark, sf)).join(read(spark, sf, "as_of"), "as_of")
-    wanted = df.select("ticker", "session", "entry", "stop", "target", F.lit(False).alias("limit_order"))
+    """Outcome of every plan on its own: limit orders of pullbacks, market orders of others."""
+    df = pl.plan_rows(spark, sf).join(read(spark, sf, "as_of"), "as_of")
+    wanted = df.select("ticker", "session", "entry", "stop", "target", (F.col("entry_type") == "pullback").alias("limit_order")).distinct()
     return rounded(ev.trades(wanted, read(spark, sf, "bars").join(read(spark, sf, "sessions"), "date")))
 
 
-TRADES = pr.GRID + pr.TRAILING + pr.SEEN + """,
-p1 as (select m.ticker, a.session, x."PRICE" as entry, "ATR_14" as atr, "SWING_LOW" as sw from momentum m join as_of a using (as_of) join t2 x on x.ticker = m.ticker and x.session = a.session where x."PRICE" is not null and "ATR_14" > 0),
-p2 as (select *, greatest(least(entry - 2 * atr, sw * 0.995), entry * 0.8) as stop from p1), p3 as (select *, entry + 2 * (entry - stop) as target from p2 where stop < entry),
-br as (select p3.ticker, p3.session as sig, stop, target, s.session, b.open, b.high, b.low, b.close from p3 join bars b on b.ticker = p3.ticker join sessions s using (date) where s.session between p3.session + 1 and p3.session + 18),
-fl as (select ticker, sig, stop, target, min(session) as fs, arg_min(open, session) as fp from br group by all having arg_min(open, session) > stop),
-hd as (select fl.*, br.session, open, high, low, close, case when low <= fl.stop then 'stop' when high >= fl.target then 'target' end as why,
-  case when low <= fl.stop then case when br.session = fs then fl.stop else least(open, fl.stop) end when high >= fl.target then case when br.session = fs then fl.target else greatest(open, fl.target) end end as px
-  from fl join br on br.ticker = fl.ticker and br.sig = fl.sig and br.session between fs and fs + 13),
-ex as (select ticker, sig, stop, fs, fp, coalesce(min(case when why is not null then session end), max(session)) as es, coalesce(arg_min(px, session) filter (where why is not null), arg_max(close, session)) as ep,
+TRADES = pl.PLANS + """,
+pd as (select distinct p3.ticker, a.session as sig, entry, stop, entry + 2 * (entry - stop) as target, entry_type = 'pullback' as lim from p3 join as_of a using (as_of)),
+br as (select pd.*, s.session, b.open, b.high, b.low, b.close from pd join bars b on b.ticker = pd.ticker join sessions s using (date) where s.session between sig + 1 and sig + 18),
+fl as (select ticker, sig, entry, stop, target, lim, min(session) as fs, arg_min(case when lim then least(open, entry) else open end, session) as fp from br where not lim or (low <= entry and session - sig <= 5) group by all),
+hd as (select fl.*, br.session, open, high, low, close, case when low <= fl.stop then 'stop' when high >= fl.target and not (br.session = fs and fl.lim) then 'target' end as why,
+  case when low <= fl.stop then case when br.session = fs then fl.stop else least(open, fl.stop) end when high >= fl.target and not (br.session = fs and fl.lim) then case when br.session = fs then fl.target else greatest(open, fl.target) end end as px
+  from fl join br on br.ticker = fl.ticker and br.sig = fl.sig and br.entry = fl.entry and br.stop = fl.stop and br.lim = fl.lim and br.session between fs and fs + 13 where fp > fl.stop),
+ex as (select ticker, sig, entry, stop, lim, fs, fp, coalesce(min(case when why is not null then session end), max(session)) as es, coalesce(arg_min(px, session) filter (where why is not null), arg_max(close, session)) as ep,
   coalesce(arg_min(why, session) filter (where why is not null), 'time') as reason from hd group by all)
 select ticker, sig as signal_session, fs as fill_session, round(fp, 6) + 0.0 as fill_price, es as exit_session, round(ep, 6) + 0.0 as exit_price, reason, round(ep / fp - 1 - 0.002, 6) + 0.0 as net_return, round((ep - fp) / (fp - stop), 6) + 0.0 as r_multiple, es - fs as held from ex"""
 
 QUERIES = {
-    "event_factors": (event_factors, ctes("corporate_events", "as_of") + " select as_of, ticker, count(*) as \"EVENT_INTENSITY_90D\", " + ", ".join(f"count(case when category = '{c}' then 1 end) as \"EVENT_{c.upper()}\"" for c in CATEGORIES) + " from corporate_events join as_of on filed <= as_of and filed > as_of - 90 group by all"),
-    "insider_factors": (insiders, CHOSEN + """
-select as_of, ticker, round((coalesce(sum(case when txn_code = 'P' then abs(value) end), 0) - coalesce(sum(case when txn_code = 'S' then abs(value) * coalesce(greatest(0.15, least(1.0, (abs(shares) / nullif(abs(shares) + post_txn_shares, 0) - 0.05) / 0.15)), 1) end), 0))
- / nullif(sum(abs(value)), 0), 6) + 0.0 as "INSIDER_NET_BUY", count(distinct case when txn_code = 'P' and abs(value) >= 10000 then insider end) as "INSIDER_CLUSTER" from s2 group by all"""),
-    "insider_lots": (lots, ctes("insider_txns") + """ select accession, ticker, insider, txn_date, txn_code, sum(shares) as shares, round(sum(value), 6) + 0.0 as value, max(flags) as flags, count(*) as lots, round(sum(value) / nullif(abs(sum(shares)), 0), 6) + 0.0 as price from insider_txns group by all"""),
-    "attention_z": (attention, ctes("attention") + """, k as (select *, row_number() over (partition by ticker order by date desc) as k from attention)
-select ticker, round(case when count(*) >= 60 and stddev_samp(case when k > 14 then wiki_views end) > 0 then (avg(case when k <= 14 then wiki_views end) - avg(case when k > 14 then wiki_views end)) / stddev_samp(case when k > 14 then wiki_views end) end, 6) + 0.0 as "ATTENTION_Z", count(*) as n from k group by 1"""),
-    "members_asof": (lambda s, d: membership(s, d).select("as_of", "index_symbol", "source", "snapshot", "ticker"), MEMBERS + " select as_of, index_symbol, source, snapshot, ticker from mem"),
     "members_reconciled": (reconcile, MEMBERS + """, a as (select as_of, ticker from mem where source = 'a'), b as (select as_of, ticker from mem where source = 'b'),
 j as (select coalesce(a.as_of, b.as_of) as as_of, a.ticker as x, b.ticker as y from a full join b on a.as_of = b.as_of and a.ticker = b.ticker)
 select as_of, count(case when x is not null and y is not null then 1 end) as agree, round(count(case when x is not null and y is not null then 1 end) / count(*), 6) + 0.0 as jaccard,
-array_to_string(list_sort(list(x) filter (where y is null))[1:25], ',') as only_a, array_to_string(list_sort(list(y) filter (where x is null))[1:25], ',') as only_b from j group by 1"""),
+coalesce(array_to_string(list_sort(list(x) filter (where y is null))[1:25], ','), '') as only_a, coalesce(array_to_string(list_sort(list(y) filter (where x is null))[1:25], ','), '') as only_b from j group by 1"""),
     "membership_changes": (membership_changes, ctes("members") + """, s as (select index_symbol, source, as_of, list_sort(list(distinct ticker)) as now from members group by all), l as (select *, lag(now) over (partition by index_symbol, source order by as_of) as before from s)
 select index_symbol, source, as_of, len(list_filter(now, lambda x: not list_contains(coalesce(before, []), x)))::int as came, len(list_filter(coalesce(before, []), lambda x: not list_contains(now, x)))::int as went from l where before is null or now <> before"""),
     "events_in_index": (events_in_index, MEMBERS.replace("with ", ctes("corporate_events") + ", ", 1) + """ select e_.as_of, e_.ticker, filed, accession, item_code from (select as_of, c.* from corporate_events c join as_of on filed <= as_of and filed > as_of - 90) e_ where exists (select 1 from mem m where m.source = 'a' and m.as_of = e_.as_of and m.ticker = e_.ticker)"""),
     "macro_snapshot": (macro, ctes("macro", "as_of") + f" select as_of, series_id, round({_macro_at(0)}, 6) + 0.0 as value, round({_macro_at(0)} - {_macro_at(7)}, 6) + 0.0 as chg_1w, round({_macro_at(0)} - {_macro_at(30)}, 6) + 0.0 as chg_1m from as_of a, (select distinct series_id from macro) n"),
-    "holdings": (holdings, HOLDINGS), "signals": (signal_rows, SIGNALS), "trade_plans": (plans, PLANS), "walk_forward": (walk, WALK), "trade_outcomes": (trade_rows, TRADES),
-    "market_metrics": (market_metrics, ctes("market") + """, r as (select *, close / lag(close) over (order by date) - 1 as r, close / max(close) over (order by date) - 1 as dd from market),
-m as (select arg_max(close, date) / arg_min(close, date) - 1 as total, count(r) / 52.0 as years, stddev_samp(r) * sqrt(52) as vol, avg(r) * 52 as mean, sqrt(avg(pow(least(r, 0), 2))) * sqrt(52) as down, min(dd) as dd, max(r) as best, min(r) as worst, avg(case when r is not null then (r > 0)::int end) as hit from r)
-select 'market' as id, round(total, 6) + 0.0 as total_return, round(pow(1 + total, 1 / years) - 1, 6) + 0.0 as cagr, round(vol, 6) + 0.0 as volatility, round(mean / vol, 6) + 0.0 as sharpe, round(mean / down, 6) + 0.0 as sortino, round(dd, 6) + 0.0 as max_drawdown, round((pow(1 + total, 1 / years) - 1) / abs(dd), 6) + 0.0 as calmar, round(best, 6) + 0.0 as best, round(worst, 6) + 0.0 as worst, round(hit, 6) + 0.0 as hit_rate, round(years, 6) + 0.0 as years from m"""),
-    "rank_drift": (drift, pr.SCORES + """, a as (select * from scores where as_of = '2001-06-25' and rank <= 20), b as (select * from scores where as_of = '2001-03-26' and rank <= 20)
+    "holdings": (holdings, HOLDINGS), "walk_forward": (walk, WALK), "trade_outcomes": (trade_rows, TRADES),
+    "market_metrics": (market_metrics, ctes("market") + """, y as (select (max(date) - min(date)) / 365.25 as years, count(*) - 1 as n, arg_max(close, date) / arg_min(close, date) - 1 as total from market),
+r as (select close / lag(close) over (order by date) - 1 as r, close / max(close) over (order by date) - 1 as dd from market), x as (select r, dd, r - (pow(1.03, years / n) - 1) as e from r, y),
+m as (select stddev_samp(r) as sd, avg(e) as mean, sqrt(avg(case when e is not null then pow(least(e, 0), 2) end)) as down, min(dd) as dd, max(r) as best, min(r) as worst, avg(case when r is not null then (r > 0)::int end) as hit from x)
+select 'market' as id, round(total, 6) + 0.0 as total_return, round(pow(1 + total, 1 / years) - 1, 6) + 0.0 as cagr, round(sd * sqrt(n / years), 6) + 0.0 as volatility, round(mean / sd * sqrt(n / years), 6) + 0.0 as sharpe, round(mean / down * sqrt(n / years), 6) + 0.0 as sortino,
+round(dd, 6) + 0.0 as max_drawdown, round((pow(1 + total, 1 / years) - 1) / abs(dd), 6) + 0.0 as calmar, round(best, 6) + 0.0 as best, round(worst, 6) + 0.0 as worst, round(hit, 6) + 0.0 as hit_rate, round(years, 6) + 0.0 as years from m, y"""),
+    "sector_metrics": (sector_metrics, ctes("market", "securities", "bars") + """, v as (select sector, date, avg(b.adj_close) as v from bars b join securities using (ticker) group by all),
+p as (select v.*, m.adj_close as m from v join market m using (date)), r as (select sector, date, v, m, v / lag(v) over w - 1 as r, m / lag(m) over w - 1 as b from p window w as (partition by sector order by date)),
+g as (select sector, (max(date) - min(date)) / 365.25 as years, count(r) as n, arg_max(v, date) / arg_min(v, date) as gv, arg_max(m, date) / arg_min(m, date) as gm, stddev_samp(r - b) as te, avg(r - b) as d, covar_samp(r, b) / var_samp(b) as beta from r group by 1)
+select sector, round(pow(gm, 1 / years) - 1, 6) + 0.0 as benchmark_cagr, round(pow(gv, 1 / years) - pow(gm, 1 / years), 6) + 0.0 as excess_cagr, round(te * sqrt(n / years), 6) + 0.0 as tracking_error, round(d * n / years / (te * sqrt(n / years)), 6) + 0.0 as information_ratio, round(beta, 6) + 0.0 as beta from g"""),
+    "rank_drift": (drift, pl.SCORES + """, a as (select * from scores where as_of = (select max(as_of) from as_of) and rank <= 20), b as (select * from scores where as_of = (select max(as_of) from as_of where as_of < (select max(as_of) from as_of)) and rank <= 20)
 select coalesce(a.strategy, b.strategy) as strategy, coalesce(a.ticker, b.ticker) as ticker, a.rank as rank_now, b.rank as rank_then, case when b.rank is null then 'entered' when a.rank is null then 'dropped' else 'held' end as status, b.rank - a.rank as rank_change, round(a.composite - b.composite, 6) + 0.0 as score_change from a full join b on a.strategy = b.strategy and a.ticker = b.ticker"""),
-    "strategy_crossover": (crossed, pr.SCORES + """, j as (select a.as_of, a.ticker, a.rank as rank_a, b.rank as rank_b, a.percentile as pa, b.percentile as pb from scores a join scores b using (as_of, ticker) where a.strategy = 'momentum_trend' and b.strategy = 'pullback'),
+    "strategy_crossover": (crossed, pl.SCORES + """, j as (select a.as_of, a.ticker, a.rank as rank_a, b.rank as rank_b, a.percentile as pa, b.percentile as pb from scores a join scores b using (as_of, ticker) where a.strategy = 'momentum_trend' and b.strategy = 'pullback'),
 k as (select *, case when (pa >= 0.8 and pb <= 0.2) or (pa <= 0.2 and pb >= 0.8) then 'conflict' when rank_a <= 20 and rank_b <= 20 then 'both' when rank_a <= 20 then 'only_a' when rank_b <= 20 then 'only_b' end as side from j) select as_of, ticker, rank_a, rank_b, side from k where side is not null"""),
-    "consensus_votes": (consensus, VOTES + " select as_of, ticker, votes, round(mean, 6) + 0.0 as mean, families, round(composite, 6) + 0.0 as composite from vc"),
-    "vote_agreement": (agreement, VOTES + FWD + """, j as (select as_of, greatest(-1, least(4, votes)) as bucket, fwd from vc join fw using (as_of, ticker) where composite is not null), d as (select as_of, bucket, avg(fwd) as m, count(*) as n, avg(case when fwd is not null then (fwd > 0)::int end) as h from j group by all)
+    "vote_agreement": (agreement, pl.VOTES + FWD + """, j as (select as_of, greatest(-1, least(4, votes)) as bucket, fwd from vc join fw using (as_of, ticker) where composite is not null), d as (select as_of, bucket, avg(fwd) as m, count(*) as n, avg(case when fwd is not null then (fwd > 0)::int end) as h from j group by all)
 select bucket, round(avg(m), 6) + 0.0 as mean_return, sum(n) as names, round(avg(h), 6) + 0.0 as hit, round(median(m), 6) + 0.0 as median_return, count(*) as dates from d group by 1"""),
-    "vote_spread": (spread, VOTES + FWD + """, d as (select as_of, avg(case when votes >= 2 then fwd end) - avg(case when votes = 0 then fwd end) as s from vc join fw using (as_of, ticker) where composite is not null group by 1) select round(avg(s), 6) + 0.0 as spread, sum((s > 0)::int) as wins, count(s) as dates from d"""),
-    "cohort_returns": (cohort_rows, pr.SCORES + FWD + """ select as_of, strategy, round(avg(case when rank <= 10 then fwd end), 6) + 0.0 as picks, round(avg(fwd), 6) + 0.0 as universe, round(avg(case when rank <= 10 then fwd end) - avg(fwd), 6) + 0.0 as excess, count(case when rank <= 10 then 1 end) as n from scores join fw using (as_of, ticker) group by all"""),
+    "vote_spread": (spread, pl.VOTES + FWD + """, d as (select as_of, avg(case when votes >= 2 then fwd end) - avg(case when votes = 0 then fwd end) as s from vc join fw using (as_of, ticker) where composite is not null group by 1) select round(avg(s), 6) + 0.0 as spread, sum((s > 0)::int) as wins, count(s) as dates from d"""),
+    "cohort_returns": (cohort_rows, pl.SCORES + FWD + """ select as_of, strategy, round(avg(case when rank <= 10 then fwd end), 6) + 0.0 as picks, round(avg(fwd), 6) + 0.0 as universe, round(avg(case when rank <= 10 then fwd end) - avg(fwd), 6) + 0.0 as excess, count(case when rank <= 10 then 1 end) as n from scores join fw using (as_of, ticker) group by all"""),
 }

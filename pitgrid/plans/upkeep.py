@@ -10,7 +10,7 @@ from pitgrid.operators import text as tx
 from pitgrid.plans import filings, prices as pr
 from pitgrid.plans.fixtures import ctes, read
 from pitgrid.plans.prices import rounded
-from pitgrid.plans.records import MEMBERS, membership
+from pitgrid.plans.alternatives import MEMBERS, membership
 
 WORDS = "list_filter(string_split_regex(lower(coalesce({}, '')), '[^a-z]+'), lambda x: x <> '')"
 COUNTED = ctes("news") + f""",
@@ -61,7 +61,7 @@ def headlines(spark, sf):
     return tx.newest(tx.first_sightings(read(spark, sf, "news"))).select("id", "ticker", "published", "place")
 
 
-TITLE = "trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g'))"
+TITLE = "trim(regexp_replace(lower(coalesce({}, '')), '\\s+', ' ', 'g'))"
 
 
 def shared_headlines(spark, sf):
@@ -122,9 +122,10 @@ def unreferenced(spark, sf):
 
 
 def sessions_of_year(spark, sf):
-    """Trading days of the years with bars, with the weeks without orders' end as closed days."""
-    closed = read(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("n")).where("n % 7 = 0").select("date")
-    return store.calendar(spark, "1997-01-01", "1998-12-31", closed)
+    """Days with a session over all years that orders cover; days with a multiple of seven orders are closed."""
+    days = read(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    first, last = days.agg(F.min("date"), F.max("date")).first()
+    return store.open_days(spark, str(first), str(last), days.where("n % 7 = 0").select("date"))
 
 
 def bar_checks(spark, sf):
@@ -170,7 +171,7 @@ select * from (select *, row_number() over (partition by id order by count desc,
     "news_headlines": (headlines, ctes("news") + f""", f as (select * from news qualify row_number() over (partition by ticker, {TITLE.format("substring(title, 1, 90)")} order by published, id) = 1)
 select * from (select id, ticker, published, row_number() over (partition by ticker order by published desc, id) as place from f) where place <= 25"""),
     "news_shared": (shared_headlines, ctes("news") + f" select {TITLE.format('title')} as title_key, array_to_string(list_sort(list(distinct ticker)), ',') as tickers, min(published) as first, count(*) as n from news group by 1"),
-    "article_ids": (ids, ctes("news") + f" select id, substring(sha256(concat_ws('|', coalesce(ticker, ''), {TITLE.format('title')})), 1, 24) as article_id from news"),
+    "article_ids": (ids, ctes("news") + f" select id, substring(sha256(coalesce(ticker, '') || '|' || {TITLE.format('title')}), 1, 24) as article_id from news"),
     "news_summaries": (sentences, None),
     "security_names": (names, ctes("securities") + f""" select ticker, case when regexp_matches(upper(ticker) || '-A', '^[A-Z][A-Z0-9]{{0,5}}(-[A-Z0-9]{{1,3}})?$') then upper(ticker) || '-A' end as symbol,
 array_to_string(list_sort(list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(name || ', Inc. & Co' || industry), '[^a-z0-9]+', ' ', 'g')), ' +'), lambda x: x <> '' and x not in {NOISE}))), ' ') as company_key,
@@ -184,9 +185,9 @@ union all select ticker, filed + 200, accession, category from corporate_events
 select * from (select * from e where filed < date '2001-06-30' - 400) qualify row_number() over (partition by category, date_trunc('week', filed) order by filed desc) = 1"""),
     "source_coverage": (prints, PRINTS),
     "events_orphaned": (unreferenced, ctes("corporate_events", "members") + " select category, count(*) as n from corporate_events e where not exists (select 1 from members m where m.ticker = e.ticker) group by 1"),
-    "trading_calendar": (sessions_of_year, """with c as (select o_orderdate::date as date from orders group by 1 having count(*) % 7 = 0),
-d as (select unnest(generate_series(date '1997-01-01', date '1998-12-31', interval 1 day))::date as date)
-select date, row_number() over w as session, lag(date) over w as previous, lead(date) over w as next from d where isodow(date) <= 5 and date not in (select date from c) window w as (order by date)"""),
+    "open_days": (sessions_of_year, """with c as (select o_orderdate::date as date, count(*) as n from orders group by 1),
+d as (select unnest(generate_series((select min(date) from c), (select max(date) from c), interval 1 day))::date as date)
+select date, row_number() over w as session, lag(date) over w as previous, lead(date) over w as next from d where isodow(date) <= 5 and date not in (select date from c where n % 7 = 0) window w as (order by date)"""),
     "bar_checks": (bar_checks, ctes("bars") + " select case when close is null or close <= 0 then 'no close' when volume < 0 then 'negative volume' when high < low then 'high under low' when close > high * 1.001 or close < low * 0.999 then 'close outside range' else 'ok' end as why, count(*) as n from bars group by 1"),
     "factor_bounds": (bounds, pr.LONG + ", bd(factor, lo, hi) as (values " + ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in audit.BOUNDS.items()) + """)
 select factor, count(case when value < lo or value > hi then 1 end) as bad, count(value) as n, coalesce(array_to_string(list_sort(list(distinct ticker) filter (where value < lo or value > hi))[1:5], ','), '') as examples from long join bd using (factor) group by 1"""),

@@ -1,13 +1,18 @@
 """Small inputs with known results."""
 
 import datetime as dt
+import math
 import random
+import re
+import statistics
+from datetime import date
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pitgrid.functions import scalars as sc
-from pitgrid.operators import asof, audit, evaluation as ev, fundamentals as fu, store, text as tx, timeseries as ts, transforms as tr
+from pitgrid.operators import asof, audit, evaluation as ev, fundamentals as fu, panel as pnl, signals as sg, store, text as tx, timeseries as ts, transforms as tr
 from pitgrid.sources import landed
 
 
@@ -84,9 +89,8 @@ def test_shortlist_equals_the_greedy_rule(spark):
 
 def test_rsi(spark):
     def run(deltas):
-        n = len(deltas)
-        df = spark.createDataFrame([("d", "T", n - 1 - i, x) for i, x in enumerate(deltas)], "as_of string, ticker string, age int, delta double")
-        return ts.rsi(df).first().RSI_14
+        df = spark.createDataFrame([("T", 500 + i, x) for i, x in enumerate(deltas)], "ticker string, session int, delta double")
+        return ts.rsi(df).orderBy(F.desc("session")).first().RSI_14
 
     assert run([None] + [1.0] * 20) == 100 and run([None] + [1.0] * 13) is None and run([None] + [0.0] * 20) is None
     deltas = [None] + [random.Random(2).gauss(0, 1) for _ in range(1)] + [(-1.0) ** i * (1 + i % 3) for i in range(40)]
@@ -98,12 +102,108 @@ def test_rsi(spark):
     assert abs(run(deltas) - (100 - 100 / (1 + gain / loss))) < 1e-9
 
 
+def month(i):
+    return date(2020 + i // 12, 1 + i % 12, 1)
+
+
 def test_metrics_of_a_steady_curve(spark):
-    df = spark.createDataFrame([("c", i, 1.01**i) for i in range(61)], "id string, t int, v double")
-    m = ev.metrics(df, ["id"], "v", "t", 12).first()
-    assert abs(m.total_return - (1.01**60 - 1)) < 1e-9 and abs(m.cagr - (1.01**12 - 1)) < 1e-9 and m.max_drawdown == 0 and m.hit_rate == 1
-    df = spark.createDataFrame([("c", i, v) for i, v in enumerate((1.0, 1.2, 0.9, 1.1, 1.5))], "id string, t int, v double")
-    assert abs(ev.metrics(df, ["id"], "v", "t", 12).first().max_drawdown + 0.25) < 1e-12
+    df = spark.createDataFrame([("c", month(i), 1.01**i) for i in range(61)], "id string, t date, v double")
+    m = ev.metrics(df, ["id"], "v", "t").first()
+    assert abs(m.total_return - (1.01**60 - 1)) < 1e-9 and abs(m.cagr - (1.01**12 - 1)) < 1e-3 and m.max_drawdown == 0 and m.hit_rate == 1 and m.calmar == 0
+    df = spark.createDataFrame([("c", month(i), v) for i, v in enumerate((1.0, 1.2, 0.9, 1.1, 1.5))], "id string, t date, v double")
+    assert abs(ev.metrics(df, ["id"], "v", "t").first().max_drawdown + 0.25) < 1e-12
+    assert ev.metrics(df.limit(1), ["id"], "v", "t").count() == 0
+
+
+def test_metrics_take_the_riskless_rate_per_period(spark):
+    values = [1.0]
+    for k in range(36):
+        values.append(values[-1] * (1.02 if k % 3 else 0.97))
+    df = spark.createDataFrame([("c", month(i), v) for i, v in enumerate(values)], "id string, t date, v double")
+    m = ev.metrics(df, ["id"], "v", "t", 0.04).first()
+    rets = [b / a - 1 for a, b in zip(values, values[1:])]
+    per_year = len(rets) / ((month(36) - month(0)).days / 365.25)
+    over = [r - (1.04 ** (1 / per_year) - 1) for r in rets]
+    mean, down = sum(over) / len(over), (sum(min(x, 0) ** 2 for x in over) / len(over)) ** 0.5
+    assert abs(m.sharpe - mean / statistics.stdev(rets) * per_year**0.5) < 1e-9 and abs(m.sortino - mean / down * per_year**0.5) < 1e-9
+
+
+def test_plans(spark):
+    """No plan with a stop that is too wide; the swing low counts only below the range stop, and is then lowered."""
+    rows = [("wide", 100.0, 9.0, 50.0), ("swing", 100.0, 2.0, 90.0), ("near", 100.0, 2.0, 97.0), ("none", 100.0, 0.0, 90.0), ("deep", 5.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "ticker string, PRICE double, ATR_14 double, SWING_LOW double")
+    got = {r.ticker: r for r in sg.trade_plans(df, "momentum").collect()}
+    assert set(got) == {"swing", "near"}
+    assert abs(got["swing"].stop - 90 * 0.995) < 1e-9 and got["swing"].basis == "swing_low" and got["swing"].entry == 99.0 and got["swing"].entry_type == "pullback"
+    assert got["near"].stop == 94.0 and got["near"].basis == "atr" and abs(got["near"].target - (99 + 2 * 5)) < 1e-9
+    assert sg.trade_plans(df, "breakout").where("ticker = 'near'").first().entry == 100.0
+
+
+def test_ladders(spark):
+    rows = [("a", 0.95, 0.12, 0.4, 50.0, 0.01), ("b", 0.60, -0.2, -0.5, 80.0, 0.07), ("c", 0.10, None, None, None, None), ("d", None, 0.01, None, 29.0, 0.02)]
+    df = spark.createDataFrame(rows, "ticker string, percentile double, PCT_VS_MA200 double, INSIDER_NET_BUY double, RSI_14 double, ATR_PCT double")
+    extra = {c: F.lit(None).cast("double") for c in ("PIOTROSKI_F", "EVENT_MANAGEMENT", "EVENT_RESTRUCTURING", "ACCRUALS")}
+    got = {r.ticker: r for r in sg.avoid(sg.mid_term(sg.long_term(df.withColumns(extra)))).collect()}
+    assert got["a"].long_score == 5 and got["a"].long_signal.endswith("Strong Buy — accumulate") and got["a"].long_reasons == "Top-decile composite; Uptrend (+12% vs 200d); Insiders net buyers"
+    assert got["b"].long_score == -0.5 and got["b"].mid_score == 1 - 1.5 - 1 and got["b"].mid_signal.endswith("Avoid")
+    assert got["c"].long_signal.endswith("Trim") and got["c"].mid_score == -2 and got["c"].mid_reasons == "Weak setup"
+    assert got["d"].long_score == 1 and got["d"].mid_reasons == "Oversold (RSI 29)"
+    assert got["a"].avoid_score == -3 and got["b"].avoid_signal.endswith("No flag") and got["b"].avoid_reasons == "-20% below 200-day; Insiders net sellers"
+
+
+def test_titles_of_other_scripts_stay_apart(spark):
+    df = spark.createDataFrame([(" Über  Nacht ",), ("日本 株",), ("日本 債",), (None,)], "t string")
+    assert [r.k for r in df.select(sc.normalize_title(F.col("t")).alias("k")).collect()] == ["über nacht", "日本 株", "日本 債", ""]
+
+
+def test_central_sentences_against_all_pairs(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+    texts = [" ".join("A" + " ".join(rng.choice(words) for _ in range(rng.choice((6, 9, 14)))) + "." for _ in range(n)) for n in (2, 3, 7, 90)]
+    got = tx.central_sentences(spark.createDataFrame(list(enumerate(texts)), "id int, body string"), "id", "body").collect()
+    for i, text in enumerate(texts):
+        own = text.replace(". ", ".|").split("|")
+        bags = [set(re.findall("[a-z][a-z'-]+", s.lower())) - set(tx.STOP_WORDS) for s in own]
+        sim = np.array([[len(a & b) / (math.log(len(a) + 1) + math.log(len(b) + 1)) if x != y else 0.0 for y, b in enumerate(bags)] for x, a in enumerate(bags)])
+        sums = sim.sum(axis=1)
+        walk, rank = sim / np.where(sums == 0, 1, sums)[:, None], np.ones(len(own)) / len(own)
+        for _ in range(30):
+            before, rank = rank, 0.15 / len(own) + 0.85 * walk.T @ rank
+            if np.abs(rank - before).sum() < 1e-6:
+                break
+        want = sorted(np.argsort(-np.round(rank, 12), kind="stable")[:3].tolist()) if len(own) > 3 else list(range(len(own)))
+        assert sorted(r.s for r in got if r.id == i) == want and all(r.sentence == own[r.s] for r in got if r.id == i)
+
+
+def test_decayed_means_over_long_histories(spark):
+    rng = random.Random(3)
+    values = [rng.random() if rng.random() > 0.1 else None for _ in range(1300)]
+    df = spark.createDataFrame([("T", 40 + i, v) for i, v in enumerate(values)], "ticker string, session int, x double")
+    got = [r.m for r in ts.ewm(df, {"m": "x"}, 1 / 14).orderBy("session").collect()]
+    kept, want = None, []
+    for v in values:  # a missing value decays what was before, as its age grows
+        kept = (None if v is None else v) if kept is None else kept * 13 / 14 + (v or 0.0) / 14
+        want.append(kept)
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want) if b is not None)
+
+
+def test_consensus_counts_views_and_vetoes(spark):
+    stand = [("n1", "s1", 0.9), ("n1", "s2", 0.8), ("n1", "veto", 0.95), ("n2", "s1", 0.0), ("n2", "s2", None), ("n2", "veto", 0.2), ("n3", "s1", 0.85), ("n3", "s2", 0.1), ("n3", "veto", None)]
+    df = spark.createDataFrame([("d", *x) for x in stand], "as_of string, ticker string, strategy string, pct double")
+    fam = spark.createDataFrame([("s1", "f1"), ("s2", "f2")], "strategy string, family string")
+    views = spark.createDataFrame([("d", "n3", 1.5)], "as_of string, ticker string, LLM_EARNINGS_VIEW double")
+    got = {r.ticker: r for r in pnl.family_votes(df, fam, views, "veto").collect()}
+    assert got["n1"].votes == 1 and got["n1"].vetoed and abs(got["n1"].composite - (1 + 0.5 * 0.85)) < 1e-9
+    assert got["n2"].votes == 0 and got["n2"].composite is None
+    assert got["n3"].votes == 2 and got["n3"].families == 3
+
+
+def test_universe_rules(spark):
+    rows = [("d", "a", "X", "c", 10.0, 5.0, 100.0), ("d", "b", None, "c", 10.0, 5.0, None), ("d", "e", "X", "c", None, 5.0, 100.0), ("d", "f", "X", "c", 10.0, 5.0, 1.0), ("d", "g", "X", "c", 10.0, 5.0, None)]
+    df = spark.createDataFrame(rows, "as_of string, ticker string, sector string, country string, price double, adv double, market_cap double")
+    ask = lambda **k: [r.ticker for r in pnl.universe(df, **k).orderBy("ticker").collect()]
+    assert ask() == ["a", "b", "e", "f", "g"] and ask(sectors=["X"]) == ["a", "e", "f", "g"] and ask(min_price=1.0) == ["a", "b", "f", "g"]
+    assert ask(min_cap=50.0) == ["a", "b", "e", "g"] and ask(most=4) == ["a", "b", "e", "f"]
 
 
 def test_span_classes(spark):
