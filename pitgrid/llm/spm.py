@@ -39,11 +39,11 @@ from pitgrid.llm.shingling import mix
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Units in a worker's table before it starts anew, and the longest that is remembered.
-REMEMBERED, SHORT = 800_000, 48
+REMEMBERED, SHORT = 400_000, 48
 #: Units up to this length are weighed in arrays, of so many cells at once; longer ones one by one.
-ARRAYED, CELLS = 64, 3_000_000
+ARRAYED, CELLS = 64, 1_500_000
 #: Code points of texts that are worked on together.
-GROUP = 2_000_000
+GROUP = 1_000_000
 ALPHA, SAMPLES, SEED = 0.002, 3, 7
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -380,7 +380,7 @@ class Codec:
 
     def forget(self) -> None:
         """Starts the table of units anew.  Of each: its pieces by the library, the likeliest ones, and what they and all others weigh."""
-        self.known: dict[int, int] = {}
+        self.known, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)  # hashes in order, and where their units are
         self.names: list[str] = []
         self.ids: list[bytes] = []
         self.tops: list[bytes] = []
@@ -421,7 +421,7 @@ class Codec:
                 found = Lattices(names, self.table)
                 self.stay[own] = found.stays()
                 for i, top in zip(one_by_one, found.tops(), strict=True):
-                    self.tops[i] = top
+                    self.tops[i] = top if top != self.ids[i] else self.ids[i]
                 one_by_one = own[~found.sound()].tolist()
             for i in one_by_one:
                 found = Lattice(self.names[i], self)
@@ -448,17 +448,19 @@ class Codec:
         place = np.arange(len(codes)) - np.repeat(at, ends - at)
         power = np.multiply.accumulate(np.full(int(place.max()) + 1, BASE, np.uint64))
         hashes, one, which = np.unique(np.add.reduceat(mix(codes.astype(np.uint64) + np.uint64(1)) * power[place], at), return_index=True, return_inverse=True)
-        hashes = hashes.tolist()
-        found = list(map(self.known.get, hashes))
-        fresh = [j for j, i in enumerate(found) if i is None]
-        if fresh:
-            number, names = len(self.names), [flat[at[one[j]] : ends[one[j]]] for j in fresh]
+        place = np.searchsorted(self.known, hashes)
+        found = np.full(len(hashes), -1, np.int64)
+        hit = np.flatnonzero(place < len(self.known))
+        hit = hit[self.known[place[hit]] == hashes[hit]]
+        found[hit] = self.number[place[hit]]
+        fresh = np.flatnonzero(found < 0)
+        if len(fresh):
+            number, names = len(self.names), [flat[a:b] for a, b in zip(at[one[fresh]].tolist(), ends[one[fresh]].tolist())]
             self.learn(names)
-            for i, (j, name) in enumerate(zip(fresh, names), number):
-                found[j] = i
-                if len(name) <= SHORT:
-                    self.known[hashes[j]] = i
-        return np.split(np.array(found, np.int64)[which], np.searchsorted(at, firsts[1:-1]))
+            found[fresh] = np.arange(number, len(self.names))
+            short = fresh[ends[one[fresh]] - at[one[fresh]] <= SHORT]
+            self.known, self.number = np.insert(self.known, place[short], hashes[short]), np.insert(self.number, place[short], found[short])
+        return np.split(found[which], np.searchsorted(at, firsts[1:-1]))
 
     def read(self, text: str) -> tuple[list[str], np.ndarray]:
         """The units of a text and their numbers."""
