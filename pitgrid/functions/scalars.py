@@ -122,5 +122,12 @@ def article_id(ticker: Column, title: Column) -> Column:
 def signal_bucket(signal: Column) -> Column:
     """The broad class of a signal label."""
     s = F.lower(F.coalesce(signal, F.lit("")))
-    out = F.when(s.contains("buy") | s.contains("accumulate"), "Buy").when(s.contains("sell") | s.contains("avoid") | s.contains("reduce"), "Sell")
-    return out.when(s.contains("hold"), "Hold").otherwise("Neutral")
+    has = lambda *words: F.greatest(*[s.contains(w) for w in (*words, words[0])])
+    return F.when(has("buy", "enter"), "Buy").when(has("sell", "trim", "avoid"), "Sell").when(has("hold", "add", "watch"), "Hold").otherwise("Neutral")
+
+
+def last_completed(local: Column, open_day: Column, previous: Column, close: str = "16:00", delay: int = 45) -> Column:
+    """The newest session whose bar is final at a local time: that day's, once the close and the delay are over, else the one before."""
+    minutes = F.hour(local) * 60 + F.minute(local)
+    hour, minute = map(int, close.split(":"))
+    return F.when(open_day & (minutes >= hour * 60 + minute + delay), F.to_date(local)).otherwise(previous)

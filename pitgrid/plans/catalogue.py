@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitgrid.plans import alternatives, briefs, filings, landing, panel, prices, records, upkeep
+from pitgrid.plans import alternatives, briefs, desk, filings, landing, panel, prices, records, upkeep
 
-MODULES = (prices, filings, alternatives, panel, records, briefs, upkeep, landing)
+MODULES = (prices, filings, alternatives, panel, records, briefs, desk, upkeep, landing)
 
 
 def queries() -> dict:

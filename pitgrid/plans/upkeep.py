@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pitgrid.functions import scalars as sc
 from pitgrid.operators import audit, store
 from pitgrid.operators import text as tx
-from pitgrid.plans import filings, prices as pr
+from pitgrid.plans import filings, panel as pl, prices as pr
 from pitgrid.plans.fixtures import ctes, read
 from pitgrid.plans.prices import rounded
 from pitgrid.plans.alternatives import MEMBERS, membership
@@ -134,7 +134,8 @@ def bar_checks(spark, sf):
 
 
 def bounds(spark, sf):
-    return audit.out_of_bounds(pr.long_factors(spark, sf))
+    wide = pl.frame(spark, sf).select("as_of", "ticker", *[F.col(f).cast("double").alias(f) for f in audit.BOUNDS])
+    return audit.out_of_bounds(wide.unpivot(["as_of", "ticker"], list(audit.BOUNDS), "factor", "value"))
 
 
 def covered(spark, sf):
@@ -189,8 +190,8 @@ select * from (select * from e where filed < date '2001-06-30' - 400) qualify ro
 d as (select unnest(generate_series((select min(date) from c), (select max(date) from c), interval 1 day))::date as date)
 select date, row_number() over w as session, lag(date) over w as previous, lead(date) over w as next from d where isodow(date) <= 5 and date not in (select date from c where n % 7 = 0) window w as (order by date)"""),
     "bar_checks": (bar_checks, ctes("bars") + " select case when close is null or close <= 0 then 'no close' when volume < 0 then 'negative volume' when high < low then 'high under low' when close > high * 1.001 or close < low * 0.999 then 'close outside range' else 'ok' end as why, count(*) as n from bars group by 1"),
-    "factor_bounds": (bounds, pr.LONG + ", bd(factor, lo, hi) as (values " + ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in audit.BOUNDS.items()) + """)
-select factor, count(case when value < lo or value > hi then 1 end) as bad, count(value) as n, coalesce(array_to_string(list_sort(list(distinct ticker) filter (where value < lo or value > hi))[1:5], ','), '') as examples from long join bd using (factor) group by 1"""),
+    "factor_bounds": (bounds, "with " + pl.FRAME + ", lg as (" + " union all ".join(f"""select ticker, '{k}' as factor, "{k}"::double as value, {a!r} as lo, {b!r} as hi from frame""" for k, (a, b) in audit.BOUNDS.items()) + """)
+select factor, count(case when value < lo or value > hi then 1 end) as bad, count(value) as n, coalesce(array_to_string(list_sort(list(distinct ticker) filter (where value < lo or value > hi))[1:5], ','), '') as examples from lg group by 1"""),
     "factor_coverage": (covered, pr.LONG + """, c as (select as_of, factor, avg((value is not null)::int) as share, count(value) as n from long group by all)
 select as_of, factor, round(share, 6) + 0.0 as share, n, case when share = 0 then 'missing' when share < 0.1 then 'empty' when share < 0.5 then 'sparse' else 'ok' end as status from c"""),
     "filing_checks": (filing_checks, filings.FACTS + " select ticker, count(case when filed < period_end then 1 end) as early, max(filed) as last_filed, count(*) as n from facts group by 1"),
