@@ -264,10 +264,10 @@ def by_block(members: DataFrame, run, schema: str) -> DataFrame:
             cuts = np.append(np.flatnonzero(np.diff(block)) + 1, len(block)) if len(block) else np.empty(0, np.int64)
             last = len(cuts) if whole else len(cuts) - 1
             start, out = 0, []
-            cols = {c: table[c].to_pylist() if pa.types.is_binary(table[c].type) else table[c].to_numpy() for c in columns}
+            flat = {c: table[c].to_numpy() for c in columns if not pa.types.is_binary(table[c].type)}
             for end in cuts[:last].tolist():
-                if end - start > 1:
-                    out += run({c: v[start:end] for c, v in cols.items()})
+                if end - start > 1:  # points and sets of one block at a time
+                    out += run({c: flat[c][start:end] if c in flat else table[c].slice(start, end - start).to_pylist() for c in columns})
                 start = end
             rest = table.slice(start)
             made = list(zip(*out)) or [()] * len(kinds)

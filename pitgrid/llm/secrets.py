@@ -5,11 +5,12 @@ Everything is Spark SQL.  Spans count code points, the end is exclusive.
 The battery takes long unbroken tokens, infers the encoding of each from its characters,
 and tests it against two hypotheses.  Against "drawn evenly from the alphabet": chi-squared
 uniformity, runs about the middle of the alphabet, and serial correlation at lag 1, joined
-by Fisher's rule; a token that fails isn't random.  Against "ordinary writing": the same
+by Fisher's rule; a token whose joint p-value is rejected isn't random.  Against "ordinary writing": the same
 chi-squared statistic under an uneven alphabet, and the changes of character class, whose
 joint p-value shrinks with length when a token really is random.  Benjamini-Hochberg, done
-within each encoding and length band on counts of p-values in bins, sets the level that a
-token must reach, so short tokens need stronger evidence than long ones.
+within each encoding and length band on counts of p-values in bins, controls the false
+discoveries of both tests, so short tokens need stronger evidence than long ones.  A secret
+is a token that the battery doesn't reject and that is rejected as writing.
 """
 
 from __future__ import annotations
@@ -173,33 +174,44 @@ def bin_of(p: Column) -> Column:
     return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-60))) * BINS_PER_DECADE), F.lit(60 * BINS_PER_DECADE)).cast("int")
 
 
-def levels(candidates: DataFrame, q: float) -> dict[tuple[str, int], int]:
-    """For each encoding and length band the least bin whose tokens are discoveries at ``q``.
+def levels(candidates: DataFrame, q: float) -> dict[str, dict[tuple[str, int], int]]:
+    """For each test, encoding and length band the least bin of p-values that Benjamini-Hochberg rejects at ``q``.
 
-    The counts are a table of at most encodings x bands x bins rows, however large the corpus is.
+    "random" is the battery's own joint p-value, whose rejections aren't random; "ordinary" is
+    that of ordinary writing, whose rejections aren't writing.  The counts are a table of at
+    most tests x encodings x bands x bins rows, however large the corpus is.
     """
-    counts = (
-        candidates.select(F.explode(TESTED).alias("t")).select("t.b.*")
-        .groupBy("enc", "band", bin_of(F.col("p_ordinary")).alias("bin")).count().collect()
-    )
-    strata: dict[tuple[str, int], dict[int, int]] = {}
-    for r in counts:
-        strata.setdefault((r.enc, r.band), {})[r.bin] = r["count"]
-    found_at = {}
-    for key, bins in strata.items():
-        total, seen = sum(bins.values()), 0
-        for b in sorted(bins, reverse=True):
-            seen += bins[b]
-            if total * 10 ** (-b / BINS_PER_DECADE) / seen <= q:
-                found_at[key] = b
-    return found_at
-
-
-def with_spans(docs: DataFrame, text: str = "text", q: float = 0.01, alpha: float = 1e-3, ordinary: float = 1.7, changes: float = 0.15) -> DataFrame:
+    both = F.array(*[F.struct(F.lit(k).alias("test"), bin_of(F.col(f"p_{k}")).alias("bin")) for k in ("random", "ordinary")])
+    found = candidates.select(F.explode(TESTED).alias("t")).select("t.b.*").select("enc", "band", F.explode(both).alias("x"))
+    strata: dict[str, dict[tuple[str, int], dict[int, int]]] = {"random": {}, "ordinary": {}}
+    for r in found.groupBy("enc", "band", "x.test", "x.bin").count().collect():
+        strata[r.test].setdefault((r.enc, r.band), {})[r.bin] = r["count"]
+    least: dict[str, dict[tuple[str, int], int]] = {}
+    for test, cells in strata.items():
+        least[test] = {}
+        for key, bins in cells.items():
+            total, seen = sum(bins.values()), 0
+            for b in sorted(bins, reverse=True):
+                seen += bins[b]
+                if total * 10 ** (-b / BINS_PER_DECADE) / seen <= q:
+                    least[test][key] = b
+    return least
+
+
+def rejected(least: dict[tuple[str, int], int], token: Column, p: str) -> Column:
+    """Whether a token's p-value lies in a bin that is rejected for its encoding and length band."""
+    if not least:
+        return F.lit(False)
+    table = F.create_map(*[x for (enc, band), b in sorted(least.items()) for x in (F.lit(f"{enc}:{band}"), F.lit(b))])
+    return F.coalesce(bin_of(token["b"][p]) >= F.try_element_at(table, F.concat_ws(":", token["b"]["enc"], token["b"]["band"].cast("string"))), F.lit(False))
+
+
+def with_spans(docs: DataFrame, text: str = "text", q: float = 0.01, ordinary: float = 1.7, changes: float = 0.15) -> DataFrame:
     """``docs`` with ``BASE`` and ``SPANS`` columns: arrays of (start, rank, end), rank by ``KINDS``.
 
-    q: rate of false discoveries; alpha: level at which a token is held not to be random;
-    ordinary: how many times likelier than by an even alphabet two characters of ordinary
+    q: rate of false discoveries, of tokens that the battery finds not to be random and of
+    tokens that are found not to be writing; a token is a secret if the first test keeps it
+    and the second rejects it.  ordinary: how many times likelier than by an even alphabet two characters of ordinary
     writing agree; changes: rate at which its character class changes.
     A null text counts as empty and has no span.  All other columns stay as they are.
     """
@@ -208,13 +220,7 @@ def with_spans(docs: DataFrame, text: str = "text", q: float = 0.01, alpha: floa
         TESTED, F.when(whole.rlike(TOKEN), tested(whole, F.col(BASE), ordinary, changes))
     )
     least = levels(based.select(TESTED), q)
-    passes = lambda t: F.lit(False)
-    if least:
-        table = F.create_map(*[x for (enc, band), b in sorted(least.items()) for x in (F.lit(f"{enc}:{band}"), F.lit(b))])
-        passes = lambda t: F.coalesce(
-            (bin_of(t["b"]["p_ordinary"]) >= table[F.concat_ws(":", t["b"]["enc"], t["b"]["band"].cast("string"))]) & (t["b"]["p_random"] >= alpha),
-            F.lit(False),
-        )
+    passes = lambda t: rejected(least["ordinary"], t, "p_ordinary") & ~rejected(least["random"], t, "p_random")
     extra = F.transform(F.filter(TESTED, passes), lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end")))
     return based.withColumn(SPANS, F.sort_array(F.when(F.col(TESTED).isNull(), F.col(BASE)).otherwise(F.concat(BASE, extra)))).drop(TESTED)
 

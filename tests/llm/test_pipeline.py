@@ -45,3 +45,19 @@ def test_run_has_the_same_rows(spark):
 
 def test_marks_are_no_secrets():
     assert not re.search(secrets.ASSIGN, "[secret] [secret]")
+
+
+def test_odd_rows_pass_all_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    none = spark.createDataFrame([(None, None, None, None, None), (9_000_001, None, "en", "a", None), (9_000_002, "", None, None, 0)], docs.schema)
+    from pyspark.sql import functions as F
+
+    odd = docs.union(none).union(docs.limit(5)).withColumns({"label": F.lit(1), "block": F.lit("x"), "prob": F.lit(0.5)})
+    for table in (odd, odd.limit(0)):
+        now = table
+        for name, step in pipeline.STAGES:
+            now = step(spark, now, SF)
+            if name != "encoding":
+                assert now.columns == odd.columns
+            now = spark.createDataFrame(now.collect(), now.schema)
+        assert (now.count() > 0) == (table is odd)
