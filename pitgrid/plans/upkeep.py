@@ -47,10 +47,14 @@ def figures(spark, sf):
 
 
 def _tag_sql():
+    from pitgrid.plans.press import _rule
+
     t = "lower(concat_ws(' ', title, body))"
-    tags = ", ".join(f"case when regexp_matches({t}, '{r}') then '{k}' end" for k, r in tx.EVENTS.items())
+    rule = lambda r: _rule(r).replace("lower(title)", t)
+    tags = ", ".join(f"case when {rule(r)} then '{k}' end" for k, r in tx.EVENTS.items())
     th = ", ".join("case when " + " or ".join(f"contains({t}, '{w}')" for w in ws) + f" then '{k}' end" for k, ws in tx.THEMES.items())
-    return f"select id, array_to_string(regexp_extract_all(concat_ws(' ', title, body), '(\\$[0-9][0-9,.]*|[0-9]+(?:\\.[0-9]+)?%)', 1)[1:4], '|') as figures, concat_ws(',', {tags}) as tags, concat_ws(',', {th}) as themes from news"
+    return f"""select id, figures, array_to_string(case when list_has_any(ev, ['dividend_raise', 'dividend_cut']) then list_filter(ev, lambda x: x <> 'dividend') else ev end, ',') as tags, themes from (
+select id, array_to_string(regexp_extract_all(concat_ws(' ', title, body), '(\\$[0-9][0-9,.]*|[0-9]+(?:\\.[0-9]+)?%)', 1)[1:4], '|') as figures, list_filter([{tags}], lambda x: x is not null) as ev, concat_ws(',', {th}) as themes from news)"""
 
 
 def keys(spark, sf):
