@@ -183,3 +183,54 @@ def findings(parts: list[DataFrame]) -> DataFrame:
         out = out.unionByName(p)
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
     return out.where("count > 0").withColumn("place", F.row_number().over(Window.orderBy(rank, F.desc("count"), "check")))
+
+
+def insider_reading(trades: DataFrame, officers: str = "ceo|cfo|coo|cto|president|chief") -> DataFrame:
+    """buys, sells, buyers, sellers and notes per (as_of, ticker) of chosen purchases (P) and sales (S)."""
+    c = F.col
+    buy, sell = c("txn_code") == "P", c("txn_code") == "S"
+    part = F.abs("shares") / (F.abs("shares") + c("post_txn_shares")) * 100
+    part = F.when(F.abs("shares") + c("post_txn_shares") > 0, part)
+    chief = sell & c("role").rlike(f"(?i){officers}")
+    g = trades.groupBy("as_of", "ticker").agg(
+        F.coalesce(F.sum(F.when(buy, F.abs("value"))), F.lit(0.0)).alias("buys"), F.coalesce(F.sum(F.when(sell, F.abs("value"))), F.lit(0.0)).alias("sells"),
+        F.count_distinct(F.when(buy, c("insider"))).alias("buyers"), F.count_distinct(F.when(sell, c("insider"))).alias("sellers"),
+        F.count(F.when(sell & (part > 20), 1)).alias("large"), F.count(F.when(sell & (part <= 5), 1)).alias("small"), F.count(F.when(sell & part.isNotNull(), 1)).alias("rated"),
+        F.count_distinct(F.when(chief, c("insider"))).alias("chiefs"), F.datediff(F.max(F.when(sell, c("txn_date"))), F.min(F.when(sell, c("txn_date")))).alias("span"),
+    )
+    first = [
+        F.when(c("large") > 0, "large position reduction").when((c("sellers") > 0) & (c("small") == c("rated")), "all sales are small"),
+        F.when((c("sellers") >= 2) & (c("chiefs") >= 2) & (c("span") <= 14), "officers sold together"),
+        F.when((c("buyers") >= 2) & (c("buys") > 100_000), "cluster buying").when((c("buyers") == 1) & (c("buys") > 500_000), "one large purchase"),
+    ]
+    some = F.concat_ws("; ", *first)
+    notes = F.when(some != "", some).when((c("buyers") == 0) & (c("sellers") > 0), "all transactions are sales").otherwise("no clear pattern")
+    return g.select("as_of", "ticker", "buys", "sells", "buyers", "sellers", "large", notes.alias("notes"))
+
+
+def scorecard(news: DataFrame, insiders: DataFrame, events: DataFrame, prices: DataFrame) -> DataFrame:
+    """supports, concerns and checks of each name, as lists.
+
+    ``news`` (ticker, counts of guidance and analysts, tone), ``insiders`` (ticker, buys,
+    sells, buyers, large), ``events`` (ticker and flags by item), ``prices`` (ticker, above: the
+    distance to the long average).
+    """
+    df = news.join(insiders, "ticker", "full").join(events, "ticker", "full").join(prices, "ticker", "full")
+    n = lambda k: F.coalesce(F.col(k), F.lit(0))
+    up, down, buys, sells = n("upgrade"), n("downgrade"), n("buys"), n("sells")
+    any_ = lambda ok, text: F.when(F.coalesce(ok, F.lit(False)), F.lit(text))
+    listed = lambda *parts: F.concat_ws("; ", *parts)
+    buying = F.when((buys > 2 * sells) & (n("buyers") >= 2), "cluster insider buying").when(buys > sells, "insiders net buyers")
+    selling, above = (sells > buys), F.col("above")
+    return df.select(
+        "ticker",
+        listed(any_((n("raised") > 0) | (n("beat") > 0), "guidance raised or beaten"), any_(up > down, "net upgrades"), buying, any_(F.col("tone") > 0.2, "positive coverage")).alias("supports"),
+        listed(
+            any_((n("lowered") > 0) | (n("missed") > 0), "guidance cut or missed"), any_(n("withdrawn") > 0, "guidance withdrawn"), any_(down > up, "net downgrades"), any_(selling & (n("large") > 0), "large insider sales"),
+            any_(n("restated") > 0, "restatement"), any_(n("impaired") > 0, "impairment"), any_(n("delisting") > 0, "listing problem"), any_(F.col("tone") < -0.2, "negative coverage"), any_(above > 0.15, "extended"),
+        ).alias("concerns"),
+        listed(
+            any_((up == down) & (up > 0), "analysts disagree"), F.when(selling & (n("large") == 0), F.when(sells > 3 * buys, "heavy insider selling").otherwise("insiders net sellers")),
+            any_(n("restructured") > 0, "restructuring"), any_(n("acquired") > 0, "acquisition completed"), F.when((above > 0.10) & (above <= 0.15), "price elevated").when(above < -0.15, "deep below average"),
+        ).alias("checks"),
+    )

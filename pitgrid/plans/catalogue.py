@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitgrid.plans import alternatives, briefs, desk, filings, landing, panel, press, prices, records, upkeep
+from pitgrid.plans import alternatives, briefs, desk, filings, landing, panel, press, prices, readings, records, upkeep
 
-MODULES = (prices, filings, alternatives, panel, records, briefs, desk, upkeep, press, landing)
+MODULES = (prices, filings, alternatives, panel, records, briefs, desk, upkeep, press, readings, landing)
 
 
 def queries() -> dict:

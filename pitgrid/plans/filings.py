@@ -109,13 +109,18 @@ def quarters(spark, sf) -> DataFrame:
     return kept(spark, sf, "flow-quarters", lambda: fu.flow_quarters(flow_facts(known(spark, sf))))
 
 
+def finely(df: DataFrame, *columns: str) -> DataFrame:
+    """Sums rounded to 7 digits, those per share to 9: quotients of amounts end in a five there."""
+    return df.withColumns({c: F.when(F.col("concept").isin(*PER_SHARE), F.round(c, 9)).otherwise(F.round(c, 7)) + 0.0 for c in columns})
+
+
 def quarter_rows(spark, sf):
-    return rounded(quarters(spark, sf), 7)
+    return finely(quarters(spark, sf), "val")
 
 
 def ttm(spark, sf):
     rows = flow_facts(known(spark, sf))
-    return rounded(fu.trailing(quarters(spark, sf), rows).drop("filed"), 7)
+    return finely(fu.trailing(quarters(spark, sf), rows).drop("filed"), "ttm", "y1", "y2", "y3")
 
 
 TTM = KNOWN + """,
@@ -222,8 +227,8 @@ TESTS = (
     "current_assets / current_liabilities > current_assets_y1 / current_liabilities_y1", "shares <= 1.02 * shares_outstanding_y1", "gross_profit / revenue > gross_profit_y1 / revenue_y1", "revenue / assets > revenue_y1 / assets_y1",
 )
 QUERIES = {
-    "fact_quarters": (quarter_rows, KNOWN + f" select as_of, ticker, concept, period_end, filed, round(val, 7) + 0.0 as val from q2 where concept in {tuple(FLOWS)}"),
-    "fact_ttm": (ttm, TTM + " select as_of, ticker, concept, " + ", ".join(f"round({c}, 7) + 0.0 as {c}" for c in ("ttm", "y1", "y2", "y3")) + " from ttm"),
+    "fact_quarters": (quarter_rows, KNOWN + f" select as_of, ticker, concept, period_end, filed, case when concept in ('eps_diluted') then round(val, 9) else round(val, 7) end + 0.0 as val from q2 where concept in {tuple(FLOWS)}"),
+    "fact_ttm": (ttm, TTM + " select as_of, ticker, concept, " + ", ".join(f"case when concept in ('eps_diluted') then round({c}, 9) else round({c}, 7) end + 0.0 as {c}" for c in ("ttm", "y1", "y2", "y3")) + " from ttm"),
     "fact_stocks": (stock_rows, KNOWN + STOCK + " select as_of, ticker, concept, round(now, 4) + 0.0 as now, filed, round(y1, 4) + 0.0 as y1, round(y3, 4) + 0.0 as y3 from stock"),
     "earnings_surprise": (surprises, WIDE + " select as_of, ticker, round(sue, 6) + 0.0 as sue, sue_filed from sue"),
     "market_caps": (market_caps, WIDE + " select as_of, ticker, round(shares, 4) + 0.0 as shares, round(market_cap, 4) + 0.0 as market_cap, mcap_source, last_filed as data_as_of from w"),

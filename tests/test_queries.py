@@ -15,7 +15,7 @@ SQL = catalogue.oracle_sql()
 
 
 def cell(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)) or v is pd.NaT:
+    if v is None or (isinstance(v, float) and math.isnan(v)) or v is pd.NaT or v is pd.NA:
         return "~"
     if isinstance(v, bool):
         return str(v)
