@@ -39,11 +39,11 @@ from pitgrid.llm.shingling import mix
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Units in a worker's table before it starts anew, and the longest that is remembered.
-REMEMBERED, SHORT = 400_000, 48
+REMEMBERED, SHORT = 550_000, 48
 #: Units up to this length are weighed in arrays, of so many cells at once; longer ones one by one.
-ARRAYED, CELLS = 64, 1_500_000
+ARRAYED, CELLS = 64, 2_000_000
 #: Code points of texts that are worked on together.
-GROUP = 1_000_000
+GROUP = 1_500_000
 ALPHA, SAMPLES, SEED = 0.002, 3, 7
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
