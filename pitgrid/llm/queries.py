@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitgrid.llm import htmltext, jaccard, katz, langid, mixing, quality, secrets, spm, tokencount, topk
+from pitgrid.llm import alignment, collocations, htmltext, jaccard, katz, langid, mixing, packing, quality, secrets, spm, tokencount, topk
 from pitgrid.llm.staging import table
 
 
@@ -48,6 +48,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,6 +78,9 @@ def queries() -> dict:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_lm_scores": op9_lm_scores,
         "op10_quality_rules": op10_quality_rules,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_best_fit_packing": op12_best_fit_packing,
+        "op13_collocations": op13_collocations,
         "pipeline": pipeline,
     }
 
@@ -75,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_topk_search": topk.ORACLE_SQL,
         "op3_source_mixing": mixing.oracle_sql(),
         "op10_quality_rules": quality.oracle_sql(),
+        "op13_collocations": collocations.ORACLE_SQL,
     }
