@@ -67,8 +67,9 @@ class Aligner:
             return [self.sound(t, e.ids, self.left) for t, e in zip(texts, left.encode_batch_fast(texts, add_special_tokens=False))]
 
         def by_right(texts: list[str]) -> list[list[int]]:
-            # the model puts the space before a text itself
-            return [self.sound(t, ids, self.right) for t, ids in zip(texts, right.encode([t[1:] for t in texts], num_threads=1))]
+            # the model puts the space before a text itself, but not before an empty one
+            space = [right.piece_to_id(MARK)]
+            return [self.sound(t, ids or space, self.right) for t, ids in zip(texts, right.encode([t[1:] for t in texts], num_threads=1))]
 
         self.known = stretches.StretchTable(by_left, by_right)
 
