@@ -51,9 +51,9 @@ class Aligner:
     def __init__(self, a: str, b: str):
         import sentencepiece
 
-        left = stretches.byte_bpe(a)
+        left = stretches.ByteBpe(a, True)
         values = byte_values()
-        names = [left.id_to_token(i) or "" for i in range(left.get_vocab_size())]
+        names = [left.tokenizer.id_to_token(i) or "" for i in range(left.tokenizer.get_vocab_size())]
         self.left = [bytes(map(values.__getitem__, x)) if all(c in values for c in x) else x.encode() for x in names]
         right = sentencepiece.SentencePieceProcessor(model_file=b)
         ids = range(right.get_piece_size())
@@ -63,21 +63,21 @@ class Aligner:
         # of each id, how it is written before another id of its side, at the end of its side of a group, of a group, and of a text
         self.told = [b"%d%s" % (i, s) for i in range(max(len(self.left), len(self.right))) for s in (b",", b"|", b";", b"")]
 
-        def by_left(texts: list[str]) -> list[list[int]]:
-            return [self.sound(t, e.ids, self.left) for t, e in zip(texts, left.encode_batch_fast(texts, add_special_tokens=False))]
+        def by_left(texts: list[str]) -> list[bytes]:
+            return [self.sound(t, np.frombuffer(ids, np.int32).tolist(), self.left) for t, ids in zip(texts, left(texts))]
 
-        def by_right(texts: list[str]) -> list[list[int]]:
+        def by_right(texts: list[str]) -> list[bytes]:
             # the model puts the space before a text itself, but not before an empty one
             space = [right.piece_to_id(MARK)]
             return [self.sound(t, ids or space, self.right) for t, ids in zip(texts, right.encode([t[1:] for t in texts], num_threads=1))]
 
         self.known = stretches.StretchTable(by_left, by_right)
 
-    def sound(self, text: str, ids: list[int], entries: list[bytes]) -> list[int]:
+    def sound(self, text: str, ids: list[int], entries: list[bytes]) -> bytes:
         """``ids``, after a look at whether their bytes are those of the stretch."""
         if b"".join([entries[i] for i in ids]) != text.encode("utf-8", "surrogatepass"):
             self.bad.add(text[1:])
-        return ids
+        return np.array(ids, np.int32).tobytes()
 
     def align(self, texts: list[str | None]) -> tuple[dict[str, np.ndarray], list[str], list[np.ndarray], np.ndarray, np.ndarray]:
         """Counts and digest of each text, the numbers of its linked id pairs in the block's list, that list, and how often it has each."""

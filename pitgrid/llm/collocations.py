@@ -32,7 +32,7 @@ UND = "und"
 BITS, PAD, OUT, FIRST = 21, 0, 1, 2
 WORDS, LONGEST, SAMPLE_ROWS = 1 << 18, 32, 4000
 #: Code points of texts whose windows are counted together.
-GROUP = 1 << 24
+GROUP = 1 << 22
 #: A-Z becomes lower case, ends of pieces a line feed, and the tab a space.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
@@ -131,12 +131,14 @@ def phrases(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str =
     lexicon = frequent_words(docs, text)
     longest = top_windows(docs, lexicon, text, lang)
     shorter = docs.sparkSession.sql(ROLLED.replace("{least}", str(least)), windows=longest)
-    full = longest.where(F.col("n") >= least).where(F.col("k").bitwiseAND(F.lit((1 << BITS) - 1)) != PAD)
+    # padded windows go after the counts are in, below: asked for earlier, the windows would be counted twice
+    full = longest.where(F.col("n") >= least).withColumn("whole", F.lit(True))
     known = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.array(["", "", *known.value], object)
         for batch in batches:
+            batch = batch.filter(pc.or_(pc.invert(batch.column(4)), pc.not_equal(pc.bit_wise_and(batch.column(1), (1 << BITS) - 1), PAD)))
             k = batch.column(1).to_numpy()
             codes = np.stack([k >> 2 * BITS, (k >> BITS) & ((1 << BITS) - 1), k & ((1 << BITS) - 1)])
             own = table[codes]
@@ -147,7 +149,7 @@ def phrases(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str =
             size = (codes != PAD).sum(axis=0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.string()), pa.array(size, pa.int32()), batch.column(3)], names=["lang", "phrase", "words", "n"])
 
-    return stage(full.unionByName(shorter).mapInArrow(read, "lang string, phrase string, words int, n long"), "phrases")
+    return stage(full.unionByName(shorter.withColumn("whole", F.lit(False))).mapInArrow(read, "lang string, phrase string, words int, n long"), "phrases")
 
 
 def best(df: DataFrame, by: str, order: list, most: int) -> DataFrame:

@@ -40,14 +40,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def table(path: str, special: bool) -> stretches.StretchTable:
+def table(path: str) -> stretches.StretchTable:
     """The worker's table of stretches and their ids."""
-    if (path, special) not in _tables:
-        tokenizer = stretches.byte_bpe(path)
-        tokenizer.encode_special_tokens = special
-        encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        _tables[path, special] = stretches.StretchTable(encode)
-    return _tables[path, special]
+    if path not in _tables:
+        _tables[path] = stretches.StretchTable(stretches.ByteBpe(path, False))
+    return _tables[path]
 
 
 def pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,7 +56,7 @@ def pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table(path or default_path(), False)
+        known = table(path or default_path())
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for first, texts in stretches.groups(batch.column(1).to_pylist(), GROUP):
