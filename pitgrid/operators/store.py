@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; in one local process, where it names none, the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.master.startswith("local["):
+        named = spark.conf.get("spark.sql.warehouse.dir")
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder there."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as Parquet at ``path``, read again: later steps neither repeat its work nor hang on its lineage."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], on_conflict: str = "update") -> DataFrame:
     """``target`` with ``updates``: only supplied columns overwrite; with "ignore" the first write stays."""
     if on_conflict == "ignore":

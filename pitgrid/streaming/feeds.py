@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where the session keeps checkpoints; a private one where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{named.rstrip('/') if named else tempfile.mkdtemp(prefix='pitgrid-stream-')}/{uuid.uuid4().hex}"
+from pitgrid.operators.store import shared_folder
 
 
 def arriving(spark: SparkSession, folder: str, name: str, files_per_batch: int = 8) -> DataFrame:
