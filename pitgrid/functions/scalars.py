@@ -93,14 +93,20 @@ def normalize_ticker(raw: Column) -> Column:
     return F.when(t.rlike("^[A-Z][A-Z0-9]{0,5}(-[A-Z0-9]{1,3})?$"), t)
 
 
-#: Legal forms and articles that don't tell companies apart.
-COMPANY_NOISE = ("inc", "incorporated", "corp", "corporation", "co", "company", "companies", "plc", "ltd", "limited", "llc", "lp", "sa", "nv", "ag", "se", "group", "holding", "holdings", "the", "and", "of", "class", "common", "stock", "new")
-
-
-def company_key(name: Column) -> Column:
-    """Distinct words of a name without legal forms, sorted and joined."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")), " +")
-    return F.array_join(F.array_sort(F.array_distinct(F.array_except(words, F.array(*map(F.lit, (*COMPANY_NOISE, "")))))), " ")
+#: Words of legal forms, which don't tell companies apart.
+COMPANY_NOISE = (
+    "inc", "incorporated", "corp", "corporation", "co", "company", "the", "plc", "ltd", "limited", "holdings", "holding", "group", "class", "cl",
+    "sa", "nv", "ag", "lp", "llc", "lc", "trust", "adr", "and", "of", "new", "com", "cos", "intl", "international",
+)
+#: What is taken off a name first: the state it is registered in, at the end, and its class of shares.
+STATE, SHARE_CLASS = r"[/\\][a-z]{2}[/\\]?\s*$", r"\bclass\s+[abc]\b"
+
+
+def company_key(name: Column, noise: tuple[str, ...] = COMPANY_NOISE) -> Column:
+    """Distinct words of a name without state, class and legal forms, sorted and joined; & is read as and."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(name), STATE, " "), SHARE_CLASS, " ")
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(bare, "&", " and "), "[^a-z0-9]+", " ")), " +")
+    return F.array_join(F.array_sort(F.array_distinct(F.array_except(words, F.array(*map(F.lit, (*noise, "")))))), " ")
 
 
 def money(text: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitgrid.functions.scalars import money
+from pitgrid.functions.scalars import company_key, money, normalize_ticker
+from pitgrid.operators.audit import bad_bar
 
 FACT = "struct<start:string,end:string,val:double,filed:string,form:string,fy:int,fp:string>"
 FACTS = f"struct<facts:map<string,map<string,struct<units:map<string,array<{FACT}>>>>>>"
@@ -20,7 +21,7 @@ def company_facts(payloads: DataFrame, concepts: DataFrame, payload: str = "payl
     tree = payloads.withColumn("_t", F.from_json(payload, FACTS))
     names = tree.select("ticker", F.explode("_t.facts").alias("namespace", "_tags"))
     tags = names.select("ticker", "namespace", F.explode("_tags").alias("tag", "_u"))
-    units = tags.select("ticker", "tag", F.explode("_u.units").alias("unit", "_f")).join(F.broadcast(concepts), "tag")
+    units = tags.select("ticker", "tag", F.explode("_u.units").alias("unit", "_f")).join(concepts, "tag")
     f = units.select("ticker", "concept", "tag", "unit", F.explode("_f").alias("f"))
     day = lambda c: F.col(f"f.{c}").cast("date")
     return f.select("ticker", "concept", "tag", "unit", F.coalesce(day("start"), day("end")).alias("period_start"), day("end").alias("period_end"), day("filed").alias("filed"), F.col("f.form").alias("form"), F.col("f.val").alias("val")).where(
@@ -78,21 +79,47 @@ def page_views(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     return r.select("ticker", F.to_date(F.substring("i.timestamp", 1, 8), "yyyyMMdd").alias("date"), F.col("i.views").alias("wiki_views"))
 
 
-def fund_holdings(payloads: DataFrame, securities: DataFrame, key: Column, payload: str = "payload") -> DataFrame:
-    """Equity lines of a holdings report as members, matched by company key; unmatched names go."""
-    from pitgrid.functions.scalars import company_key
+HOLDINGS = "seriesName string, invstOrSec array<struct<name:string,assetCat:string,pctVal:string>>, _corrupt string"
 
-    line = "struct<invstOrSec:array<struct<name:string,assetCat:string,pctVal:double>>>"
-    r = payloads.select("index_symbol", "as_of", F.explode(F.from_xml(F.col(payload), line)["invstOrSec"]).alias("h")).where("h.assetCat = 'EC'")
-    return r.select("index_symbol", "as_of", company_key(F.col("h.name")).alias("_k"), F.col("h.pctVal").alias("weight")).join(securities.select("ticker", key.alias("_k")), "_k").drop("_k")
 
+def fund_holdings(payloads: DataFrame, securities: DataFrame, key: Column, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """Equity lines of holdings reports (index_symbol, as_of, payload) as members, matched by company key; and rejects with a reason.
 
-def positions_csv(payloads: DataFrame, aliases: dict[str, str], payload: str = "payload") -> DataFrame:
-    """Lines with a header whose names may be aliases; a file without ticker and shares has no rows."""
-    lines = payloads.withColumn("_l", F.split(payload, "\n")).withColumn("_h", F.transform(F.split(F.get("_l", F.lit(0)), ","), lambda c: F.lower(F.trim(c))))
+    Rejected are reports that aren't XML, equity lines whose name no security has, and lines whose
+    name more than one has.  Lines of other kinds aren't asked for and are no rejects.
+    """
+    bare = F.regexp_replace(payload, r'\sxmlns(:\w+)?="[^"]*"', "")
+    df = payloads.withColumn("_d", F.from_xml(bare, HOLDINGS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    broken = F.col("_d").isNull() | F.col("_d._corrupt").isNotNull()
+    lines = df.where(~broken).select("index_symbol", "as_of", F.explode("_d.invstOrSec").alias("h")).where("coalesce(h.assetCat, 'EC') = 'EC'")
+    lines = lines.select("index_symbol", "as_of", F.col("h.name").alias("name"), company_key(F.col("h.name")).alias("_k"), F.col("h.pctVal").try_cast("double").alias("weight"))
+    known = securities.select("ticker", key.alias("_k")).groupBy("_k").agg(F.min("ticker").alias("ticker"), F.count_distinct("ticker").alias("_n"))
+    found = lines.join(known, "_k", "left").withColumn("reason", F.when(F.col("ticker").isNull(), "no such name").when(F.col("_n") > 1, "name of several"))
+    members = found.where("reason is null").select("index_symbol", "as_of", "weight", "ticker")
+    bad = df.where(broken).select("index_symbol", "as_of", F.lit(None).cast("string").alias("name"), F.lit("not XML").alias("reason"))
+    return members, found.where("reason is not null").select("index_symbol", "as_of", "name", "reason").unionByName(bad)
+
+
+def sound_bars(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bars that can be right, and the others with the reason why they can't."""
+    judged = bars.withColumn("reason", bad_bar())
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+
+
+def positions_csv(payloads: DataFrame, aliases: dict[str, str], payload: str = "payload", needed: tuple[str, ...] = ("ticker", "shares")) -> tuple[DataFrame, DataFrame]:
+    """Lines of files (file, payload) with a header whose names may be aliases, as positions; and rejects with a reason.
+
+    A file without a needed column is rejected as a whole, a line whose ticker or number of shares
+    can't be read on its own.
+    """
+    lines = payloads.withColumn("_l", F.split(payload, "\r?\n")).withColumn("_h", F.transform(F.split(F.get("_l", F.lit(0)), ","), lambda c: F.lower(F.trim(c))))
     known = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.lit(v))])
     lines = lines.withColumn("_h", F.transform("_h", lambda c: F.coalesce(F.try_element_at(known, c), c)))
-    lines = lines.where(F.array_contains("_h", "ticker") & F.array_contains("_h", "shares"))
-    rows = lines.select("_h", F.explode(F.slice("_l", 2, 1_000_000_000)).alias("line")).where("trim(line) <> ''").withColumn("_p", F.split("line", ","))
-    at = lambda name: F.trim(F.get("_p", F.array_position("_h", name).cast("int") - 1))
-    return rows.select(F.upper(at("ticker")).alias("ticker"), at("shares").try_cast("double").alias("shares"), F.when(F.array_contains("_h", "cost_basis"), at("cost_basis")).try_cast("double").alias("cost_basis"))
+    lacks = F.array_except(F.array(*map(F.lit, needed)), F.coalesce("_h", F.array().cast("array<string>")))
+    lines = lines.withColumn("_lacks", lacks)
+    whole = lines.where(F.size("_lacks") > 0).select("file", F.lit(None).cast("int").alias("line"), F.concat(F.lit("no column "), F.array_join("_lacks", ", ")).alias("reason"))
+    rows = lines.where(F.size("_lacks") == 0).select("file", "_h", F.posexplode("_l").alias("line", "_t")).where("line > 0 and trim(_t) <> ''").withColumn("_p", F.split("_t", ","))
+    at = lambda name: F.when(F.array_contains("_h", name), F.trim(F.get("_p", F.array_position("_h", name).cast("int") - 1)))
+    rows = rows.select("file", "line", normalize_ticker(at("ticker")).alias("ticker"), at("shares").try_cast("double").alias("shares"), at("cost_basis").try_cast("double").alias("cost_basis"))
+    rows = rows.withColumn("reason", F.when(F.col("ticker").isNull(), "no ticker").when(F.col("shares").isNull(), "no shares"))
+    return rows.where("reason is null").select("ticker", "shares", "cost_basis"), whole.unionByName(rows.where("reason is not null").select("file", "line", "reason"))
