@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 
@@ -83,11 +84,13 @@ class StretchTable:
 
     def find(self, names: list) -> np.ndarray:
         """Rows of the table; what it doesn't hold yet is encoded, in one batch."""
-        got = list(map(self.at.get, names))
-        if None in got:
-            self.learn(list(dict.fromkeys([x for x, k in zip(names, got) if k is None])))
-            got = list(map(self.at.__getitem__, names))
-        return np.array(got, np.int64)
+        rows = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            fresh = [names[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(fresh)))
+            rows[missing] = np.fromiter(map(self.at.__getitem__, fresh), np.int64, len(fresh))
+        return rows
 
     def take(self, side: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of ``rows`` one after the other, and how many each row has."""
