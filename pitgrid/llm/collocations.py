@@ -32,7 +32,7 @@ UND = "und"
 BITS, PAD, OUT, FIRST = 21, 0, 1, 2
 WORDS, LONGEST, SAMPLE_ROWS = 1 << 18, 32, 4000
 #: Code points of texts whose windows are counted together.
-GROUP = 1 << 22
+GROUP = 1 << 21
 #: A-Z becomes lower case, ends of pieces a line feed, and the tab a space.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
