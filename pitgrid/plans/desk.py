@@ -35,7 +35,7 @@ def _sector_sql() -> str:
     kinds = sorted(idn.SECTOR_ALIASES) + ["Basket Weaving", ""]
     by_name = " ".join(f"when {i} then '{idn.SECTOR_ALIASES.get(k, 'Unknown')}'" for i, k in enumerate(kinds))
     ranges = ", ".join(f"({i}, {a}, {b}, '{s}')" for i, (a, b, s) in enumerate(idn.CODE_RANGES))
-    digits = ", ".join(f"({d}, '{s}')" for s, ds in idn.BY_TWO_DIGITS.items() for d in ds)
+    digits = ", ".join(f"({d}, '{s}')" for d, s in idn.BY_TWO_DIGITS.items())
     return f"""with rg(o, a, b, sector) as (values {ranges}), dg(d, sector) as (values {digits}), s as (select s_suppkey, 100 + (s_suppkey * 37) % 8900 as code from supplier)
 select s_suppkey, case s_suppkey % {len(kinds)} {by_name} end as by_name, case when code in {idn.REAL_ESTATE_CODES} then 'Real Estate'
 else coalesce((select arg_min(sector, o) from rg where code between a and b), (select sector from dg where d = code // 100), 'Unknown') end as by_code from s"""

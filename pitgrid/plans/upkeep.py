@@ -77,7 +77,8 @@ def ids(spark, sf):
 
 
 def sentences(spark, sf):
-    return rounded(tx.central_sentences(read(spark, sf, "news"), "id", "body"))
+    news = read(spark, sf, "news")
+    return rounded(tx.central_sentences(news, "id", "body", tx.common_words(news, "body")))
 
 
 def names(spark, sf):

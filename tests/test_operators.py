@@ -160,10 +160,10 @@ def test_central_sentences_against_all_pairs(spark):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
     texts = [" ".join("A" + " ".join(rng.choice(words) for _ in range(rng.choice((6, 9, 14)))) + "." for _ in range(n)) for n in (2, 3, 7, 90)]
-    got = tx.central_sentences(spark.createDataFrame(list(enumerate(texts)), "id int, body string"), "id", "body").collect()
+    got = tx.central_sentences(spark.createDataFrame(list(enumerate(texts)), "id int, body string"), "id", "body", ("abcd",)).collect()
     for i, text in enumerate(texts):
         own = text.replace(". ", ".|").split("|")
-        bags = [set(re.findall("[a-z][a-z'-]+", s.lower())) - set(tx.STOP_WORDS) for s in own]
+        bags = [set(re.findall("[a-z][a-z'-]+", s.lower())) - {"abcd"} for s in own]
         sim = np.array([[len(a & b) / (math.log(len(a) + 1) + math.log(len(b) + 1)) if x != y else 0.0 for y, b in enumerate(bags)] for x, a in enumerate(bags)])
         sums = sim.sum(axis=1)
         walk, rank = sim / np.where(sums == 0, 1, sums)[:, None], np.ones(len(own)) / len(own)
@@ -259,7 +259,7 @@ def test_tone_and_sentences(spark):
     got = {r.id: (r.positive, r.negative) for r in tx.lexicon_tone(docs, lex, "id", "body").collect()}
     assert got == {1: (2, 1), 2: (0, 1), 3: (0, 0)}
     text = "Central words about river banks and water flow. Water flow in river banks is central here. An unrelated remark on something else. River water and banks again with flow."
-    out = tx.central_sentences(spark.createDataFrame([(1, text)], "id int, body string"), "id", "body", 2).collect()
+    out = tx.central_sentences(spark.createDataFrame([(1, text)], "id int, body string"), "id", "body", (), 2).collect()
     assert 2 not in {r.s for r in out} and len(out) == 2
 
 
