@@ -55,3 +55,13 @@ def members_asof(dates: DataFrame, members: DataFrame) -> DataFrame:
     latest = asof_join(keyed, snaps, ["index_symbol", "source"], "as_of", "snapshot", ["snapshot"]).where("snapshot is not null")
     rows = members.select("index_symbol", "source", F.col("as_of").alias("snapshot"), "ticker")
     return latest.join(rows, ["index_symbol", "source", "snapshot"])
+
+
+def members_current(dates: DataFrame, members: DataFrame, closed: DataFrame) -> DataFrame:
+    """``members_asof`` under today's symbols: names mapped by ``closed`` renames (old, current), each name once per source and date.
+
+    ``named`` is the symbol of the snapshot, the smallest where two have become one.
+    """
+    found = members_asof(dates, members).join(closed.select(F.col("old").alias("ticker"), "current"), "ticker", "left")
+    by = ["as_of", "index_symbol", "source", "snapshot"]
+    return found.groupBy(*by, F.coalesce("current", "ticker").alias("symbol")).agg(F.min("ticker").alias("named"), F.count(F.lit(1)).alias("names")).withColumnRenamed("symbol", "ticker")

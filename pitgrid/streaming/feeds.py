@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pitgrid.operators.store import shared_folder
+from pitgrid.operators.store import shared_folder, written
 
 
 def arriving(spark: SparkSession, folder: str, name: str, files_per_batch: int = 8) -> DataFrame:
@@ -25,22 +26,60 @@ def first_sightings(news: DataFrame, keys: list[str], time: str, late: str = "7
     return news.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_now(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """All that has arrived so far, as a table: each batch's updates replace rows of the same keys."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
-    state = {"path": None}
+def sightings(news: DataFrame, keys: list[str], time: str, path: str, late: str = "7 days") -> DataFrame:
+    """Appends the first sightings that have arrived to the table at ``path`` and returns it.
 
-    def merge(batch: DataFrame, number: int) -> None:
-        path = f"{folder}/table-{number}"
-        if state["path"] is None:
-            batch.write.parquet(path)
-        else:
-            old = spark.read.parquet(state["path"])
-            old.join(batch, keys, "left_anti").unionByName(batch).write.parquet(path)
-        state["path"] = path
+    State and progress are kept beside the table, so a later call goes on where the last one
+    ended, also after a failure: the file sink's log takes each batch once.
+    """
+    query = first_sightings(news, keys, time, late).writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return news.sparkSession.read.parquet(f"{path}/rows")
+
+
+class Table:
+    """A table at ``path`` that batches of a stream are merged into, by ``keys``.
+
+    Rows lie in folders by a hash of their keys, and a batch rewrites only the folders that it
+    has rows for.  Merging a batch twice gives the same table, since its rows replace those of
+    their keys; a batch with a number not above the last one merged into a folder is skipped there, so
+    that a late repeat doesn't undo what came after it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema, keys: list[str], folders: int = 64):
+        self.spark, self.path, self.keys, self.folders = spark, path, keys, folders
+        fields = T.StructType([*schema.fields, T.StructField("_merged", T.LongType()), T.StructField("_part", T.IntegerType())])
+        self.schema, self.columns = fields, [f.name for f in schema.fields]
+
+    def rows(self) -> DataFrame:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.rows().select(*self.columns)
+
+    def merge(self, batch: DataFrame, number: int) -> None:
+        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.folders)).cast("int")
+        scratch = shared_folder(self.spark)
+        fresh = written(batch.select(*self.columns).withColumns({"_merged": F.lit(number).cast("long"), "_part": part}), f"{scratch}/batch")
+        old = self.rows().join(fresh.select("_part").distinct(), "_part", "left_semi")
+        done = old.groupBy("_part").agg(F.max("_merged").alias("_last")).where(F.col("_last") >= number).select("_part")
+        fresh = fresh.join(done, "_part", "left_anti")
+        old = old.join(done, "_part", "left_anti")
+        merged = written(old.join(fresh.select(*self.keys), self.keys, "left_anti").unionByName(fresh), f"{scratch}/merged")
+        merged.repartition("_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(self.path)
+
+
+def run_now(stream: DataFrame, keys: list[str], path: str | None = None) -> DataFrame:
+    """All that has arrived so far, as a table: each batch's updates replace rows of the same keys.
 
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(merge).start()
+    With a ``path`` a later call goes on where the last one ended.
+    """
+    spark = stream.sparkSession
+    path = path or shared_folder(spark)
+    table = Table(spark, f"{path}/table", stream.schema, keys)
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(table.merge).start()
     query.awaitTermination()
-    if state["path"] is None:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.parquet(state["path"])
+    return table.read()
