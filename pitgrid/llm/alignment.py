@@ -17,7 +17,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -119,6 +118,8 @@ class Aligner:
         counts["n_groups"] = counts["n_links"]  # two tokens of one side never end together
         digests = self.digests(ids, a, b, counts)
         pair = (ids[0][a].astype(np.int64) << 32) | ids[1][b]
+        import pandas as pd
+
         number, listed = pd.factorize(pair)
         stops = np.cumsum(counts["n_links"])
         return counts, digests, np.split(number, stops[:-1]), np.asarray(listed, np.int64), np.bincount(number, minlength=len(listed))
@@ -144,6 +145,8 @@ class Aligner:
 
 def overlaps(starts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Places of the tokens of both sides that overlap, each pair once."""
+    import pandas as pd
+
     sides = [pd.DataFrame({"start": s, f"at{k}": np.arange(len(s))}) for k, s in enumerate(starts)]
     over_a = pd.merge_asof(sides[0], sides[1], on="start")  # the token of the right that covers each start of the left
     over_b = pd.merge_asof(sides[1], sides[0], on="start")

@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -54,6 +53,8 @@ def words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
 
 def windows_of(texts: list[str], lexicon: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """k, x and n of the distinct padded windows of texts."""
+    import pandas as pd
+
     own, last = words(texts)
     coded = own.dictionary_encode()
     number = coded.indices.to_numpy().astype(np.int64) + 1  # 0 pads

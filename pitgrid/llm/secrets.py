@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitgrid.llm.staging import stage
+
 # The patterns of the contract.
 ASSIGN = (
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
@@ -206,19 +208,22 @@ def rejected(least: dict[tuple[str, int], int], token: Column, p: str) -> Column
     return F.coalesce(bin_of(token["b"][p]) >= F.try_element_at(table, F.concat_ws(":", token["b"]["enc"], token["b"]["band"].cast("string"))), F.lit(False))
 
 
-def with_spans(docs: DataFrame, text: str = "text", q: float = 0.01, ordinary: float = 1.7, changes: float = 0.15) -> DataFrame:
+def with_spans(docs: DataFrame, text: str = "text", q: float = 0.01, ordinary: float = 1.7, changes: float = 0.15, slim: bool = False) -> DataFrame:
     """``docs`` with ``BASE`` and ``SPANS`` columns: arrays of (start, rank, end), rank by ``KINDS``.
 
     q: rate of false discoveries, of tokens that the battery finds not to be random and of
     tokens that are found not to be writing; a token is a secret if the first test keeps it
     and the second rejects it.  ordinary: how many times likelier than by an even alphabet two characters of ordinary
     writing agree; changes: rate at which its character class changes.
-    A null text counts as empty and has no span.  All other columns stay as they are.
+    slim: leave the text out.  A null text counts as empty and has no span.  All other columns
+    stay as they are.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     based = docs.withColumn(BASE, base_spans(whole)).withColumn(
         TESTED, F.when(whole.rlike(TOKEN), tested(whole, F.col(BASE), ordinary, changes))
     )
+    # the battery is run once: its verdicts are counted, and then read again with the counts' levels
+    based = stage(based.drop(text) if slim else based, "tested")
     least = levels(based.select(TESTED), q)
     passes = lambda t: rejected(least["ordinary"], t, "p_ordinary") & ~rejected(least["random"], t, "p_random")
     extra = F.transform(F.filter(TESTED, passes), lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end")))
@@ -237,7 +242,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> Dat
 
     Null texts count as empty; repeated rows give repeated rows; other columns aren't read.
     """
-    spans = with_spans(docs.select(key, text), text, **how)
+    spans = with_spans(docs.select(key, text), text, slim=True, **how)
     number = lambda rank: F.size(F.filter(BASE, lambda s: s["rank"] == rank)).cast("long")
     return spans.select(
         key, number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
