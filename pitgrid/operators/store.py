@@ -40,6 +40,21 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], on_conflict:
     return joined.select(*keys, *out).select(*target.columns)
 
 
+def record_ingest(log: DataFrame, attempts: DataFrame) -> DataFrame:
+    """The ingest log (source, key, last_attempt, last_success, rows, error) after ``attempts`` (source, key, at, rows, error).
+
+    The last attempt of each source and key counts, and of several at one time one that failed; a
+    failure leaves time and rows of the last success as they were.
+    """
+    old = log.select("source", "key", F.col("last_attempt").alias("at"), F.col("last_success").alias("won"), "rows", "error")
+    new = attempts.select("source", "key", "at", F.when(F.col("error").isNull(), F.col("at")).alias("won"), F.when(F.col("error").isNull(), F.col("rows")).alias("rows"), "error")
+    both = old.unionByName(new)
+    return both.groupBy("source", "key").agg(
+        F.max("at").alias("last_attempt"), F.max("won").alias("last_success"), F.max_by("rows", F.when(F.col("won").isNotNull(), F.struct("won", "at", "rows"))).alias("rows"),
+        F.max_by("error", F.struct("at", F.coalesce("error", F.lit("")))).alias("error"),
+    )
+
+
 def replace_window(stored: DataFrame, fresh: DataFrame, date: str, start: str, end: str, source: str, sources: list[str]) -> DataFrame:
     """Rows of the sources in the window go, the fresh ones come: a date that moved disappears."""
     old = F.col(date).between(F.lit(start).cast("date"), F.lit(end).cast("date")) & F.col(source).isin(*sources)
