@@ -19,6 +19,12 @@ def safe_div(a: Column, b: Column) -> Column:
     return clean(a / F.when(b != 0, b))
 
 
+def raw_div(a: Column, b: Column) -> Column:
+    """a / b as floating-point arithmetic has it: infinite where only b is 0, NaN where both are."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(b != 0, a / b).when(b == 0, F.signum(a) * F.lit(math.inf))
+
+
 def growth(now: Column, before: Column) -> Column:
     """Change over the size of what was; NULL on a zero base or a change of sign."""
     return F.when((before != 0) & (now * before >= 0), (now - before) / F.abs(before))

@@ -85,10 +85,6 @@ def next_report(filed: DataFrame, as_of: Column) -> DataFrame:
     return df.groupBy("ticker").agg(F.coalesce(ahead, F.date_add(last, quarters * 91)).alias("expected"), last.alias("last_filed")).withColumn("days_until", F.datediff("expected", as_of))
 
 
-def sector_heat(rows: DataFrame, tag: str) -> DataFrame:
-    """Rows per tag of a comma list."""
-    return rows.select(F.explode(F.split(tag, ",")).alias("tag")).where("tag <> ''").groupBy("tag").count().withColumnRenamed("count", "n")
-
 
 def event_pattern(events: DataFrame, weights: dict[str, int]) -> DataFrame:
     """Events per ticker by weight, with what their pattern says."""

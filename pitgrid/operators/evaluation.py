@@ -158,17 +158,16 @@ def relation(corr: Column) -> Column:
     return F.when(corr > 0.7, "redundant").when(corr > 0.3, "related").when(corr > -0.1, "independent").when(corr.isNotNull(), "opposed")
 
 
-def votes(scores: DataFrame, families: DataFrame, veto: str | None = None, vote_at: float = 0.8, veto_at: float = 0.9) -> DataFrame:
-    """Votes of strategy families per (as_of, ticker): a family whose mean percentile reaches ``vote_at`` votes.
+def honest_only(scores: DataFrame, degraded: DataFrame, strict: bool = False) -> DataFrame:
+    """Scores of the dates on which all of a strategy's factors are fit to rank on (``honest`` of ``degraded``).
 
-    A veto strategy's best takes one away.  composite is votes plus half the mean percentile,
-    NULL where fewer than two families rank the name.
+    Other dates are left out; with ``strict`` they are an error as soon as a row of theirs is read.
     """
-    fam = scores.join(families, "strategy").groupBy("as_of", "ticker", "family").agg(F.avg("percentile").alias("p"))
-    out = fam.groupBy("as_of", "ticker").agg(F.sum((F.col("p") >= vote_at).cast("int")).alias("votes"), F.avg("p").alias("mean"), F.count("p").alias("families"))
-    against = scores.where(F.col("strategy") == F.lit(veto)).select("as_of", "ticker", (F.col("percentile") >= veto_at).cast("int").alias("_v"))
-    out = out.join(against, ["as_of", "ticker"], "left").withColumn("votes", F.coalesce("votes", F.lit(0)) - F.coalesce("_v", F.lit(0))).drop("_v")
-    return out.withColumn("composite", F.when(F.col("families") >= 2, F.col("votes") + 0.5 * F.col("mean")))
+    told = scores.join(degraded.select("as_of", "strategy", "honest"), ["as_of", "strategy"], "left").withColumn("honest", F.coalesce("honest", F.lit(False)))
+    if not strict:
+        return told.where("honest").drop("honest")
+    message = F.concat(F.col("strategy"), F.lit(" can't be ranked honestly on "), F.col("as_of").cast("string"))
+    return told.withColumn("strategy", F.when(F.col("honest"), F.col("strategy")).otherwise(F.raise_error(message).cast("string"))).drop("honest")
 
 
 def agreement(voted: DataFrame, fwd: DataFrame) -> DataFrame:

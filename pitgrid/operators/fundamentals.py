@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitgrid.functions.scalars import cagr, growth, safe_div
+from pitgrid.functions.scalars import cagr, growth, raw_div, safe_div  # noqa: F401
 
 FORMS = ("10-Q", "10-Q/A", "10-K", "10-K/A", "20-F", "20-F/A")
 FRESH_DAYS = 500
@@ -132,30 +132,33 @@ def recent_splits(splits: DataFrame, dates: DataFrame, days: int = 400) -> DataF
     return dates.select("as_of", b("as_of").alias("_b")).join(seen, "_b").where(f"date <= as_of and date > date_sub(as_of, {days})").select("as_of", "ticker").distinct()
 
 
-def ratios(w: DataFrame) -> DataFrame:
-    """Named ratios from the wide row of trailing sums, stock values and the years before."""
+def ratios(w: DataFrame, divide=safe_div) -> DataFrame:
+    """Named ratios from the wide row of trailing sums, stock values and the years before.
+
+    ``divide`` is how a ratio is taken; with ``raw_div`` a zero below leaves an infinity, for checks.
+    """
     c = F.col
     equity = usable_equity(c("equity"), c("assets"), c("net_income"))
     debt = F.coalesce(F.when(c("total_debt") > 0, c("total_debt")), F.when(F.coalesce("long_term_debt", F.lit(0.0)) + F.coalesce("short_term_debt", F.lit(0.0)) > 0, F.coalesce("long_term_debt", F.lit(0.0)) + F.coalesce("short_term_debt", F.lit(0.0))))
     fcf = c("operating_cash_flow") - F.abs("capex")
     invested = equity + F.coalesce(debt, F.lit(0.0))
     made = {
-        "FCF": fcf, "GROSS_MARGIN": safe_div(c("gross_profit"), c("revenue")), "OPERATING_MARGIN": safe_div(c("operating_income"), c("revenue")), "NET_MARGIN": safe_div(c("net_income"), c("revenue")), "ROE": safe_div(c("net_income"), equity),
-        "ROA": safe_div(c("net_income"), c("assets")), "ROIC": safe_div(c("operating_income"), invested), "GROSS_PROFITABILITY": safe_div(c("gross_profit"), c("assets")),
-        "ASSET_TURNOVER": safe_div(c("revenue"), c("assets")), "DEBT_TO_EQUITY": safe_div(debt, equity), "NET_DEBT_TO_EQUITY": safe_div(debt - F.coalesce("cash", F.lit(0.0)), equity),
-        "CURRENT_RATIO": safe_div(c("current_assets"), c("current_liabilities")), "FCF_CONVERSION": safe_div(fcf, usable_income(c("net_income"), c("revenue"))),
-        "EPS": safe_div(c("net_income"), c("shares")), "ACCRUALS": safe_div(c("net_income") - c("operating_cash_flow"), c("assets")),
+        "FCF": fcf, "GROSS_MARGIN": divide(c("gross_profit"), c("revenue")), "OPERATING_MARGIN": divide(c("operating_income"), c("revenue")), "NET_MARGIN": divide(c("net_income"), c("revenue")), "ROE": divide(c("net_income"), equity),
+        "ROA": divide(c("net_income"), c("assets")), "ROIC": divide(c("operating_income"), invested), "GROSS_PROFITABILITY": divide(c("gross_profit"), c("assets")),
+        "ASSET_TURNOVER": divide(c("revenue"), c("assets")), "DEBT_TO_EQUITY": divide(debt, equity), "NET_DEBT_TO_EQUITY": divide(debt - F.coalesce("cash", F.lit(0.0)), equity),
+        "CURRENT_RATIO": divide(c("current_assets"), c("current_liabilities")), "FCF_CONVERSION": divide(fcf, usable_income(c("net_income"), c("revenue"))),
+        "EPS": divide(c("net_income"), c("shares")), "ACCRUALS": divide(c("net_income") - c("operating_cash_flow"), c("assets")),
         "REVENUE_GROWTH_1Y": growth(c("revenue"), c("revenue_y1")), "EARNINGS_GROWTH_1Y": growth(c("net_income"), c("net_income_y1")),
         "REVENUE_CAGR_3Y": cagr(c("revenue"), c("revenue_y3"), 3), "EQUITY_CAGR_3Y": cagr(c("equity"), c("equity_y3"), 3), "EPS_CAGR_3Y": cagr(c("eps_diluted"), c("eps_diluted_y3"), 3),
         "MARKET_CAP": c("market_cap"), "EV": c("market_cap") + F.coalesce(debt, F.lit(0.0)) - F.coalesce("cash", F.lit(0.0)),
-        "EARNINGS_YIELD": safe_div(c("net_income"), c("market_cap")), "FCF_YIELD": safe_div(fcf, c("market_cap")), "SALES_YIELD": safe_div(c("revenue"), c("market_cap")),
-        "BOOK_TO_MARKET": safe_div(equity, c("market_cap")), "BUYBACK_YIELD": safe_div(F.abs("buybacks"), c("market_cap")), "DIVIDEND_YIELD": safe_div(F.abs("dividends_paid"), c("market_cap")),
-        "PAYOUT_RATIO": safe_div(F.abs("dividends_paid"), c("net_income")),
+        "EARNINGS_YIELD": divide(c("net_income"), c("market_cap")), "FCF_YIELD": divide(fcf, c("market_cap")), "SALES_YIELD": divide(c("revenue"), c("market_cap")),
+        "BOOK_TO_MARKET": divide(equity, c("market_cap")), "BUYBACK_YIELD": divide(F.abs("buybacks"), c("market_cap")), "DIVIDEND_YIELD": divide(F.abs("dividends_paid"), c("market_cap")),
+        "PAYOUT_RATIO": divide(F.abs("dividends_paid"), c("net_income")),
     }
-    made["EBIT_TO_EV"] = safe_div(c("operating_income"), made["EV"])
-    before = {k: safe_div(c(a), c(b)) for k, a, b in (("roa", "net_income_y1", "assets_y1"), ("lev", "long_term_debt_y1", "assets_y1"), ("cur", "current_assets_y1", "current_liabilities_y1"), ("gm", "gross_profit_y1", "revenue_y1"), ("turn", "revenue_y1", "assets_y1"))}
+    made["EBIT_TO_EV"] = divide(c("operating_income"), made["EV"])
+    before = {k: divide(c(a), c(b)) for k, a, b in (("roa", "net_income_y1", "assets_y1"), ("lev", "long_term_debt_y1", "assets_y1"), ("cur", "current_assets_y1", "current_liabilities_y1"), ("gm", "gross_profit_y1", "revenue_y1"), ("turn", "revenue_y1", "assets_y1"))}
     tests = (
-        made["ROA"] > 0, c("operating_cash_flow") > 0, made["ROA"] > before["roa"], c("operating_cash_flow") > c("net_income"), safe_div(c("long_term_debt"), c("assets")) < before["lev"],
+        made["ROA"] > 0, c("operating_cash_flow") > 0, made["ROA"] > before["roa"], c("operating_cash_flow") > c("net_income"), divide(c("long_term_debt"), c("assets")) < before["lev"],
         made["CURRENT_RATIO"] > before["cur"], c("shares") <= 1.02 * c("shares_y1"), made["GROSS_MARGIN"] > before["gm"], made["ASSET_TURNOVER"] > before["turn"],
     )
     made["PIOTROSKI_F"] = sum((F.coalesce(t, F.lit(False)).cast("int") for t in tests), F.lit(0))

@@ -31,6 +31,17 @@ def restricted(frame: DataFrame, members: DataFrame) -> DataFrame:
     return frame.join(members.select(*KEYS).distinct(), list(KEYS), "left_semi")
 
 
+def with_targets(frame: DataFrame, targets: DataFrame, members: DataFrame, returns: list[str]) -> DataFrame:
+    """One table for research: every factor of every member at every date, with its forward returns and what they have over the mean member's.
+
+    ``members`` (as_of, ticker) says who was in the universe then; a name that came later isn't in
+    its earlier rows.  A return whose horizon hasn't passed is NULL, and so is its excess.
+    """
+    rows = restricted(frame, members).join(targets.select("as_of", "ticker", *returns), ["as_of", "ticker"], "left")
+    date = Window.partitionBy("as_of")
+    return rows.withColumns({f"{r}_excess": F.col(r) - F.avg(r).over(date) for r in returns})
+
+
 def first_sessions(sessions: DataFrame) -> DataFrame:
     """For every day from the first session to the last, the first session on or after it."""
     before = F.lag("date").over(Window.orderBy("session"))

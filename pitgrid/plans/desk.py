@@ -9,6 +9,7 @@ from pitgrid.functions import scalars as sc
 from pitgrid.operators import asof, audit, brief, desk as dk, evaluation as ev, identity as idn
 from pitgrid.plans import alternatives as al
 from pitgrid.plans import briefs, filings, panel as pl, prices as pr, records as rc
+from pitgrid.operators import fundamentals as fu
 from pitgrid.plans.fixtures import ctes, read
 from pitgrid.plans.prices import rounded
 
@@ -248,7 +249,8 @@ def all_findings(spark, sf):
     """Every check at once, the gravest first."""
     frame = pl.frame(spark, sf)
     one = lambda df, check, severity: df.agg(F.count(F.lit(1)).alias("count")).select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), "count")
-    endless = frame.select(F.explode(F.array(*[F.col(c).cast("double") for c in pl.FRAME_COLUMNS])).alias("v")).where(F.abs("v") == float("inf"))
+    raw = fu.ratios(filings.wide(spark, sf), fu.raw_div)
+    endless = raw.select(F.explode(F.array(*[F.col(c).cast("double") for c in raw.columns[2:]])).alias("v")).where(F.abs("v") == float("inf"))
     bad = audit.out_of_bounds(frame.select("as_of", "ticker", *[F.col(f).cast("double").alias(f) for f in audit.BOUNDS]).unpivot(["as_of", "ticker"], list(audit.BOUNDS), "factor", "value"))
     thin = pl.available(spark, sf).where("coverage < 0.5").select("as_of", "factor").distinct()
     early = filings.facts(spark, sf).where("filed < period_end")

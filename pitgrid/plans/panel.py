@@ -115,6 +115,25 @@ def panel_rows(spark, sf):
     return rounded(frame(spark, sf).select("as_of", "ticker", "sector", *FRAME_COLUMNS))
 
 
+# Factors that may stand for a style, the first of each unless another is chosen.
+PROXIES = {
+    "value": ("EARNINGS_YIELD", "BOOK_TO_MARKET"),
+    "growth": ("REVENUE_GROWTH_1Y", "EQUITY_CAGR_3Y", "EPS_CAGR_3Y"),
+    "momentum": ("MOM_12_1", "MOM_6_1", "RETURN_6M", "RETURN_1M"),
+}
+
+
+def style_weights(**chosen: str) -> dict[str, float]:
+    """Equal weights of one factor for each style: value, growth and momentum; a factor that can't stand for its style is refused."""
+    if wrong := set(chosen) - set(PROXIES):
+        raise ValueError(f"no such style: {', '.join(sorted(wrong))}")
+    picked = {style: chosen.get(style) or names[0] for style, names in PROXIES.items()}
+    for style, factor in picked.items():
+        if factor not in PROXIES[style]:
+            raise ValueError(f"{factor} can't stand for {style}; choose one of {', '.join(PROXIES[style])}")
+    return dict.fromkeys(picked.values(), 1.0)
+
+
 def gate_columns() -> dict:
     """Each strategy's gates as a condition on the frame."""
     return {s: sg.gate(**c["gates"]) for s, c in STRATEGIES.items()}
@@ -150,9 +169,11 @@ def scores(spark, sf) -> DataFrame:
 
 
 CELL = "as_of, strategy, factor"
-SCORES = "with " + FRAME + ",\n" + ctes("bars", "sessions", "as_of").replace("with ", "", 1) + f""",
-weights(strategy, factor, weight) as (values {", ".join(f"('{s}', '{f}', {w}::double)" for s, f, w in CELLS)}),
-long as ({" union all ".join(f'''select as_of, '{s}' as strategy, '{f}' as factor, ticker, sector, "{f}"::double as value from frame where {gate_sql(STRATEGIES[s]["gates"])}''' for s, f, _ in CELLS)}),
+def scores_sql(cells: list[tuple[str, str, float]], gates: dict[str, dict]) -> str:
+    """Table expressions up to ``scores`` for strategies given by (strategy, factor, weight) and their gates."""
+    return "with " + FRAME + ",\n" + ctes("bars", "sessions", "as_of").replace("with ", "", 1) + f""",
+weights(strategy, factor, weight) as (values {", ".join(f"('{s}', '{f}', {w}::double)" for s, f, w in cells)}),
+long as ({" union all ".join(f'''select as_of, '{s}' as strategy, '{f}' as factor, ticker, sector, "{f}"::double as value from frame where {gate_sql(gates.get(s, {}))}''' for s, f, _ in cells)}),
 q as (select *, quantile_cont(value, 0.01) over c as lo, quantile_cont(value, 0.99) over c as hi, count(value) over c as n from long window c as (partition by {CELL})),
 w as (select *, case when n >= 3 and lo < hi and value is not null then greatest(lo, least(hi, value)) else value end as winsorized from q),
 z as (select *, {pr.z_sql("winsorized", CELL)} as z, {pr.z_sql("winsorized", CELL + ", sector")} as zs, count(winsorized) over (partition by {CELL}, sector) as ns from w),
@@ -168,6 +189,9 @@ grid as (select t.ticker, s.session, s.date, b.close, b.low, last_value(b.close
 securities as (select ticker, sector, any_value(as_of) as d from frame group by all)"""
 
 
+SCORES = scores_sql(CELLS, {s: c["gates"] for s, c in STRATEGIES.items()})
+
+
 def composites(spark, sf):
     return rounded(scores(spark, sf))
 
