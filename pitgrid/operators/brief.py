@@ -93,3 +93,29 @@ def event_pattern(events: DataFrame, weights: dict[str, int]) -> DataFrame:
     n = lambda k: F.count(F.when(F.col("category") == k, 1))
     note = F.concat_ws("; ", F.when(n("management") >= 3, "management turnover"), F.when((n("restructuring") >= 2) & (n("management") >= 1), "restructuring under new management"), F.when(F.sum("w") == 0, "routine only"))
     return df.groupBy("as_of", "ticker").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("weight"), note.alias("notes"))
+
+
+# How much the item codes of current reports weigh; what isn't listed is routine.
+SIGNIFICANCE = {
+    "1.01": "notable", "1.02": "material", "2.01": "material", "2.02": "notable", "2.05": "material", "2.06": "material", "3.01": "material", "4.01": "notable", "4.02": "material",
+    "5.02": "notable", "5.07": "routine", "7.01": "routine", "8.01": "routine",
+}
+
+
+def filing_pattern(events: DataFrame, by: list[str], turnover: int = 3) -> DataFrame:
+    """Current reports (``by``, item_code) by weight, and what their pattern says, as a list in order of gravity.
+
+    headline is the gravest weight that there is.  A window with nothing to say says "nothing unusual".
+    """
+    weigh = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SIGNIFICANCE.items() for x in kv]), F.trim("item_code")), F.lit("routine"))
+    n = lambda *codes: F.count(F.when(F.trim("item_code").isin(*codes), 1))
+    says = [
+        (n("4.02") > 0, "earlier reports declared unreliable"), (n("2.06") > 0, "assets written down"), (n("5.02") >= turnover, "repeated change of management"), ((n("5.02") > 0) & (n("5.02") < turnover), "change of management"),
+        (n("2.05") > 0, "restructuring under way"), (n("2.01", "1.02") > 0, "business changed shape"), (n("3.01") > 0, "listing rule not met"),
+    ]
+    df = events.withColumn("_w", weigh)
+    count = lambda w: F.count(F.when(F.col("_w") == w, 1))
+    found = F.array_compact(F.array(*[F.when(c, F.lit(text)) for c, text in says]))
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), count("material").alias("material"), count("notable").alias("notable"), count("routine").alias("routine"), found.alias("observations"))
+    out = out.withColumn("observations", F.when(F.size("observations") == 0, F.array(F.lit("nothing unusual"))).otherwise(F.col("observations")))
+    return out.withColumn("headline", F.when(F.col("material") > 0, "material").when(F.col("notable") > 0, "notable").otherwise("routine"))

@@ -89,20 +89,54 @@ def dollar_volume(grid: DataFrame, dates: DataFrame, sessions: int = 20) -> Data
     return df.join(dates.select("as_of", "session"), "session").select(*KEYS, F.col("close_ff").alias("price"), "adv")
 
 
+# Universes that have a name, and what belongs to each beside its index.
+PRESETS: dict[str, dict] = {
+    "spy": {"index": "SPY"},
+    "qqq": {"index": "QQQ"},
+    "dia": {"index": "DIA"},
+    "iwm": {"index": "IWM"},
+    "us_large_cap": {"index": "SPY", "min_cap": 10e9},
+    "us_mid_cap": {"index": "SPY", "min_cap": 2e9, "max_cap": 10e9},
+    "dividend_quality": {"index": "SPY", "dividend_payers": True, "profitable": True, "min_cap": 5e9},
+    "tech_growth": {"index": "SPY", "sectors": ["Information Technology", "Communication Services"], "min_cap": 5e9},
+    "healthcare": {"index": "SPY", "sectors": ["Health Care"]},
+    "liquid_tradables": {"index": "SPY", "min_adv": 25e6, "min_price": 10.0},
+}
+
+
+def preset(names: DataFrame, members: DataFrame, name: str, **other) -> DataFrame:
+    """The named universe: members (as_of, index_symbol, ticker) of its index that pass its bounds; ``other`` bounds go before them.
+
+    A date without a snapshot of the index has no names, rather than today's.
+    """
+    how = PRESETS[name] | other
+    held = members.where(F.col("index_symbol") == how.pop("index")).select("as_of", "ticker").distinct()
+    return universe(names.join(held, ["as_of", "ticker"], "left_semi"), **how)
+
+
 def universe(
     names: DataFrame, sectors: list[str] | None = None, countries: list[str] | None = None, min_price: float | None = None, min_adv: float | None = None,
-    min_cap: float | None = None, max_cap: float | None = None, most: int | None = None,
+    min_cap: float | None = None, max_cap: float | None = None, most: int | None = None, exchanges: list[str] | None = None, exclude_adr: bool = False,
+    dividend_payers: bool = False, profitable: bool = False,
 ) -> DataFrame:
     """Rows of (as_of, ticker, sector, country, price, adv, market_cap) that belong to a universe.
 
-    A name without a sector or country is out only where that is asked about; one without a
-    price or volume fails the liquidity gate; one without a market value passes its bounds.
+    Where they are asked about, also exchange, is_adr, dividend_yield and eps.
+
+    A name without a sector, country or exchange is out only where that is asked about; one not
+    known to be a foreign receipt is none; one without a price or volume fails the liquidity gate;
+    one without a market value, a yield or earnings passes their bounds.
     ``most`` keeps the largest of each date, those of unknown size last, ties by name.
     """
     out = names
-    for column, wanted in (("sector", sectors), ("country", countries)):
+    for column, wanted in (("sector", sectors), ("country", countries), ("exchange", exchanges)):
         if wanted:
             out = out.where(F.col(column).isin(*wanted))
+    if exclude_adr:
+        out = out.where(F.coalesce(F.col("is_adr").cast("int"), F.lit(0)) == 0)
+    for column, asked in (("dividend_yield", dividend_payers), ("eps", profitable)):
+        if asked:
+            out = out.where(F.col(column).isNull() | (F.col(column) > 0))
     for column, least in (("price", min_price), ("adv", min_adv)):
         if least is not None:
             out = out.where(F.col(column) >= least)

@@ -76,7 +76,7 @@ def live_bars_dropped(spark, sf):
 
 QUERIES = {
     "market_days": (market_days, sql("orders", "o_orderdate") + " select * replace (strftime(closes_at, '%Y-%m-%d %H:%M:%S') as closes_at, strftime(final_at, '%Y-%m-%d %H:%M:%S') as final_at) from almanac where date between (select a from ends) and (select z from ends)"),
-    "completed_sessions": (completed_sessions, sql("events", "ts") + """, v as (select ts, (select max(date) from almanac where final_at <= ts) as completed from events)
+    "final_sessions": (completed_sessions, sql("events", "ts") + """, v as (select ts, (select max(date) from almanac where final_at <= ts) as completed from events)
 select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, completed, count(*) as n from v group by all"""),
     "live_bars_dropped": (live_bars_dropped, sql("lineitem", "l_shipdate") + """, b as (select l_suppkey, l_shipdate::date as date, sum(l_quantity) as volume, max(l_shipdate::date) over (partition by l_suppkey) as last from lineitem group by 1, 2, l_shipdate),
 j as (select b.*, closes_at from b left join almanac using (date)),

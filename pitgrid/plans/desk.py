@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitgrid.functions import scalars as sc
-from pitgrid.operators import asof, audit, brief, desk as dk, evaluation as ev, identity as idn
+from pitgrid.operators import audit, brief, desk as dk, evaluation as ev, holds as ho, identity as idn
 from pitgrid.plans import alternatives as al
 from pitgrid.plans import briefs, filings, panel as pl, prices as pr, records as rc
 from pitgrid.operators import fundamentals as fu
@@ -93,8 +93,7 @@ rk as (select * from (select s.as_of, s.strategy, s.ticker, s.rank, {BUCKET} as
 
 def signal_counts(spark, sf):
     """How many names each strategy rates how, on every date."""
-    s = pl.signal_rows(spark, sf).withColumn("bucket", sc.signal_bucket(F.col("signal")))
-    return s.groupBy("as_of", "strategy", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return ho.signal_counts(pl.signal_rows(spark, sf)).drop("share")
 
 
 def watched(spark, sf):
@@ -162,7 +161,7 @@ def traded(spark, sf):
 
 def ever_listed(spark, sf):
     """Names of any snapshot in force at any date."""
-    return al.membership(spark, sf).groupBy("ticker").agg(F.min("as_of").alias("first"), F.max("as_of").alias("last"), F.count_distinct("as_of").alias("dates"))
+    return ho.ever_held(al.membership(spark, sf))
 
 
 def yearly_turnover(spark, sf):
@@ -225,21 +224,18 @@ SHARE_FILINGS = filings.KNOWN + f", sh as (select as_of, ticker, concept, max(fi
 
 def stale_shares(spark, sf):
     """Names at each date whose newest share count is over 500 days old."""
-    last = share_filings(spark, sf).groupBy("as_of", "ticker").agg(F.max("filed").alias("newest"))
-    return last.withColumn("age", F.datediff("as_of", "newest")).where("age > 500")
+    return ho.stale(share_filings(spark, sf))
 
 
 def share_gaps(spark, sf):
     """Names with any fact by a date, but no share count of the 500 days before."""
-    some = filings.known(spark, sf).select("as_of", "ticker").distinct()
-    fresh = share_filings(spark, sf).where(F.datediff("as_of", "filed") <= 500).select("as_of", "ticker").distinct()
-    return some.join(fresh, ["as_of", "ticker"], "left_anti")
+    return ho.lacking_fresh(filings.known(spark, sf), share_filings(spark, sf))
 
 
 def cap_checks(spark, sf):
     """Values computed from shares against a provider's, where both are there: how far apart, and whether the share count stands."""
-    w = filings.wide(spark, sf).where("snap_cap > 0").withColumn("ratio", F.col("shares") * F.col("close") / F.col("snap_cap")).where("ratio is not null")
-    return rounded(w.select("as_of", "ticker", "ratio", (F.abs(F.col("ratio") - 1) > 0.15).alias("apart"), F.col("ratio").between(0.8, 1.25).alias("stands")))
+    w = ho.value_agreement(filings.wide(spark, sf), F.col("shares") * F.col("close"), F.col("snap_cap"))
+    return rounded(w.select("as_of", "ticker", "ratio", "apart", "stands"))
 
 
 CAP_CHECKS = filings.WIDE + ", ck as (select as_of, ticker, shares * px / snap_cap as ratio from w where snap_cap > 0)"
@@ -307,33 +303,30 @@ wi as (select strategy, greatest(max(first), date '1996-01-01') as start, arg_ma
 
 def riskless(spark, sf):
     """Mean of a rate series over each year, in hundredths; a fallback where it has fewer than five values."""
-    rates = read(spark, sf, "macro").where("series_id = '5-LOW'").groupBy(F.year("date").alias("year"))
-    return rounded(rates.agg(F.when(F.count("value") >= 5, F.avg("value") / 100 / 50).otherwise(F.lit(0.04)).alias("rate"), F.count("value").alias("n")))
+    rates = read(spark, sf, "macro").where("series_id = '5-LOW'").withColumn("year", F.year("date"))
+    return rounded(ho.riskless(rates, ["year"], scale=5000.0))
 
 
 def snapshots(spark, sf):
-    return read(spark, sf, "members").groupBy("source").agg(F.count_distinct("as_of").alias("snapshots"), F.min("as_of").alias("first"), F.max("as_of").alias("last"), F.count_distinct("ticker").alias("names"))
+    return ho.snapshot_coverage(read(spark, sf, "members"))
 
 
 def consistency(spark, sf):
     """Rows that repeat a key, per table."""
-    extra = lambda name, df, *keys: df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("extra")).select(F.lit(name).alias("what"), "extra")
     news = read(spark, sf, "news").withColumn("key", sc.article_id(F.col("ticker"), F.col("title")))
-    return extra("news", news, "key").union(extra("events", read(spark, sf, "corporate_events"), "ticker", "filed", "item_code")).union(extra("trades", read(spark, sf, "insider_txns"), "accession", "ticker", "txn_date", "txn_code"))
+    return ho.repeats({"news": (news, ("key",)), "events": (read(spark, sf, "corporate_events"), ("ticker", "filed", "item_code")), "trades": (read(spark, sf, "insider_txns"), ("accession", "ticker", "txn_date", "txn_code"))})
 
 
 def unamended(spark, sf):
     """Events without those of filings that were amended later."""
-    e = read(spark, sf, "corporate_events")
     amended = read(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("accession"))
-    return e.join(amended, "accession", "left_anti").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return ho.without_amended(read(spark, sf, "corporate_events"), amended).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 def digest_events(spark, sf):
     """Events of the last thirty days that aren't routine, with names and sectors."""
-    day = F.lit(rc.last_date(spark, sf))
-    e = read(spark, sf, "corporate_events").where((F.col("filed") <= day) & (F.datediff(day, "filed") < 30) & ~F.col("category").isin("disclosure", "results"))
-    return e.join(read(spark, sf, "securities").select("ticker", "name", "sector"), "ticker", "left").select("ticker", "name", "sector", "filed", "item_code", "category")
+    e = ho.digest_events(read(spark, sf, "corporate_events"), read(spark, sf, "securities"), F.lit(rc.last_date(spark, sf)))
+    return e.select("ticker", "name", "sector", "filed", "item_code", "category")
 
 
 def theme_names(spark, sf):
@@ -348,28 +341,24 @@ def estimates_near(spark, sf):
     """For each results filing the newest estimate from four days before to two days after it."""
     e = read(spark, sf, "corporate_events").where("item_code = '2.02'").select("ticker", "filed", "accession")
     made = e.select("ticker", F.date_add("filed", (F.col("accession") % 9 - 5).cast("int")).alias("day"), (F.col("accession") % 100 / 10).alias("eps"))
-    near = e.withColumn("day", F.explode(F.sequence(F.date_sub("filed", 4), F.date_add("filed", 2)))).join(made, ["ticker", "day"])
-    return rounded(near.groupBy("ticker", "filed", "accession").agg(F.max_by(F.struct("day", "eps"), F.struct("day", "eps")).alias("x")).select("ticker", "filed", "accession", "x.day", "x.eps"))
+    return rounded(ho.estimates_near(e, made))
 
 
 def acquirers(spark, sf):
     """Names with an acquisition filed in the year before each date."""
-    deals = read(spark, sf, "corporate_events").where("item_code = '1.01' and accession % 8 = 0")
-    return asof.window_join(al.dates(spark, sf), deals, "filed", 365).groupBy("as_of", "ticker").agg(F.count(F.lit(1)).alias("deals"), F.max("filed").alias("last"))
+    return ho.inorganic(al.dates(spark, sf), read(spark, sf, "corporate_events").where("item_code = '1.01' and accession % 8 = 0"))
 
 
 def unscored(spark, sf):
     """Why a trade takes no part in the insider signal."""
-    t = read(spark, sf, "insider_txns")
-    why = F.concat_ws(", ", F.when(~F.col("txn_code").isin("P", "S"), "not an open-market trade"), F.when(F.col("flags").contains("10b5-1"), "under a plan"), F.when(F.col("role") == "10% Owner", "large holder only"))
-    return t.withColumn("why", F.when(why != "", why).otherwise("scored")).groupBy("why").agg(F.count(F.lit(1)).alias("n"))
+    why = ho.why_unscored(F.col("txn_code"), F.col("flags"), F.col("role"))
+    return read(spark, sf, "insider_txns").groupBy(why.alias("why")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def specs(spark, sf):
     """Weights of strategies as JSON, and read back."""
-    packed = pl.plain_weights(spark).groupBy("strategy").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("factor", "weight"))))).alias("spec"))
-    back = packed.select("strategy", F.explode(F.from_json("spec", "map<string,double>")).alias("factor", "weight"))
     used = pl.long_used(spark, sf).where("value is not null").groupBy("factor").agg(F.count(F.lit(1)).alias("values"))
+    back, _ = ho.unpacked(ho.packed(pl.plain_weights(spark)), pl.plain_weights(spark))
     return rounded(back.join(used, "factor").groupBy("strategy").agg(F.count(F.lit(1)).alias("factors"), F.sum("weight").alias("weight"), F.sum("values").alias("values")))
 
 

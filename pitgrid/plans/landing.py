@@ -209,7 +209,7 @@ def event_stream(spark, sf):
 QUERIES = {
     "landed_facts": (facts, ctes("quarters") + " select concat('S', l_suppkey) as ticker, 'revenue' as concept, 'Revenues' as tag, 'USD' as unit, period_start, cast(period_start + interval 3 month as date) - 1 as period_end, cast(period_start + interval 3 month as date) + 34 as filed, '10-Q' as form, round(revenue, 6) + 0.0 as val from quarters"),
     "landed_bars": (bars, ctes("bars") + " select ticker, date, round(open, 6) + 0.0 as open, round(high, 6) + 0.0 as high, round(low, 6) + 0.0 as low, round(close, 6) + 0.0 as close, round(volume, 6) + 0.0 as volume from bars where day(date) <> 13"),
-    "landed_events": (events, ctes("corporate_events") + " select ticker, filed, accession::varchar as accession, item_code, category from corporate_events where accession % 11 <> 0 and accession % 13 <> 0"),
+    "landed_events": (events, ctes("corporate_events") + " select ticker, filed, accession::varchar as accession, item_code, category, case item_code " + " ".join(f"when '{k}' then '{w}'" for k, (_, w) in landed.ITEMS.items()) + " end as subtype from corporate_events where accession % 11 <> 0 and accession % 13 <> 0"),
     "landed_series": (series, ctes("macro") + " select series_id, date, round(value, 3) as value from macro where day(date) % 5 <> 0"),
     "landed_calendar": (calendar, "select concat('S', s_suppkey) as ticker, date '2001-07-02' as report_date, case s_suppkey % 3 when 0 then 'before' when 1 then 'after' else 'unknown' end as session, case when s_acctbal < 0 or s_suppkey % 5 <> 0 then round(s_acctbal, 2) end as eps_estimate from supplier"),
     "landed_views": (views, ctes("attention") + " select ticker, date::date as date, sum(wiki_views) as wiki_views from attention group by all"),

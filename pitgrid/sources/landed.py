@@ -12,8 +12,22 @@ FACT = "struct<start:string,end:string,val:double,filed:string,form:string,fy:in
 FACTS = f"struct<facts:map<string,map<string,struct<units:map<string,array<{FACT}>>>>>>"
 CHART = "struct<timestamp:array<bigint>,open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<double>,splits:map<string,struct<date:bigint,numerator:double,denominator:double>>>"
 FILINGS = "struct<accession:array<string>,form:array<string>,filed:array<string>,items:array<string>>"
-#: Item codes of current reports and what they tell.
-ITEMS = {"1.01": "strategy", "1.02": "strategy", "2.01": "strategy", "2.02": "results", "2.05": "restructuring", "2.06": "restructuring", "5.02": "management", "7.01": "disclosure", "8.01": "disclosure"}
+# Item codes of current reports, their categories and what they tell.
+ITEMS = {
+    "1.01": ("strategy", "Material definitive agreement"),
+    "1.02": ("strategy", "Termination of material agreement"),
+    "2.01": ("strategy", "Completion of acquisition or disposition"),
+    "2.02": ("results", "Results of operations"),
+    "2.05": ("restructuring", "Costs associated with exit or disposal"),
+    "2.06": ("impairment", "Material impairment"),
+    "3.01": ("listing", "Delisting / listing-rule noncompliance"),
+    "4.01": ("audit", "Change in certifying accountant"),
+    "4.02": ("audit", "Non-reliance on prior financials"),
+    "5.02": ("management", "Director / officer departure or appointment"),
+    "5.07": ("governance", "Shareholder vote results"),
+    "7.01": ("disclosure", "Regulation FD disclosure"),
+    "8.01": ("disclosure", "Other events"),
+}
 
 
 def company_facts(payloads: DataFrame, concepts: DataFrame, payload: str = "payload") -> DataFrame:
@@ -38,10 +52,10 @@ def filing_index(payloads: DataFrame, forms: list[str], payload: str = "payload"
 
 def event_items(filings: DataFrame) -> DataFrame:
     """Comma-joined item codes of original current reports as event rows of known items."""
-    known = F.create_map(*[x for k, v in ITEMS.items() for x in (F.lit(k), F.lit(v))])
+    known = F.create_map(*[x for k, (kind, what) in ITEMS.items() for x in (F.lit(k), F.struct(F.lit(kind).alias("category"), F.lit(what).alias("subtype")))])
     codes = F.array_distinct(F.transform(F.split("items", ","), F.trim))
     rows = filings.where("form = '8-K'").select("ticker", "filed", "accession", F.explode(codes).alias("item_code"))
-    return rows.withColumn("category", F.try_element_at(known, F.col("item_code"))).where("category is not null")
+    return rows.withColumn("_k", F.try_element_at(known, F.col("item_code"))).where("_k is not null").select("*", "_k.category", "_k.subtype").drop("_k")
 
 
 def chart_bars(payloads: DataFrame, payload: str = "payload") -> DataFrame:
