@@ -65,3 +65,16 @@ def members_current(dates: DataFrame, members: DataFrame, closed: DataFrame) ->
     found = members_asof(dates, members).join(closed.select(F.col("old").alias("ticker"), "current"), "ticker", "left")
     by = ["as_of", "index_symbol", "source", "snapshot"]
     return found.groupBy(*by, F.coalesce("current", "ticker").alias("symbol")).agg(F.min("ticker").alias("named"), F.count(F.lit(1)).alias("names")).withColumnRenamed("symbol", "ticker")
+
+
+def snapshot(dates: DataFrame, series: DataFrame, spans: dict[str, int]) -> DataFrame:
+    """as_of, series_id, value and, for each name of ``spans``, the change over so many days, all as known then.
+
+    Every date is asked of every series; the dates are one row, which each series gets.
+    """
+    asked = series.select("series_id").distinct().join(dates.agg(F.sort_array(F.collect_set("as_of")).alias("_d"))).select("series_id", F.explode("_d").alias("as_of"))
+    out = asof_join(asked, series, ["series_id"], "as_of", "date", ["value"])
+    for name, days in spans.items():
+        shifted = series.select("series_id", F.date_add("date", days).alias("date"), F.col("value").alias(f"_{name}"))
+        out = asof_join(out, shifted, ["series_id"], "as_of", "date", [f"_{name}"])
+    return out.select("as_of", "series_id", "value", *[(F.col("value") - F.col(f"_{n}")).alias(n) for n in spans])

@@ -22,9 +22,9 @@ def known_at(facts: DataFrame, dates: DataFrame) -> DataFrame:
     Facts are dealt to years, and to the years after in which they can still be seen.
     """
     asked = dates.select("as_of", F.year("as_of").alias("_y"))
-    top = asked.agg(F.max("_y").alias("m")).first()["m"]
-    dealt = facts.where(F.col("form").isin(*FORMS)).withColumn("_y", F.explode(F.sequence(F.year("filed"), F.greatest(F.lit(top), F.year("filed")))))
-    return dealt.join(asked, "_y").where("filed <= as_of").drop("_y")
+    top = asked.agg(F.max("_y").alias("_top"))  # one row
+    dealt = facts.where(F.col("form").isin(*FORMS)).join(top).withColumn("_y", F.explode(F.sequence(F.year("filed"), F.greatest(F.col("_top"), F.year("filed")))))
+    return dealt.join(asked, "_y").where("filed <= as_of").drop("_y", "_top")
 
 
 def split_restated(facts: DataFrame, splits: DataFrame, shares: tuple[str, ...], per_share: tuple[str, ...]) -> DataFrame:

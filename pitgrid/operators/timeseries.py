@@ -19,7 +19,7 @@ def filled(bars: DataFrame, sessions: DataFrame, fields: tuple[str, ...] = ("clo
     """
     numbered = bars.join(sessions, "date")
     last = sessions.agg(F.max("session").alias("last"))
-    spans = numbered.groupBy("ticker").agg(F.min("session").alias("first")).withColumn("last", F.lit(last.first()["last"]))
+    spans = numbered.groupBy("ticker").agg(F.min("session").alias("first")).join(last)  # one row
     grid = spans.where("last is not null").select("ticker", F.explode(F.sequence("first", "last")).alias("session"))
     order = Window.partitionBy("ticker").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
     joined = grid.join(numbered.drop("date"), ["ticker", "session"], "left").join(sessions, "session")

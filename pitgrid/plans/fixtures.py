@@ -90,7 +90,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         when 4 then 'Results fell short of expectations' when 5 then 'Broker upgrades shares to buy' when 6 then 'Broker cuts price target' when 7 then 'Company raises dividend again' when 8 then 'Company cuts dividend'
         when 9 then 'Dividend is paid' when 10 then 'Share repurchase of $1,200 million, 5% of shares' when 11 then 'Merger with a rival' when 12 then 'CEO resigns' when 13 then 'Court hears lawsuit on privacy'
         when 14 then 'Widget market size, share, growth and CAGR' when 15 then 'New tariff and clean energy tax credit' when 16 then 'Joint venture opens new plant' when 17 then 'Supply chain shortage and medicare rules' else 'Quiet day' end,
-        case when doc_id % 3 = 0 then concat(' (NYSE: S', doc_id % (select count(*) from supplier), ')') else '' end) as title, substring(text, 1, 400) as body from documents""",
+        case when doc_id % 3 = 0 then concat(' (NYSE: S', doc_id % (select count(*) from supplier), ')') else '' end) as title, text as body from documents""",
     ),
     "macro": (
         ("orders",),

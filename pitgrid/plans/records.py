@@ -42,14 +42,7 @@ def events_in_index(spark, sf):
 
 def macro(spark, sf):
     """Level and changes over a week and a month of each series, as known at each date."""
-    series = read(spark, sf, "macro")
-    at = [r.as_of for r in dates(spark, sf).collect()]  # the dates asked about, a short list
-    asked = series.select("series_id").distinct().select("series_id", F.explode(F.array(*map(F.lit, at)) if at else F.array().cast("array<date>")).alias("as_of"))
-    out = asof.asof_join(asked, series, ["series_id"], "as_of", "date", ["value"])
-    for days, name in ((7, "week"), (30, "month")):
-        shifted = series.select("series_id", F.date_add("date", days).alias("date"), F.col("value").alias(name))
-        out = asof.asof_join(out, shifted, ["series_id"], "as_of", "date", [name])
-    return rounded(out.select("as_of", "series_id", "value", (F.col("value") - F.col("week")).alias("chg_1w"), (F.col("value") - F.col("month")).alias("chg_1m")))
+    return rounded(asof.snapshot(dates(spark, sf), read(spark, sf, "macro"), {"chg_1w": 7, "chg_1m": 30}))
 
 
 def _macro_at(days):
