@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitgrid.plans import almanac, alternatives, briefs, desk, filings, landing, lineage, panel, papers, press, prices, readings, records, research, stored, upkeep
+from pitgrid.plans import almanac, alternatives, briefs, desk, filings, landing, lineage, panel, papers, press, prices, readings, records, research, stored, track, upkeep
 
-MODULES = (prices, filings, alternatives, panel, records, briefs, desk, upkeep, press, readings, landing, almanac, stored, lineage, papers, research)
+MODULES = (prices, filings, alternatives, panel, records, briefs, desk, upkeep, press, readings, landing, almanac, stored, lineage, papers, research, track)
 
 
 def queries() -> dict:
