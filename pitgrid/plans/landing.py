@@ -164,7 +164,8 @@ def documents(spark, sf):
 
 def owned(spark, sf):
     parsed = ownership.documents(documents(spark, sf))
-    return rounded(ownership.trades(ownership.transactions(parsed)).drop("cik"), 4)
+    # a price is an amount over a number of shares, so it may end in a five at few digits
+    return rounded(ownership.trades(ownership.transactions(parsed)).drop("cik"), 9)
 
 
 def owned_rejected(spark, sf):
@@ -222,7 +223,7 @@ union all select index_symbol, as_of, 'not XML', count(distinct no // 2000), nul
     "landed_splits": (splits, ctes("splits") + " select * from splits where substring(ticker, 2)::int % 21 <> 0"),
     "landed_ownership": (owned, OWNED + """, l as (select *, max((code = 'M')::int) over (partition by accession) as m from why where reason is null and not deriv and code <> '')
 select accession, ticker, day + 2 as filed, 'P' || (o_custkey % 50) as insider, nullif(concat_ws(', ', case when o_custkey % 2 = 0 then 'Director' end, case when o_custkey % 3 = 0 then 'Officer' end, case when o_custkey % 3 = 0 then 'CFO' end), '') as role,
-  day as txn_date, code as txn_code, dir as direction, round(sum(shares), 4) + 0.0 as shares, round(sum(abs(shares) * price), 4) + 0.0 as value, round(arg_max(post, ord), 4) + 0.0 as post_txn_shares, round(sum(abs(shares) * price) / abs(sum(shares)), 4) + 0.0 as price,
+  day as txn_date, code as txn_code, dir as direction, round(sum(shares), 9) + 0.0 as shares, round(sum(abs(shares) * price), 9) + 0.0 as value, round(arg_max(post, ord), 9) + 0.0 as post_txn_shares, round(sum(abs(shares) * price) / abs(sum(shares)), 9) + 0.0 as price,
   nullif(concat_ws(',', case when bool_or(prio = '5-LOW' or l_orderkey % 23 = 0) then '10b5-1' end, case when code = 'S' and max(m) = 1 then 'exercise' end, case when bool_or(prio = '1-URGENT') then 'plan' end), '') as flags, count(*) as lots from l group by accession, ticker, day, o_custkey, code, dir"""),
     "landed_ownership_rejected": (owned_rejected, OWNED + """ select distinct accession, null::varchar as kind, null::int as place, reason from why where reason is not null union all
 select accession, kind, place, 'no code' from (select accession, code, case when deriv then 'derivative' else 'non-derivative' end as kind, (row_number() over (partition by accession, deriv order by ord) - 1)::int as place from why where reason is null) where code = ''"""),

@@ -18,7 +18,7 @@ def live(spark, sf):
 
 
 def report(spark, sf):
-    return rounded(tk.cohort_report(live(spark, sf), read(spark, sf, "as_of"), (pl.VETO,)), 5)
+    return rounded(tk.cohort_report(live(spark, sf), read(spark, sf, "as_of"), (pl.VETO,)), 9)
 
 
 LIVE = pl.SCORES + f""",
@@ -52,7 +52,7 @@ def ordered(spark, sf):
 
 QUERIES = {
     "live_cohorts": (live, LIVE + " select * from lc"),
-    "cohort_report": (report, LIVE + f""" select strategy, horizon, count(*) as cohorts, round(avg(excess), 5) + 0.0 as mean_excess, round(avg((case when strategy = '{pl.VETO}' then excess < 0 else excess > 0 end)::int), 5) + 0.0 as hit, round(avg(ic), 5) + 0.0 as mean_ic,
+    "cohort_report": (report, LIVE + f""" select strategy, horizon, count(*) as cohorts, round(avg(excess), 9) + 0.0 as mean_excess, round(avg((case when strategy = '{pl.VETO}' then excess < 0 else excess > 0 end)::int), 9) + 0.0 as hit, round(avg(ic), 9) + 0.0 as mean_ic,
   greatest(1, round((max(session) - min(session)) / horizon) + 1)::bigint as independent from lc join as_of using (as_of) where excess is not null group by strategy, horizon"""),
     "drift_summary": (drifts, pl.SCORES + """, d0 as (select strategy, as_of, lag(as_of) over (partition by strategy order by as_of) as before from (select distinct strategy, as_of from scores where rank is not null)),
 d1 as (select s.strategy, s.as_of, s.ticker, s.composite, s.rank, t.composite as c, t.rank as r from scores s join d0 on d0.strategy = s.strategy and d0.as_of = s.as_of and before is not null left join scores t on t.strategy = s.strategy and t.as_of = before and t.ticker = s.ticker and t.rank is not null where s.rank is not null),
