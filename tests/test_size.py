@@ -17,3 +17,26 @@ def plan(df):
 def test_facts_times_dates_stay_where_they_are(spark, name):
     text = plan(catalogue.queries()[name](spark, SF))
     assert not re.search(r"Exchange hashpartitioning\([^)]*(concept|as_of)#", text)
+
+
+@pytest.mark.parametrize("name", ["factor_transforms", "factor_winsorize_mad", "factor_neutralize"])
+def test_quantiles_of_a_cell_are_not_made_anew_for_every_row(spark, name):
+    assert not re.search(r"(percentile|median)\(", plan(catalogue.queries()[name](spark, SF)))
+
+
+def test_mean_ranks_need_one_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from pitgrid.functions.scalars import average_rank
+
+    df = spark.createDataFrame([("a", x) for x in (3.0, 1.0, 3.0, None)], "k string, x double").withColumn("r", average_rank(F.col("x"), "k"))
+    assert plan(df).count("Exchange hashpartitioning") == 1
+    assert sorted((r.x, r.r) for r in df.where("x is not null").collect()) == [(1.0, 1.0), (3.0, 2.5), (3.0, 2.5)]
+
+
+def test_quantiles_lie_between_neighbours(spark):
+    from pitgrid.operators import transforms as tr
+
+    df = spark.createDataFrame([("d", "f", x) for x in (4.0, 1.0, None, 2.0, 8.0)], "as_of string, factor string, v double")
+    got = tr.with_quantiles(df, "v", {"a": 0.5, "b": 0.1}).first()
+    assert got.a == 3.0 and abs(got.b - 1.3) < 1e-12
