@@ -276,3 +276,9 @@ def test_trades(spark):
     got = {r.fill_session: r for r in ev.trades(plans, bars).collect()}
     assert (got[1].reason, got[1].exit_price, got[1].r_multiple) == ("target", 12.0, 2.0)
     assert (got[2].reason, got[2].exit_session, got[2].exit_price) == ("target", 3, 11.9)
+
+
+def test_rules_end_words_at_letters_beyond_ascii(spark):
+    rows = spark.createDataFrame([(1, "\u00f1doj asks"), (2, "doja asks"), (3, "\u00f3dividend cut"), (4, None)], "id int, t string")
+    got = {r.id: (list(r.tags), r.g) for r in rows.select("id", tx.tags(F.col("t")).alias("tags"), tx.first_of(F.col("t"), {"cut": r"\bdividend\b"}).alias("g")).collect()}
+    assert got == {1: (["regulatory"], None), 2: ([], None), 3: (["dividend"], "cut"), 4: ([], None)}
