@@ -40,3 +40,15 @@ def test_quantiles_lie_between_neighbours(spark):
     df = spark.createDataFrame([("d", "f", x) for x in (4.0, 1.0, None, 2.0, 8.0)], "as_of string, factor string, v double")
     got = tr.with_quantiles(df, "v", {"a": 0.5, "b": 0.1}).first()
     assert got.a == 3.0 and abs(got.b - 1.3) < 1e-12
+
+
+@pytest.mark.parametrize("name, keys", [("bars", 1), ("corporate_events", 2), ("insider_txns", 2)])
+def test_given_rows_are_dealt_once_to_parts_that_grow_in_number(spark, monkeypatch, name, keys):
+    from pitgrid.plans import fixtures
+
+    few = fixtures.derived(spark, SF, name).rdd.getNumPartitions()
+    monkeypatch.setattr(fixtures, "ROWS_A_PART", 200)
+    df = fixtures.derived(spark, SF, name)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == keys
+    assert not re.search(r"Exchange hashpartitioning\([^)]*(ticker|_groupingexpression)#", plan(df))
+    assert df.rdd.getNumPartitions() > few
