@@ -52,3 +52,13 @@ def test_given_rows_are_dealt_once_to_parts_that_grow_in_number(spark, monkeypat
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == keys
     assert not re.search(r"Exchange hashpartitioning\([^)]*(ticker|_groupingexpression)#", plan(df))
     assert df.rdd.getNumPartitions() > few
+
+
+def test_names_without_a_bar_around_a_date(spark):
+    from pitgrid.operators import audit
+
+    members = spark.createDataFrame([("2000-03-31", x) for x in "abcd"] + [("2000-03-31", "a")], "as_of string, ticker string").selectExpr("date(as_of) as as_of", "ticker")
+    bars = spark.createDataFrame([("a", "2000-01-31"), ("b", "2000-01-30"), ("b", "2000-05-01"), ("c", "2000-04-30")], "ticker string, date string").selectExpr("ticker", "date(date) as date")
+    df = audit.survivorship_gap(members, bars)
+    assert (df.first().members, df.first().gap) == (4, 0.5)
+    assert "Generate" not in plan(df)
