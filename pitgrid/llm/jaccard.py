@@ -225,6 +225,12 @@ def key_filter(wanted: DataFrame) -> np.ndarray:
     return merged(wanted.mapInArrow(run, "piece long, data binary"), FILTER_BITS // 64, np.bitwise_or).view(np.uint64)
 
 
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter has, and some that it takes for them."""
+    at = key_bits(keys)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def with_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` and set, as bytes, of the classes of ``wanted`` and of some others.
 
@@ -237,9 +243,7 @@ def with_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for batch in batches:
-            if batch.num_rows:
-                at = key_bits(batch.column(0).to_numpy())
-                batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            batch = batch.filter(pa.array(may_hold(bits, batch.column(0).to_numpy())))
             sets = [shingle_set(x, WIDTH).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "set"])
 
@@ -332,11 +336,32 @@ def tiles(pairs: DataFrame) -> DataFrame:
 DIGESTS = ["a", "b", "n_shingles"]
 
 
+def first_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, prefix and point of every class, of the rows with its smallest id.
+
+    Copies, and rows that a filter of fixed size takes for them, are joined to their classes; what
+    the filter doesn't hold is a class's first row and stays where it is.
+    """
+    own = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", *DIGESTS, "prefix", "point")
+    copies = own.select("doc_id", *DIGESTS).join(classes, DIGESTS).where("doc_id != key").select("doc_id")
+    held = rows.sparkSession.sparkContext.broadcast(key_filter(copies))
+
+    def part(copied: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(may_hold(held.value, batch.column(0).to_numpy()) == copied))
+
+        return own.mapInArrow(run, own.schema)
+
+    found = part(True).join(classes, DIGESTS).where("doc_id = key").select(own.columns)
+    return part(False).unionByName(found).select(F.col("doc_id").alias("key"), "prefix", "point")
+
+
 def classed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Every row with its digest; the classes; the shingles of prefixes that several classes have; and these classes' points."""
     rows = stage(described(docs, group_frequencies(docs, text), key, text), "sets")
     classes = stage(rows.where("n_shingles > 0").groupBy(*DIGESTS).agg(F.min("doc_id").alias("key")), "classes")
-    first = rows.join(classes, DIGESTS).where("doc_id = key")
+    first = first_rows(rows, classes)
     postings = first.select("key", F.explode("prefix").alias("token")).repartition("token")
     shared = postings.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
     held = stage(postings.join(shared, "token").select("token", "key", "low").distinct(), "postings")

@@ -89,3 +89,15 @@ def test_clashing_names_and_long_texts(spark):
     df = spark.createDataFrame([(*r, 9, b"x", "y", 0) for r in rows], "doc_id long, text string, label int, set binary, point string, block int")
     assert {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
     assert jaccard.keep_one(df).columns == df.columns
+
+
+def test_only_copies_are_shuffled_with_their_shingles(spark):
+    texts = [(5, "a b c d e f"), (3, "a b c d e f"), (4, "g h i j k l"), (4, "a b c d e f"), (None, "m n o p q r"), (7, ""), (8, None), (9, "m n o p q s"), (9, "m n o p q s")]
+    rows = jaccard.described(spark.createDataFrame(texts, "doc_id long, text string"), None, "doc_id", "text").cache()
+    classes = rows.where("n_shingles > 0").groupBy(*jaccard.DIGESTS).agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "key")
+    want = rows.join(classes, jaccard.DIGESTS).where("doc_id = key").select("key", "prefix", "point")
+    got = jaccard.first_rows(rows, classes)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.index("MapInArrow") < plan.index("Join")
+    rows.unpersist()
