@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitgrid.functions.scalars import average_rank, safe_div
+from pitgrid.functions.scalars import average_rank, correlation, safe_div
 from pitgrid.operators.evaluation import rank_ic
 
 
@@ -50,7 +50,7 @@ def drift_summary(scores: DataFrame, n: int = 10) -> DataFrame:
     by = ["strategy", "as_of"]
     top = both.where(F.col("rank") <= n).groupBy(*by).agg((1 - F.count(F.when(F.col("_r") <= n, 1)) / F.count(F.lit(1))).alias("turnover"))
     held = both.where("_c is not null").select(*by, average_rank(F.col("composite"), *by).alias("_x"), average_rank(F.col("_c"), *by).alias("_y"))
-    return top.join(held.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 8, F.corr("_x", "_y")).alias("correlation"), F.count(F.lit(1)).alias("names")), by, "left")
+    return top.join(held.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 8, correlation(F.col("_x"), F.col("_y"))).alias("correlation"), F.count(F.lit(1)).alias("names")), by, "left")
 
 
 def safe_from(gaps: DataFrame, most: float = 0.10) -> DataFrame:

@@ -62,3 +62,10 @@ def test_names_without_a_bar_around_a_date(spark):
     df = audit.survivorship_gap(members, bars)
     assert (df.first().members, df.first().gap) == (4, 0.5)
     assert "Generate" not in plan(df)
+
+
+def test_a_group_without_spread_has_no_correlation(spark):
+    from pitgrid.operators import evaluation as ev
+
+    df = spark.createDataFrame([("a", 1.0, float(i)) for i in range(8)] + [("b", float(i), float(i * i)) for i in range(8)], "k string, x double, y double")
+    assert {r.k: (r.ic, r.n) for r in ev.rank_ic(df, "x", "y", ["k"], 8).collect()} == {"a": (None, 8), "b": (1.0, 8)}
