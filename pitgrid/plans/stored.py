@@ -53,7 +53,7 @@ def trailing_panel(facts: DataFrame, cells: DataFrame) -> DataFrame:
     own = facts.where(F.col("concept").isin(*CONCEPTS)).join(cells.select("ticker").distinct(), "ticker", "left_semi")
     known = fu.known_at(own, cells.select("as_of").distinct()).join(cells, ["as_of", "ticker"], "left_semi")
     known = fu.single_tag(known)
-    t = fu.trailing(fu.flow_quarters(known), known)
+    t = fu.trailing(fu.flow_periods(known))
     return t.groupBy("as_of", "ticker").agg(*[F.max(F.when(F.col("concept") == c, F.col("ttm"))).alias(c) for c in CONCEPTS])
 
 

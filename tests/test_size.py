@@ -69,3 +69,34 @@ def test_a_group_without_spread_has_no_correlation(spark):
 
     df = spark.createDataFrame([("a", 1.0, float(i)) for i in range(8)] + [("b", float(i), float(i * i)) for i in range(8)], "k string, x double, y double")
     assert {r.k: (r.ic, r.n) for r in ev.rank_ic(df, "x", "y", ["k"], 8).collect()} == {"a": (None, 8), "b": (1.0, 8)}
+
+
+def test_families_meet_in_one_shuffle(spark):
+    from pitgrid.operators import panel as pn
+
+    made = [spark.createDataFrame([("d", t, v)], f"as_of string, ticker string, {c} double") for c, t, v in (("x", "a", 1.0), ("y", "a", 2.0), ("z", "b", 3.0))]
+    df = pn.joined(made)
+    assert plan(df).count("Exchange hashpartitioning") == 1
+    assert sorted((r.ticker, r.x, r.y, r.z) for r in df.collect()) == [("a", 1.0, 2.0, None), ("b", None, None, 3.0)]
+
+
+def test_sessions_between_bars_are_filled_in_one_shuffle(spark):
+    from pitgrid.operators import timeseries as ts
+
+    sessions = spark.createDataFrame([(f"2000-01-0{i}", i) for i in range(1, 7)], "date string, session int")
+    bars = spark.createDataFrame([("a", "2000-01-02", 1.0), ("a", "2000-01-05", 2.0), ("b", "2000-01-06", 3.0), ("b", "1999-01-01", 9.0)], "ticker string, date string, close double")
+    df = ts.filled(bars, sessions, parts=3)
+    assert plan(df).count("Exchange hashpartitioning") == 1
+    got = sorted((r.ticker, r.session, r.date[-1], r.close, r.close_ff) for r in df.collect())
+    assert got == [("a", 2, "2", 1.0, 1.0), ("a", 3, "3", None, 1.0), ("a", 4, "4", None, 1.0), ("a", 5, "5", 2.0, 2.0), ("a", 6, "6", None, 2.0), ("b", 6, "6", 3.0, 3.0)]
+
+
+def test_trades_times_dates_stay_where_they_are(spark):
+    from pitgrid.plans import alternatives as al
+
+    assert not re.search(r"Exchange hashpartitioning\([^)]*(as_of|insider)#", plan(al.insiders(spark, SF)))
+
+
+def test_facts_times_dates_are_made_once_for_sums_and_years(spark):
+    text = plan(catalogue.queries()["fact_ttm"](spark, SF))
+    assert len(re.findall(r"Generate explode\(_f#", text)) == 1
