@@ -100,3 +100,11 @@ def test_trades_times_dates_stay_where_they_are(spark):
 def test_facts_times_dates_are_made_once_for_sums_and_years(spark):
     text = plan(catalogue.queries()["fact_ttm"](spark, SF))
     assert len(re.findall(r"Generate explode\(_f#", text)) == 1
+
+
+def test_dates_of_facts_need_no_bars(spark):
+    from pitgrid.plans import fixtures
+
+    df = fixtures.derived(spark, SF, "sessions")
+    assert "derived-bars" not in "".join(df.inputFiles())
+    assert {r.date for r in df.collect()} == {r.date for r in fixtures.read(spark, SF, "bars").collect()}
