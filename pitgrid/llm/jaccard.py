@@ -12,7 +12,8 @@
    First every class meets one other, the smallest class of most of its shingles, in blocks
    of that class; this finds most links.  Then the shingles whose classes are still in
    different components are joined as whole blocks, tiled where large, so that no link is
-   lost: on the points alone first, and on sets for what then still has a partner.
+   lost: on the points alone first, and on sets for what then still has a partner, where
+   each set goes to one block of all that its partners reach, not to all blocks it was in.
 
 The order puts shingles of frequent hash groups last.  The group counts are a table of fixed
 size, and any order gives the same links; it only keeps passages that many texts share from
@@ -298,18 +299,39 @@ def joined_blocks(members: DataFrame) -> DataFrame:
 
 
 def still_open(members: DataFrame) -> DataFrame:
-    """Rows of ``members`` (block, key, label, point) whose bounds leave them a partner of another label."""
+    """Rows of ``members`` (block, key, label, point) whose bounds leave them a partner of another label.
 
-    def run(cols: dict) -> list[tuple[int, int, int]]:
-        part = cols["label"]
-        keep = np.zeros(len(part), bool)
+    ``mate`` is the smallest key of the block that such partners reach, one after the other.
+    """
+
+    def run(cols: dict) -> list[tuple[int, int, int, int]]:
+        keys, part = cols["key"], cols["label"]
+        mate, keep = keys.copy(), np.zeros(len(keys), bool)
         for i, rivals in bounded_pairs([unpacked(x) for x in cols["point"]], part):
             keep[rivals] = True
             keep[i] |= len(rivals) > 0
+            if (mate[rivals] != mate[i]).any():
+                met = np.isin(mate, np.append(mate[rivals], mate[i]))
+                mate[met] = mate[met].min()
         at = np.flatnonzero(keep)
-        return list({(int(cols["block"][i]), int(cols["key"][i]), int(part[i])) for i in at})
+        return list({(int(cols["block"][i]), int(keys[i]), int(part[i]), int(mate[i])) for i in at})
+
+    return by_block(members, run, "block long, key long, label long, mate long")
 
-    return by_block(members, run, "block long, key long, label long")
+
+def gathered(left: DataFrame) -> DataFrame:
+    """block, key and label of ``left`` (``still_open``), with each key in few blocks.
+
+    A key's partners lie in many blocks, and its set would go to each.  Keys that partners reach
+    from one another meet instead in one block, or in pairs of tiles where these are fewer rows.
+    """
+    place = components(left.select(F.col("key").alias("a"), F.col("mate").alias("b"))).select(F.col("id").alias("key"), F.col("label").alias("token"))
+    own = left.groupBy("key").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("rows")).join(place, "key")
+    size = own.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
+    few = size.where((F.col("n") <= TILE) | (F.ceil(F.col("n") / (TILE // 2)) * F.col("n") <= F.col("rows"))).select("token")
+    met = stage(own.join(few, "token").select("token", "key", "label"), "met")
+    anew = tiles(met.select("token", "key")).join(met.select("key", "label"), "key").select("block", "key", "label")
+    return anew.unionByName(left.select("block", "key", "label").join(met.select("key"), "key", "left_anti").select("block", "key", "label"))
 
 
 def within_bounds(pairs: DataFrame) -> DataFrame:
@@ -408,7 +430,7 @@ def classes_and_links(docs: DataFrame, key: str = "doc_id", text: str = "text")
     left = stage(still_open(tiles(rest.select("token", "key")).join(known, "key")), "left")
     drop(rest, points)
     sets = stage(with_sets(docs, left.select("key").distinct(), key, text), "candidates")
-    more = stage(joined_blocks(left.join(sets, "key")), "links")
+    more = stage(joined_blocks(gathered(left).join(sets, "key")), "links")
     drop(left, sets)
     return rows.join(classes, DIGESTS, "left").drop("prefix", "point"), labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more)
 

@@ -101,3 +101,16 @@ def test_only_copies_are_shuffled_with_their_shingles(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and plan.index("MapInArrow") < plan.index("Join")
     rows.unpersist()
+
+
+def test_a_set_goes_to_one_block_of_all_that_its_partners_reach(spark, monkeypatch):
+    # three classes that share many blocks, and a pair apart
+    rows = [(b, k, k, 1) for b in range(20) for k in (1, 2, 3)] + [(b, k, k, 8) for b in (30, 31) for k in (8, 9)]
+    left = spark.createDataFrame(rows, "block long, key long, label long, mate long")
+    got = jaccard.gathered(left).collect()
+    assert sorted((r.key, r.label) for r in got) == [(k, k) for k in (1, 2, 3, 8, 9)]
+    assert sorted(sorted(r.key for r in got if r.block == b) for b in {r.block for r in got}) == [[1, 2, 3], [8, 9]]
+    # more than a tile, and fewer rows as they are: nothing moves
+    monkeypatch.setattr(jaccard, "TILE", 2)
+    chain = spark.createDataFrame([(b, k, k, 1) for b, ks in ((1, (1, 2)), (2, (1, 3)), (3, (1, 4)), (4, (1, 5))) for k in ks], "block long, key long, label long, mate long")
+    assert sorted((r.block, r.key) for r in jaccard.gathered(chain).collect()) == sorted((r.block, r.key) for r in chain.collect())
