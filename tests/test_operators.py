@@ -282,3 +282,32 @@ def test_rules_end_words_at_letters_beyond_ascii(spark):
     rows = spark.createDataFrame([(1, "\u00f1doj asks"), (2, "doja asks"), (3, "\u00f3dividend cut"), (4, None)], "id int, t string")
     got = {r.id: (list(r.tags), r.g) for r in rows.select("id", tx.tags(F.col("t")).alias("tags"), tx.first_of(F.col("t"), {"cut": r"\bdividend\b"}).alias("g")).collect()}
     assert got == {1: (["regulatory"], None), 2: ([], None), 3: (["dividend"], "cut"), 4: ([], None)}
+
+
+def test_spans_of_dates_agree_with_facts_by_date(spark):
+    """Late and early filings, restatements, ties, missing values, several tags, splits and odd periods."""
+    rng, facts = random.Random(5), []
+    for ticker in "ABC":
+        for concept, tags in (("revenue", ("x", "y")), ("eps", ("e",)), ("shares", ("s",))):
+            for year, (m, months) in ((y, p) for y in range(2000, 2005) for p in ((1, 3), (1, 6), (1, 9), (1, 12), (4, 3), (7, 3), (10, 3))):
+                for tag in tags:
+                    start, end = dt.date(year, m, 1), dt.date(year, m + months - 1, 28)
+                    for _ in range(rng.choice((0, 1, 1, 2))):
+                        filed = end + dt.timedelta(days=rng.choice((20, 40, 90, 400)))
+                        val = None if rng.random() < 0.05 else rng.choice((-30.0, 1.0, 2.0)) * rng.randint(1, 4) * (10 if tag == "y" else 1)
+                        facts.append((ticker, concept, tag, end if concept == "shares" else start, end, filed, rng.choice(("10-Q", "10-Q", "8-K")), val))
+    facts.append(("A", "eps", "e", dt.date(2004, 1, 1), dt.date(2004, 3, 28), None, "10-Q", 1.0))
+    f = spark.createDataFrame(facts, "ticker string, concept string, tag string, period_start date, period_end date, filed date, form string, val double")
+    dates = spark.createDataFrame([(dt.date(y, m, 15),) for y in range(2000, 2006) for m in (2, 5, 6, 11)], "as_of date")
+    splits = spark.createDataFrame([("A", dt.date(2001, 6, 1), 2.0), ("A", dt.date(2003, 5, 15), 3.0), ("B", dt.date(1999, 1, 1), 5.0), ("C", dt.date(2002, 3, 1), None)], "ticker string, date date, ratio double")
+    by_date = fu.single_tag(fu.split_restated(fu.known_at(f, dates), splits, ("shares",), ("eps",))).cache()
+    spans = lambda *keys: fu.known_spans(f, dates, splits, ("shares",), ("eps",), keys)
+    flows = fu.flows_at(spans("period_start", "period_end").where("concept <> 'shares'"), dates).cache()
+    same = lambda got, want: sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    old = fu.flow_periods(by_date.where("concept <> 'shares'"))
+    quarters = old.where("not year").select("as_of", "ticker", "concept", "period_end", "filed", "val")
+    assert quarters.count() > 1000
+    assert same(flows.select("as_of", "ticker", "concept", F.explode("quarters").alias("x")).select("as_of", "ticker", "concept", "x.*"), quarters)
+    assert same(fu.with_trailing(flows), fu.trailing(old))
+    assert same(fu.with_surprise(flows, "eps").where("sue_filed is not null"), fu.surprise(quarters, "eps"))
+    assert same(fu.stocks_at(spans("period_end").where("concept = 'shares'"), dates), fu.stocks(by_date.where("concept = 'shares'")))

@@ -19,6 +19,20 @@ def test_facts_times_dates_stay_where_they_are(spark, name):
     assert not re.search(r"Exchange hashpartitioning\([^)]*(concept|as_of)#", text)
 
 
+@pytest.mark.parametrize("name", ["fact_quarters", "fact_ttm", "fact_stocks", "earnings_surprise", "fundamental_ratios"])
+def test_facts_hold_for_spans_of_dates(spark, name):
+    # a window by date would go over every fact again for each date
+    assert not re.search(r"Window \[[^\n]*concept#[^\n]*as_of#", plan(catalogue.queries()[name](spark, SF)))
+
+
+def test_facts_make_short_methods(spark):
+    from pitgrid.plans import filings
+
+    df = filings.facts(spark, SF, filings.FLOWS)
+    text = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    assert all(int(x) < 8000 for x in re.findall(r"maxMethodCodeSize:(\d+)", text))
+
+
 @pytest.mark.parametrize("name", ["factor_transforms", "factor_winsorize_mad", "factor_neutralize"])
 def test_quantiles_of_a_cell_are_not_made_anew_for_every_row(spark, name):
     assert not re.search(r"(percentile|median)\(", plan(catalogue.queries()[name](spark, SF)))
