@@ -311,3 +311,19 @@ def test_spans_of_dates_agree_with_facts_by_date(spark):
     assert same(fu.with_trailing(flows), fu.trailing(old))
     assert same(fu.with_surprise(flows, "eps").where("sue_filed is not null"), fu.surprise(quarters, "eps"))
     assert same(fu.stocks_at(spans("period_end").where("concept = 'shares'"), dates), fu.stocks(by_date.where("concept = 'shares'")))
+
+
+def test_composites_of_wide_rows_agree_with_long_ones(spark):
+    """Missing values, equal ones, a thin sector, gates without a name; and no row of a name is dealt out."""
+    rng = random.Random(3)
+    pick = lambda: rng.choice((None, 1.0, rng.gauss(0, 1), rng.gauss(0, 9)))
+    rows = [(d, f"T{i}", "ABC"[min(i % 20, 2)], pick(), pick(), 2.0 if d == "x" else pick(), i % 3 if i else None) for d in ("x", "y", "z") for i in range(60 if d != "z" else 2)]
+    frame = spark.createDataFrame(rows, "as_of string, ticker string, sector string, u double, v double, w double, g int")
+    gates, cells = {"all": F.lit(True), "some": F.col("g") > 0, "none": F.col("g") > 5}, [("all", "u", 1.0), ("all", "v", 0.5), ("some", "v", 2.0), ("some", "w", 1.0), ("none", "u", 1.0)]
+    directions = spark.createDataFrame([(f"{s}/v", -1) for s in ("all", "some")], "factor string, direction int")
+    weights = spark.createDataFrame([(s, f"{s}/{f}", w) for s, f, w in cells], "strategy string, factor string, weight double")
+    want = tr.composite(tr.prepare(pnl.gated(frame, gates, cells), directions).select("as_of", "factor", "ticker", "score"), weights)
+    got = tr.composites(frame, gates, cells, ("v",))
+    digest = lambda df: sorted((r.as_of, r.strategy, r.ticker, round(r.coverage, 9), r.composite if r.composite is None else round(r.composite, 9) + 0.0) for r in df.collect())
+    assert len(digest(want)) > 180 and digest(got) == digest(want)
+    assert not re.search(r"Exchange hashpartitioning\([^)]*ticker#", got._jdf.queryExecution().executedPlan().toString())
