@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitgrid.functions.scalars import safe_div
+from pitgrid.functions.scalars import once, safe_div
 
 NOTE = "footnoteId:array<struct<_id:string>>"
 CELL = f"struct<value:string,{NOTE}>"
@@ -39,7 +39,8 @@ def documents(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     A document of another issuer is one that the company filed as an owner of somebody else.
     """
     bare = F.regexp_replace(payload, r'\sxmlns(:\w+)?="[^"]*"', "")
-    df = payloads.withColumn("d", F.from_xml(bare, DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "attributePrefix": "_", "valueTag": "_VALUE"}))
+    # parsed once: as a plain column it would be parsed again in each condition that asks for the reason
+    df = payloads.select("*", once(d=F.from_xml(bare, DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "attributePrefix": "_", "valueTag": "_VALUE"})))
     issuer, own = F.trim("d.issuer.issuerCik").try_cast("long"), F.trim(F.col("cik").cast("string")).try_cast("long")
     transactions = F.coalesce(F.size("d.nonDerivativeTable.nonDerivativeTransaction"), F.lit(0)) + F.coalesce(F.size("d.derivativeTable.derivativeTransaction"), F.lit(0))
     return df.withColumn(

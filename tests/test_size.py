@@ -33,6 +33,11 @@ def test_facts_make_short_methods(spark):
     assert all(int(x) < 8000 for x in re.findall(r"maxMethodCodeSize:(\d+)", text))
 
 
+@pytest.mark.parametrize("name, times", [("landed_ownership", 1), ("landed_ownership_rejected", 2)])
+def test_documents_are_parsed_once_for_each_use(spark, name, times):
+    assert plan(catalogue.queries()[name](spark, SF)).count("from_xml(") == times
+
+
 @pytest.mark.parametrize("name", ["factor_transforms", "factor_winsorize_mad", "factor_neutralize"])
 def test_quantiles_of_a_cell_are_not_made_anew_for_every_row(spark, name):
     assert not re.search(r"(percentile|median)\(", plan(catalogue.queries()[name](spark, SF)))
