@@ -38,6 +38,15 @@ def test_documents_are_parsed_once_for_each_use(spark, name, times):
     assert plan(catalogue.queries()[name](spark, SF)).count("from_xml(") == times
 
 
+def test_exponential_means_of_several_columns_share_their_order(spark):
+    from pitgrid.operators import timeseries as ts
+
+    grid = spark.createDataFrame([("A", i, float(i % 5), float(i % 3)) for i in range(9)], "ticker string, session int, x double, y double").repartition("ticker")
+    one, two = ts.ewm(grid, {"a": "x"}, 0.5), ts.ewm(grid, {"a": "x", "b": "y"}, 0.5)
+    assert len(re.findall(r"\bSort \[", plan(two))) == len(re.findall(r"\bSort \[", plan(one)))
+    assert two.select("session", "a").collect() == one.select("session", "a").collect()
+
+
 @pytest.mark.parametrize("name", ["factor_transforms", "factor_winsorize_mad", "factor_neutralize"])
 def test_quantiles_of_a_cell_are_not_made_anew_for_every_row(spark, name):
     assert not re.search(r"(percentile|median)\(", plan(catalogue.queries()[name](spark, SF)))
